@@ -159,9 +159,9 @@ FROM {{part}}""",
     "cat_schemata": """
 SELECT DISTINCT cluster_id, snapshot_date, node_ip, table_schema AS schema_name,
   CASE WHEN length(table_schema) % 2 = 0 THEN 'utf8mb4' ELSE 'latin1' END AS charset,
-  CASE WHEN length(table_schema) % 2 = 0 THEN 'utf8mb4_general_ci' ELSE 'latin1_swedish_ci' END AS collation
+  CASE WHEN length(table_schema) % 2 = 0 THEN 'utf8mb4_general_ci' ELSE 'latin1_swedish_ci' END AS schema_collation
 FROM {cat_tables}
-UNION ALL SELECT DISTINCT cluster_id, snapshot_date, node_ip, 'empty_db' AS schema_name, 'utf8mb4' AS charset, 'utf8mb4_bin' AS collation
+UNION ALL SELECT DISTINCT cluster_id, snapshot_date, node_ip, 'empty_db' AS schema_name, 'utf8mb4' AS charset, 'utf8mb4_bin' AS schema_collation
 FROM {cat_tables}""",
     "cat_events": "SELECT cluster_id, snapshot_date, node_ip, table_schema AS event_schema, k FROM {cat_tables} WHERE k % 31 = 0",
     "cat_triggers": "SELECT cluster_id, snapshot_date, node_ip, table_schema AS trigger_schema, k FROM {cat_tables} WHERE k % 29 = 0",

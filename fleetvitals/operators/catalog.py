@@ -63,7 +63,7 @@ def schema_detail(cat_schemata: DataFrame, cat_tables: DataFrame, keys: list[str
             *keys,
             "table_schema",
             "charset",
-            "collation",
+            "schema_collation",
             "table_rows",
             _truncated_mb(F.col("data")).alias("data_mb"),
             _truncated_mb(F.col("index")).alias("index_mb"),
@@ -191,7 +191,7 @@ def routines(cat_routines: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def schema_charsets(cat_schemata: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    return _user_tables(cat_schemata, "schema_name").select(*keys, "schema_name", "charset", "collation")
+    return _user_tables(cat_schemata, "schema_name").select(*keys, "schema_name", "charset", "schema_collation")
 
 
 def nonstandard_types(

@@ -549,8 +549,12 @@ FAMILIES = [
 ]
 
 
-def node_rules(config: Config) -> list[Rule]:
-    return [rule for family in FAMILIES for rule in family(config.threshold)]
+DISK_TYPES = ("disk_critical", "disk_high")
+
+
+def node_rules(config: Config, only: list[str] | None = None) -> list[Rule]:
+    rules = [rule for family in FAMILIES for rule in family(config.threshold)]
+    return [r for r in rules if only is None or r.type in only]
 
 
 def _struct(rule: Rule) -> Column:
@@ -590,6 +594,10 @@ def _disk_structs(config: Config) -> Column:
     return F.coalesce(F.transform("disks", issue), none)
 
 
+def _wanted(rule: Column, only: list[str] | None) -> Column:
+    return F.lit(True) if only is None else rule.isin(only)
+
+
 def primary_size(nodes: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:
     """Data size of each cluster's first primary."""
     primary = F.col("role") == "primary"
@@ -598,15 +606,26 @@ def primary_size(nodes: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> Da
     )
 
 
-def evaluate_rules(nodes: DataFrame, config: Config | None = None, keys: list[str] = KEYS) -> DataFrame:
-    """Raw issues, one row per node and fired rule, after disabling and overriding."""
+def evaluate_rules(
+    nodes: DataFrame, config: Config | None = None, only: list[str] | None = None, keys: list[str] = KEYS
+) -> DataFrame:
+    """Raw issues, one row per node and fired rule, after disabling and overriding.
+
+    only names the rule types to evaluate; the others then cost nothing.
+    """
     config = config or Config()
-    facts = nodes.join(primary_size(nodes), CLUSTER_KEYS, "left")
+    facts = nodes
+    if only is None or "slave_parallel_workers_zero" in only:
+        facts = facts.join(primary_size(nodes), CLUSTER_KEYS, "left")
     facts = config.attach(facts)
-    fired = [F.when(F.coalesce(r.when, F.lit(False)), _struct(r)) for r in node_rules(config)]
+    rules = node_rules(config, only)
+    structs = []
+    if rules:
+        structs.append(F.array(*[F.when(F.coalesce(r.when, F.lit(False)), _struct(r)) for r in rules]))
+    if only is None or any(t in only for t in DISK_TYPES):
+        structs.append(_disk_structs(config))
     issues = F.filter(
-        F.concat(F.array(*fired), _disk_structs(config)),
-        lambda i: i.isNotNull() & config.is_enabled(i["type"]),
+        F.concat(*structs), lambda i: i.isNotNull() & config.is_enabled(i["type"]) & _wanted(i["type"], only)
     )
     exploded = facts.select(
         *keys,

@@ -557,24 +557,51 @@ def node_rules(config: Config, only: list[str] | None = None) -> list[Rule]:
     return [r for r in rules if only is None or r.type in only]
 
 
-def _struct(rule: Rule) -> Column:
-    key = rule.subject if rule.subject is not None else (F.col("node_ip") if rule.scope == NODE else F.lit(""))
-    text = F.lit(None).cast("string")
-    return F.struct(
-        F.lit(rule.type).alias("type"),
-        rule.priority.cast("string").alias("priority"),
-        F.lit(rule.scope).alias("scope"),
-        key.cast("string").alias("subject"),
-        F.lit(rule.dimension).cast("string").alias("dimension"),
-        (F.lit(None) if rule.n_objects is None else rule.n_objects).cast("bigint").alias("n_objects"),
-        rule.about.cast("string").alias("description"),
-        (text if rule.current is None else rule.current).cast("string").alias("current_value"),
-        (text if rule.recommended is None else rule.recommended).cast("string").alias("recommended_value"),
-        (F.lit(False) if rule.confirm is None else rule.confirm).alias("needs_confirmation"),
-    )
+FIELDS = [
+    "type", "priority", "scope", "subject", "dimension", "n_objects",
+    "description", "current_value", "recommended_value", "needs_confirmation",
+]
+
+
+class _Structs:
+    """Builds one issue struct per rule; the constants they share are made once."""
+
+    def __init__(self) -> None:
+        self.names = [F.lit(n) for n in FIELDS]
+        self.text = F.lit(None).cast("string")
+        self.long = F.lit(None).cast("bigint")
+        self.false = F.lit(False)
+        self.empty = F.lit("")
+        self.node_ip = F.col("node_ip")
+        self.literals: dict[str, Column] = {}
+
+    def literal(self, value: str | None) -> Column:
+        if value is None:
+            return self.text
+        if value not in self.literals:
+            self.literals[value] = F.lit(value)
+        return self.literals[value]
+
+    def __call__(self, rule: Rule) -> Column:
+        subject = rule.subject
+        if subject is None:
+            subject = self.node_ip if rule.scope == NODE else self.empty
+        values = [
+            self.literal(rule.type),
+            rule.priority,
+            self.literal(rule.scope),
+            subject,
+            self.literal(rule.dimension),
+            self.long if rule.n_objects is None else rule.n_objects,
+            rule.about,
+            self.text if rule.current is None else rule.current,
+            self.text if rule.recommended is None else rule.recommended,
+            self.false if rule.confirm is None else rule.confirm,
+        ]
+        return F.named_struct(*[c for pair in zip(self.names, values) for c in pair])
 
 
-def _disk_structs(config: Config) -> Column:
+def _disk_structs(config: Config, struct: _Structs) -> Column:
     critical, high = config.threshold("disk.critical_pct"), config.threshold("disk.high_pct")
 
     def issue(d: Column) -> Column:
@@ -587,10 +614,10 @@ def _disk_structs(config: Config) -> Column:
             F.format_string("disk %s at %d%%", d["mount"], pct),
             subject=F.concat(F.col("node_ip"), F.lit(":"), d["mount"]),
         )
-        named = _struct(rule).withField("type", F.when(hit, "disk_critical").otherwise("disk_high"))
+        named = struct(rule).withField("type", F.when(hit, "disk_critical").otherwise("disk_high"))
         return F.when(pct >= F.least(critical, high), named)
 
-    none = F.filter(F.array(_struct(Rule("disk", F.lit(False), _p(""), _p("")))), lambda x: F.lit(False))
+    none = F.filter(F.array(struct(Rule("disk", F.lit(False), _p(""), _p("")))), lambda x: F.lit(False))
     return F.coalesce(F.transform("disks", issue), none)
 
 
@@ -619,11 +646,11 @@ def evaluate_rules(
         facts = facts.join(primary_size(nodes), CLUSTER_KEYS, "left")
     facts = config.attach(facts)
     rules = node_rules(config, only)
-    structs = []
+    struct, structs = _Structs(), []
     if rules:
-        structs.append(F.array(*[F.when(F.coalesce(r.when, F.lit(False)), _struct(r)) for r in rules]))
+        structs.append(F.array(*[F.when(r.when, struct(r)) for r in rules]))
     if only is None or any(t in only for t in DISK_TYPES):
-        structs.append(_disk_structs(config))
+        structs.append(_disk_structs(config, struct))
     issues = F.filter(
         F.concat(*structs), lambda i: i.isNotNull() & config.is_enabled(i["type"]) & _wanted(i["type"], only)
     )

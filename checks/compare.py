@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import signal
 import sys
 import time
 
@@ -13,6 +14,10 @@ from checks import load
 from checks.views import BASE_TABLES, Views
 
 
+# A query that takes longer than this on the small tables is reported as failed.
+LIMIT_S = 30
+
+
 def _cell(value):
     if isinstance(value, bool) or value is None:
         return str(value)
@@ -49,11 +54,15 @@ def compare(spark: SparkSession, con, sf_dir: str, name: str) -> tuple[int, str]
     want = rows_of(columns, cursor.fetchall())
     if got == want:
         return len(got), ""
-    extra = [r for r in got if r not in set(want)][:2]
-    lacking = [r for r in want if r not in set(got)][:2]
+    extra = sorted(set(got) - set(want))[:2]
+    lacking = sorted(set(want) - set(got))[:2]
     return len(got), f"{len(got)} != {len(want)} rows; {sorted(columns)}\n   spark {extra}\n   duck  {lacking}"
 
 
+def _expire(signum, frame):
+    raise TimeoutError("too slow")
+
+
 def main(sf_dir: str, patterns: list[str]) -> None:
     spark = (
         SparkSession.builder.master("local[8]")
@@ -68,12 +77,15 @@ def main(sf_dir: str, patterns: list[str]) -> None:
     con = connect(sf_dir)
     names = [n for n in load().QUERIES if not patterns or any(p in n for p in patterns)]
     bad = 0
+    signal.signal(signal.SIGALRM, _expire)
     for name in names:
         started = time.time()
+        signal.alarm(LIMIT_S)
         try:
             n, error = compare(spark, con, sf_dir, name)
         except Exception as e:  # report and go on
             n, error = -1, f"{type(e).__name__}: {str(e)[:700]}"
+        signal.alarm(0)
         bad += bool(error)
         oracle = "oracle" if name in load().ORACLES else "rows"
         print(f"{'FAIL' if error else 'ok  '} {name} {n} {oracle} {time.time() - started:.1f}s {error}", flush=True)

@@ -26,12 +26,12 @@ def facts(dumps: DataFrame, *names: str) -> DataFrame:
 
 
 def chunk_ip(key: str, size: int = D.CHUNK) -> str:
-    c = f"({key} // {size})"
+    c = f"(({key}) // {size})"
     return f"concat('172.', {c} // 65536 % 256, '.', {c} // 256 % 256, '.', {c} % 256)"
 
 
 def chunk_keys(key: str, size: int = D.CHUNK) -> str:
-    return f"{key} // {size} % 25 AS cluster_id, {chunk_ip(key, size)} AS node_ip"
+    return f"({key}) // {size} % 25 AS cluster_id, {chunk_ip(key, size)} AS node_ip"
 
 
 @check("src_01_select_dumps", "SELECT cluster_id, node_ip, file_name FROM {nodes} WHERE k % 5 <> 0")

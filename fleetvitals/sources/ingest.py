@@ -16,6 +16,9 @@ from fleetvitals.functions import fixed_values as fv
 # anti-join is left to Spark instead of being broadcast.
 BROADCAST_FILES = 100_000
 
+# A banner that a collector prints between modules, as a whole line.
+BANNER_LINE = r"(?m)^\s*(\|\+{5,}\||\|\s+\[\d+\]\s+.+\|)\s*$\n?"
+
 IP_PATTERN = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
 
 
@@ -103,6 +106,14 @@ def drop_superseded(spark: SparkSession, dumps: DataFrame, path: str, run_date:
     return dumps.join(F.broadcast(superseded) if n <= BROADCAST_FILES else superseded, "file_path", "left_anti")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluates a value once and hands it to an expression that uses it many times.
+
+    Inside a lambda a plain expression would be evaluated again per element.
+    """
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def _plain_lines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n", "\n")
 
@@ -110,8 +121,8 @@ def _plain_lines(text: Column) -> Column:
 def blocks(content: Column) -> Column:
     """Array of (title, body) between section markers."""
     pattern = r"(?:^|\n)[^\n]*?" + fv.SECTION_MARKER
-    pieces = F.split(_plain_lines(content), pattern)
-    after = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    # The first piece is whatever precedes the first marker.
+    after = F.filter(F.split(_plain_lines(content), pattern), lambda p, i: i > 0)
 
     def block(piece: Column) -> Column:
         title = F.trim(F.substring_index(F.substring_index(piece, "\n", 1), fv.SECTION_MARKER, 1))
@@ -156,16 +167,22 @@ def section_lines(dumps: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def section_text(blocks_col: Column, name: Column) -> Column:
-    """Text of the first run of adjacent sections whose title starts with a name, else null."""
+    """Text, without banners, of the first run of adjacent sections whose title starts with a name, else null."""
     wanted = F.lower(name)
     hits = F.transform(blocks_col, lambda b: F.startswith(F.lower(b["title"]), wanted))
-    start = F.array_position(hits, True)
-    tail_hits = F.slice(hits, F.greatest(start, F.lit(1)).cast("int"), F.size(hits))
-    stop = F.array_position(tail_hits, False)
-    length = F.when(stop > 0, stop - 1).otherwise(F.size(tail_hits)).cast("int")
-    run = F.slice(blocks_col, F.greatest(start, F.lit(1)).cast("int"), length)
-    with_body = F.filter(run, lambda b: b["has_body"])
-    return F.when(start > 0, F.array_join(F.transform(with_body, lambda b: b["body"]), "\n"))
+
+    def joined(run: Column) -> Column:
+        with_body = F.filter(run, lambda b: b["has_body"])
+        text = F.array_join(F.transform(with_body, lambda b: b["body"]), "\n")
+        return F.regexp_replace(text, BANNER_LINE, "")
+
+    def first_run(h: Column) -> Column:
+        start = F.array_position(h, True).cast("int")
+        stop = F.array_position(F.slice(h, F.greatest(start, F.lit(1)), F.size(h)), False).cast("int")
+        length = F.when(stop > 0, stop - 1).otherwise(F.size(h))
+        return F.when(start > 0, joined(F.slice(blocks_col, start, length)))
+
+    return let(hits, first_run)
 
 
 def with_sections(dumps: DataFrame, names: list[str]) -> DataFrame:
@@ -189,7 +206,7 @@ def section_presence(sections: DataFrame, names: list[str], keys: list[str] = KE
 
     def row(name: str) -> Column:
         text = F.col("sections")[name]
-        filled = F.filter(_lines(text), lambda line: (F.trim(line) != "") & ~_is_banner(line))
+        filled = F.filter(_lines(text), lambda line: F.trim(line) != "")
         n_rows = F.coalesce(F.size(filled), F.lit(0))
         status = (
             F.when(text.isNull(), "not_collected").when(n_rows == 0, "collected_empty").otherwise("collected")
@@ -206,22 +223,21 @@ def section_presence(sections: DataFrame, names: list[str], keys: list[str] = KE
 
 def boxed(text: Column) -> Column:
     """Array of cell arrays of a boxed table; the first one is the header."""
-    piped = F.filter(
-        _lines(text), lambda line: F.trim(line).startswith("|") & ~_is_banner(line)
-    )
+    piped = F.filter(_lines(text), lambda line: F.trim(line).startswith("|"))
 
     def cells(line: Column) -> Column:
-        parts = F.split(line, r"\|")
-        return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.trim(x))
+        inner = F.regexp_replace(F.trim(line), r"^\||\|[^|]*$", "")
+        return F.transform(F.split(inner, r"\|"), lambda x: F.trim(x))
 
     return F.transform(piped, cells)
 
 
 def boxed_data(text: Column) -> Column:
     """The well-formed data rows of a boxed table, without its header."""
-    rows = boxed(text)
-    width = F.size(F.get(rows, F.lit(0)))
-    return F.filter(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(0))), lambda r: F.size(r) == width)
+    return let(
+        boxed(text),
+        lambda rows: F.filter(rows, lambda r, i: (i > 0) & (F.size(r) == F.size(F.get(rows, F.lit(0))))),
+    )
 
 
 def boxed_rows(sections: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -220,10 +220,8 @@ EMPTY_TEXTS = "array<string>"
 
 
 def section(name: str) -> Column:
-    """A section's text without collector banners; null when it was not collected."""
-    return F.regexp_replace(
-        F.col("sections")[name], r"(?m)^\s*(\|\+{5,}\||\|\s+\[\d+\]\s+.+\|)\s*$\n?", ""
-    )
+    """A section's text; null when it was not collected."""
+    return F.col("sections")[name]
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -284,10 +282,12 @@ def raw_section_rows(rows: DataFrame, section_name: str, keys: list[str] = KEYS)
 
 def _last_per_name(entries: Column) -> Column:
     """Keeps the last of the entries that share a name; entries are a dump's few dozen lines."""
-    return F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["name"] == e["name"]),
-    )
+
+    def is_last(all_entries: Column, e: Column, i: Column) -> Column:
+        after = F.slice(all_entries, i + 2, F.size(all_entries))
+        return ~F.exists(after, lambda later: later["name"] == e["name"])
+
+    return ingest.let(entries, lambda all_entries: F.filter(all_entries, lambda e, i: is_last(all_entries, e, i)))
 
 
 def _pairs(text: Column, pattern: str, name_group: int, value_group: int, value=lambda v: v) -> Column:
@@ -301,14 +301,27 @@ def _pairs(text: Column, pattern: str, name_group: int, value_group: int, value=
     )
 
 
-def variables_map(text: Column) -> Column:
-    pattern = r"^\s*(@@global\.)?([A-Za-z_][A-Za-z0-9_]*)\s*:\s*(.+?)\s*$"
-    return F.map_from_entries(_last_per_name(_pairs(text, pattern, 2, 3, S.normalize_value)))
+VARIABLE_LINE = r"^\s*(@@global\.)?([A-Za-z_][A-Za-z0-9_]*)\s*:\s*(.+?)\s*$"
+
+
+def variables_map(text: Column, cnf: Column) -> Column:
+    """Variables by name. A configuration file overrides server_id and supplies log_bin if absent.
+
+    The last entry of a name wins, so the override goes last and the supplement first.
+    """
+    shown = _pairs(text, VARIABLE_LINE, 2, 3, S.normalize_value)
+
+    def configured(name: str, value: str) -> Column:
+        entry = F.struct(F.lit(name).alias("name"), cnf_value(cnf, name, value).alias("value"))
+        return F.filter(F.array(entry), lambda e: e["value"].isNotNull())
+
+    entries = F.concat(configured("log_bin", r"\S+"), shown, configured("server_id", r"\d+"))
+    return F.map_from_entries(_last_per_name(entries))
 
 
 def cnf_value(text: Column, name: str, value: str) -> Column:
     """The last assignment of an option in a configuration file."""
-    values = F.regexp_extract_all(text, F.lit(rf"(?m)^\s*{name}\s*=\s*({value})"), 1)
+    values = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?m)^\s*{name}\s*=\s*({value})"), 1)
     return F.try_element_at(values, F.lit(-1))
 
 
@@ -331,29 +344,33 @@ def disks_array(text: Column) -> Column:
     kept = F.filter(lines(text), lambda line: (F.trim(line) != "") & ~line.startswith("Filesystem"))
     split_lines = F.transform(kept, lambda line: F.split(F.trim(line), r"\s+"))
 
+    names = ["filesystem", "total", "used", "avail", "use_pct_text", "mount"]
+
     def alone(cols: Column) -> Column:
         return (F.size(cols) == 1) & F.get(cols, F.lit(0)).startswith("/")
 
-    def row(cols: Column, i: Column) -> Column:
-        before = F.get(split_lines, i - 1)
+    def complete(all_lines: Column, cols: Column, i: Column) -> Column:
+        before = F.get(all_lines, i - 1)
         wrapped = (i > 0) & F.coalesce(alone(before), F.lit(False))
-        full = F.when(alone(cols), F.lit(None)).when(wrapped, F.concat(before, cols)).when(F.size(cols) >= 6, cols)
-        names = ["filesystem", "total", "used", "avail", "use_pct_text", "mount"]
-        fields = [F.get(full, F.lit(p)).alias(n) for p, n in enumerate(names)]
-        pct = F.regexp_extract(F.get(full, F.lit(4)), r"^(\d+)", 1).try_cast("bigint").alias("use_pct")
+        return F.when(alone(cols), F.lit(None)).when(wrapped, F.concat(before, cols)).when(F.size(cols) >= 6, cols)
+
+    def disk(cols: Column) -> Column:
+        fields = [F.get(cols, F.lit(p)).alias(n) for p, n in enumerate(names)]
+        pct = F.regexp_extract(F.get(cols, F.lit(4)), r"^(\d+)", 1).try_cast("bigint").alias("use_pct")
         return F.struct(*fields, pct)
 
-    return F.filter(
-        F.transform(split_lines, row), lambda d: F.coalesce(d["total"].rlike(r"^\d"), F.lit(False))
-    )
+    full = ingest.let(split_lines, lambda x: F.transform(x, lambda cols, i: complete(x, cols, i)))
+    usable = F.filter(full, lambda cols: F.coalesce(F.get(cols, F.lit(1)).rlike(r"^\d"), F.lit(False)))
+    return F.transform(usable, disk)
 
 
 def slow_log_entry(piece: Column) -> Column:
     """One slow-log entry: the text that follows a '# Time:' mark."""
     timing = r"(?m)^# Query_time:\s+([\d.]+)\s+Lock_time:\s+([\d.]+)\s+Rows_sent:\s+(\d+)\s+Rows_examined:\s+(\d+)"
     body = F.filter(
-        F.slice(F.split(piece, "\n"), 2, F.size(F.split(piece, "\n"))),
-        lambda line: ~line.startswith("#")
+        F.split(piece, "\n"),
+        lambda line, i: (i > 0)
+        & ~line.startswith("#")
         & ~line.startswith("use ")
         & ~line.startswith("SET timestamp=")
         & (F.trim(line) != ""),
@@ -381,7 +398,7 @@ def slow_log_entries(texts: DataFrame, keys: list[str] = KEYS, text: str = "text
     body = F.regexp_replace(F.col(text), "\r\n", "\n")
     usable = (F.trim(body) != "") & ~body.rlike(fv.UNAVAILABLE_PATTERN)
     pieces = F.split(body, r"(?m)^# Time:")
-    exploded = texts.filter(usable).select(*keys, F.explode(F.slice(pieces, 2, F.size(pieces))).alias("piece"))
+    exploded = texts.filter(usable).select(*keys, F.explode(F.filter(pieces, lambda p, i: i > 0)).alias("piece"))
     parsed = exploded.select(*keys, slow_log_entry(F.col("piece")).alias("e"))
     return _valid_entries(parsed).select(*keys, "e.*")
 
@@ -447,7 +464,7 @@ def backup_dirs_array(text: Column) -> Column:
             path.alias("path"), F.lit(False).alias("exists"), F.lit(None).cast("string").alias("total_size"), files.alias("files")
         )
 
-    dirs = F.transform(F.slice(pieces, 2, F.size(pieces)), scanned)
+    dirs = F.transform(F.filter(pieces, lambda p, i: i > 0), scanned)
     absent = F.transform(F.regexp_extract_all(t, F.lit(rf"\[--\]\s+(\S+)\s+{fv.MISSING_LABEL}"), 1), missing)
     return F.concat(dirs, absent)
 
@@ -501,7 +518,7 @@ def active_trx_array(text: Column) -> Column:
         lambda b: F.struct(
             F.regexp_extract(b, head, 1).alias("trx_id"),
             F.trim(F.regexp_extract(b, head, 2)).alias("state"),
-            F.substring(F.trim(F.regexp_extract(b, head, 3)), 1, 200).alias("detail"),
+            F.substring(F.regexp_replace(F.regexp_extract(b, head, 3), r"^\s+|\s+$", ""), 1, 200).alias("detail"),
         ),
     )
 
@@ -705,7 +722,7 @@ def _engine_columns() -> dict[str, Column]:
         n: (c if n in ("log_sequence", "log_flushed") else c.cast("bigint")) for n, c in columns.items()
     }
     deadlock = found(text, r"(?s)LATEST DETECTED DEADLOCK\s*\n[-=]+\s*\n(.*?)(?=\n[-=]{3,}\n|\z)")
-    columns["latest_deadlock"] = F.substring(F.trim(deadlock), 1, 500)
+    columns["latest_deadlock"] = F.substring(F.regexp_replace(deadlock, r"^\s+|\s+$", ""), 1, 500)
     columns["active_transactions"] = active_trx_array(text)
     return columns
 
@@ -760,28 +777,13 @@ def node_facts(sections: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """One row per dump with every scalar fact the health rules use."""
     carried = [c for c in sections.columns if c in ("file_name", "project") and c not in keys]
     cnf = section("my.cnf detail")
-    raw_variables = variables_map(section("MySQL Variables"))
     base = sections.select(
         *keys,
         *carried,
         "sections",
-        F.coalesce(raw_variables, F.create_map().cast("map<string,string>")).alias("parsed"),
+        variables_map(section("MySQL Variables"), cnf).alias("variables"),
         status_map(section("MySQL Replication Info")).alias("repl_status"),
     )
-    added = F.map_from_entries(
-        F.filter(
-            F.array(
-                F.struct(F.lit("server_id").alias("k"), cnf_value(cnf, "server_id", r"\d+").alias("v")),
-                F.struct(
-                    F.lit("log_bin").alias("k"),
-                    F.when(F.col("parsed")["log_bin"].isNull(), cnf_value(cnf, "log_bin", r"\S+")).alias("v"),
-                ),
-            ),
-            lambda e: e["v"].isNotNull(),
-        )
-    )
-    kept = F.map_filter("parsed", lambda k, v: ~F.array_contains(F.map_keys("added"), k))
-    base = base.withColumn("added", added).withColumn("variables", F.map_concat(kept, "added"))
     temp_config = F.col("variables")["innodb_temp_data_file_path"]
     temp_text = section("innodb_tablespaces")
     total = F.filter(

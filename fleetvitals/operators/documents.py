@@ -31,7 +31,7 @@ def document_parts(members: dict[str, DataFrame], cluster_keys: list[str] = CLUS
     """
 
     def part(name: str, df: DataFrame) -> DataFrame:
-        columns = [c for c in df.columns if c not in cluster_keys]
+        columns = [F.col(f"`{c}`") for c in df.columns if c not in cluster_keys]
         body = F.to_json(F.struct(*columns))
         return df.select(*cluster_keys, F.lit(name).alias("member"), body.alias("json"))
 

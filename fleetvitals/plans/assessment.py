@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetvitals import CLUSTER_KEYS, KEYS
+from fleetvitals.functions.fixed_values import DEFAULT_THRESHOLDS
 from fleetvitals.operators import assess, correlate, documents, drift, fleet, issues, marts, rules
+from fleetvitals.plans.lineage import cut_lineage
 from fleetvitals.sources import ingest, parse
 from fleetvitals.sources.config import Config
 
@@ -52,14 +54,14 @@ def node_table(base: dict[str, DataFrame], config: Config | None = None) -> Data
     return fleet.resolve_roles(fleet.self_ref_replica(nodes))
 
 
-def assess_fleet(base: dict[str, DataFrame], config: Config | None = None, nodes: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every assessment of every cluster, lazily.
+def assess_fleet(base: dict[str, DataFrame], config: Config | None = None) -> dict[str, DataFrame]:
+    """Every assessment of every cluster.
 
-    nodes can be passed in when it was written or checkpointed before, which
-    keeps the many results from recomputing it.
+    Nodes and raw issues feed almost every result, so both are computed once
+    and checkpointed; all results that follow are lazy.
     """
     config = config or Config()
-    nodes = node_table(base, config) if nodes is None else nodes
+    nodes = cut_lineage(node_table(base, config))
     topology = fleet.topology(nodes)
     clusters = topology.select(*CLUSTER_KEYS)
 
@@ -74,7 +76,7 @@ def assess_fleet(base: dict[str, DataFrame], config: Config | None = None, nodes
     checks = assess.security_checks(security)
 
     raw = rules.evaluate_rules(nodes, config).unionByName(rules.parameter_issues(nodes, config))
-    raw = issues.promote_backup(raw, backup, config)
+    raw = cut_lineage(issues.promote_backup(raw, backup, config))
     merged = issues.merge_double_trigger(issues.merge_issues(raw, nodes))
     numbered = rules.with_advice(issues.number_issues(merged))
 
@@ -123,7 +125,7 @@ def document_members(results: dict[str, DataFrame], project: DataFrame, config:
     score = results["dimension_scores"].groupBy(*CLUSTER_KEYS).pivot("dimension", issues.DIMENSIONS).agg(F.max("score"))
     settings = config.attach(topology).select(
         *CLUSTER_KEYS,
-        *[config.value(f"thresholds.{k}").alias(k) for k in config_keys()],
+        *[config.value(f"thresholds.{k}").alias(k) for k in DEFAULT_THRESHOLDS],
     )
     disabled = config.attach(topology).select(*CLUSTER_KEYS, config.value("disabledRules").alias("value"))
     return {
@@ -145,9 +147,3 @@ def document_members(results: dict[str, DataFrame], project: DataFrame, config:
         "hcConfig": settings,
         "disabledRulesApplied": disabled,
     }
-
-
-def config_keys() -> list[str]:
-    from fleetvitals.functions.fixed_values import DEFAULT_THRESHOLDS
-
-    return list(DEFAULT_THRESHOLDS)

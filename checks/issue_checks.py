@@ -43,7 +43,15 @@ def raw(v):
 
 
 def merged(v):
-    return issues.merge_issues(raw(v), v["nodes"])
+    nodes = nodes_of(v)
+    single, shared = rules.evaluate_by_scope(nodes)
+    shared = issues.promote_backup(shared.unionByName(rules.parameter_issues(nodes)), severity(v))
+    return issues.merge_issues(single, v["nodes"], shared)
+
+
+@check("agg_01_merge_raw_issues", f"{MERGED} SELECT {', '.join(OUT)} FROM merged")
+def _(v):
+    return issues.merge_issues(raw(v), v["nodes"]).select(*OUT)
 
 
 @check("agg_01_merge_issues", f"{MERGED} SELECT {', '.join(OUT)} FROM merged")

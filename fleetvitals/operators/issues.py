@@ -22,15 +22,21 @@ def _shared() -> Column:
     return F.col("scope") == "cluster"
 
 
-def merge_issues(raw: DataFrame, nodes: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:
+def merge_issues(
+    raw: DataFrame, nodes: DataFrame, shared: DataFrame | None = None, cluster_keys: list[str] = CLUSTER_KEYS
+) -> DataFrame:
     """Issues of one group become one, keeping the first node's wording.
 
+    raw holds every issue, or only those of single nodes when the shared ones
+    are passed apart.
+
     An issue whose group is its own node has nothing to merge with and skips
     the shuffle. Counts are over distinct nodes: a rule fires at most once per
     node and subject. The list of affected nodes stays in issue_nodes, so no
     group's nodes are ever collected into one row.
     """
-    single = raw.filter(~_shared()).select(
+    alone, together = (raw.filter(~_shared()), raw.filter(_shared())) if shared is None else (raw, shared)
+    single = alone.select(
         *cluster_keys,
         "type",
         "subject",
@@ -43,8 +49,7 @@ def merge_issues(raw: DataFrame, nodes: DataFrame, cluster_keys: list[str] = CLU
     # Issues that belong to no node have no order; they still need a first one.
     first = F.min_by(F.struct(*MERGED), F.coalesce("node_order", F.lit("")))
     grouped = (
-        raw.filter(_shared())
-        .groupBy(*cluster_keys, "type", "subject")
+        together.groupBy(*cluster_keys, "type", "subject")
         .agg(
             first.alias("f"),
             F.min("priority").alias("max_priority"),

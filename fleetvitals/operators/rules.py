@@ -633,23 +633,21 @@ def primary_size(nodes: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> Da
     )
 
 
-def evaluate_rules(
-    nodes: DataFrame, config: Config | None = None, only: list[str] | None = None, keys: list[str] = KEYS
-) -> DataFrame:
-    """Raw issues, one row per node and fired rule, after disabling and overriding.
-
-    only names the rule types to evaluate; the others then cost nothing.
-    """
-    config = config or Config()
+def _prepare(nodes: DataFrame, config: Config, only: list[str] | None) -> DataFrame:
     facts = nodes
     if only is None or "slave_parallel_workers_zero" in only:
         facts = facts.join(primary_size(nodes), CLUSTER_KEYS, "left")
-    facts = config.attach(facts)
-    rules = node_rules(config, only)
+    return config.attach(facts)
+
+
+def _fire(
+    facts: DataFrame, config: Config, rules: list[Rule], disks: bool, only: list[str] | None, keys: list[str]
+) -> DataFrame:
+    """Explodes the rules that fired on each node."""
     struct, structs = _Structs(), []
     if rules:
         structs.append(F.array(*[F.when(r.when, struct(r)) for r in rules]))
-    if only is None or any(t in only for t in DISK_TYPES):
+    if disks:
         structs.append(_disk_structs(config, struct))
     issues = F.filter(
         F.concat(*structs), lambda i: i.isNotNull() & config.is_enabled(i["type"]) & _wanted(i["type"], only)
@@ -665,6 +663,36 @@ def evaluate_rules(
     return config.detach(flat.withColumn("priority", config.priority(F.col("type"), F.col("priority"))))
 
 
+def evaluate_rules(
+    nodes: DataFrame, config: Config | None = None, only: list[str] | None = None, keys: list[str] = KEYS
+) -> DataFrame:
+    """Raw issues, one row per node and fired rule, after disabling and overriding.
+
+    only names the rule types to evaluate; the others then cost nothing.
+    """
+    config = config or Config()
+    disks = only is None or any(t in only for t in DISK_TYPES)
+    return _fire(_prepare(nodes, config, only), config, node_rules(config, only), disks, only, keys)
+
+
+def evaluate_by_scope(
+    nodes: DataFrame, config: Config | None = None, keys: list[str] = KEYS
+) -> tuple[DataFrame, DataFrame]:
+    """Raw issues of single nodes and raw issues that a cluster shares, apart.
+
+    Each rule is evaluated in one of the two only, and the first kind never
+    has to be merged.
+    """
+    config = config or Config()
+    rules = node_rules(config)
+    single = [r for r in rules if r.scope == NODE]
+    shared = [r for r in rules if r.scope == CLUSTER]
+    return (
+        _fire(config.attach(nodes), config, single, True, None, keys),
+        _fire(_prepare(nodes, config, None), config, shared, False, None, keys),
+    )
+
+
 def parameter_issues(
     nodes: DataFrame,
     config: Config | None = None,

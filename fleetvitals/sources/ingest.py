@@ -154,11 +154,11 @@ def strip_banners(section_lines: DataFrame) -> DataFrame:
 
 def section_lines(dumps: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Long form of every section: (keys, section, block_no, line_no, line)."""
-    per_block = with_blocks(dumps).select(*keys, F.posexplode("blocks").alias("block_no", "b"))
+    per_block = with_blocks(dumps).select(*keys, F.posexplode_outer("blocks").alias("block_no", "b"))
     lines = F.when(F.col("b.has_body"), F.split(F.col("b.body"), "\n")).otherwise(
         F.array().cast("array<string>")
     )
-    return per_block.select(
+    return per_block.filter("b IS NOT NULL").select(
         *keys,
         F.col("b.title").alias("section"),
         "block_no",
@@ -246,10 +246,10 @@ def boxed_rows(sections: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     A row whose width differs from its header's (a cell that contains a pipe)
     is kept with is_valid = false for the quarantine.
     """
-    tables = sections.select(*keys, F.explode("sections").alias("section", "text")).select(
+    tables = sections.select(*keys, F.explode_outer("sections").alias("section", "text")).select(
         *keys, "section", boxed(F.col("text")).alias("rows")
     )
-    return tables.select(
+    return tables.filter("section IS NOT NULL").select(
         *keys,
         "section",
         F.get("rows", F.lit(0)).alias("headers"),

@@ -1,7 +1,9 @@
 """Section texts to typed tables and to one node_facts row per dump.
 
 All of it is projection: no shuffle, no Python UDF. The per-line structures
-of one dump live in arrays of that dump's row and are exploded on demand.
+of one dump live in arrays of that dump's row and are exploded on demand. Costly
+arrays are exploded with explode_outer and a filter on the result: a plain
+explode makes the optimizer add a size() test that computes the array twice.
 """
 
 from __future__ import annotations
@@ -398,7 +400,7 @@ def slow_log_entries(texts: DataFrame, keys: list[str] = KEYS, text: str = "text
     body = F.regexp_replace(F.col(text), "\r\n", "\n")
     usable = (F.trim(body) != "") & ~body.rlike(fv.UNAVAILABLE_PATTERN)
     pieces = F.split(body, r"(?m)^# Time:")
-    exploded = texts.filter(usable).select(*keys, F.explode(F.filter(pieces, lambda p, i: i > 0)).alias("piece"))
+    exploded = texts.filter(usable).select(*keys, F.explode_outer(F.filter(pieces, lambda p, i: i > 0)).alias("piece"))
     parsed = exploded.select(*keys, slow_log_entry(F.col("piece")).alias("e"))
     return _valid_entries(parsed).select(*keys, "e.*")
 
@@ -470,20 +472,20 @@ def backup_dirs_array(text: Column) -> Column:
 
 
 def backup_dirs(sections: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    dirs = sections.select(*keys, F.explode(backup_dirs_array(section("Backup directory inspection"))).alias("d"))
+    dirs = sections.select(*keys, F.explode_outer(backup_dirs_array(section("Backup directory inspection"))).alias("d")).filter("d IS NOT NULL")
     return dirs.select(*keys, "d.path", "d.exists", "d.total_size", F.size("d.files").cast("bigint").alias("n_files"))
 
 
 def backup_files(sections: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    dirs = sections.select(*keys, F.explode(backup_dirs_array(section("Backup directory inspection"))).alias("d"))
+    dirs = sections.select(*keys, F.explode_outer(backup_dirs_array(section("Backup directory inspection"))).alias("d")).filter("d IS NOT NULL")
     files = dirs.select(*keys, F.col("d.path").alias("dir"), F.explode("d.files").alias("f"))
     return files.select(*keys, "dir", "f.path", "f.mtime", "f.bytes")
 
 
 def backup_tools(sections: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     pattern = r"^\[(OK|--)\]\s+(\S+):\s*(.*)$"
-    line = F.explode(F.filter(lines(section("Backup tools available")), lambda x: x.rlike(pattern))).alias("line")
-    return sections.select(*keys, line).select(
+    line = F.explode_outer(F.filter(lines(section("Backup tools available")), lambda x: x.rlike(pattern))).alias("line")
+    return sections.select(*keys, line).filter("line IS NOT NULL").select(
         *keys,
         F.regexp_extract("line", pattern, 2).alias("tool"),
         (F.regexp_extract("line", pattern, 1) == "OK").alias("installed"),
@@ -525,7 +527,8 @@ def active_trx_array(text: Column) -> Column:
 
 def active_trx(sections: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     text = section("Engine innodb status")
-    return sections.select(*keys, F.explode(active_trx_array(text)).alias("t")).select(*keys, "t.*")
+    rows = sections.select(*keys, F.explode_outer(active_trx_array(text)).alias("t"))
+    return rows.filter("t IS NOT NULL").select(*keys, "t.*")
 
 
 def _temp_row(text: Column) -> tuple[Column, Column]:
@@ -829,11 +832,12 @@ def apply_html_temp(facts: DataFrame, html_temp: DataFrame, keys: list[str] = KE
 
 
 def variables(facts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    return facts.select(*keys, F.explode("variables").alias("name", "value"))
+    return facts.select(*keys, F.explode_outer("variables").alias("name", "value")).filter("name IS NOT NULL")
 
 
 def disks(facts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    return facts.select(*keys, F.posexplode("disks").alias("mount_no", "d")).select(*keys, "mount_no", "d.*")
+    rows = facts.select(*keys, F.posexplode_outer("disks").alias("mount_no", "d"))
+    return rows.filter("d IS NOT NULL").select(*keys, "mount_no", "d.*")
 
 
 def section_texts(sections: DataFrame, name: str, keys: list[str] = KEYS) -> DataFrame:

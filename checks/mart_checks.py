@@ -188,13 +188,13 @@ def counter(name: str) -> str:
 
 
 @check("mrt_16_lock_summary", f"""
-WITH w AS (SELECT {K}, count(*) AS n FROM {{lock_wait_rows}} GROUP BY {K}), m AS (SELECT {K}, count(*) AS n FROM {{open_tables}} WHERE in_use = 3 GROUP BY {K}),
+WITH w AS (SELECT {K}, count(*) AS n FROM {{lock_wait_rows}} GROUP BY {K}), m AS (SELECT {K}, count(*) AS n FROM {{open_tables}} GROUP BY {K}),
 c AS (SELECT {K}, {', '.join(counter(n) for n in marts.LOCK_COUNTERS)} FROM {{status}} GROUP BY {K}),
 u AS (SELECT {K} FROM w UNION SELECT {K} FROM m UNION SELECT {K} FROM c)
 SELECT u.cluster_id, u.node_ip, coalesce(w.n, 0) AS n_waits, coalesce(m.n, 0) AS n_metadata_locks, {', '.join(n.lower() for n in marts.LOCK_COUNTERS)}
 FROM u LEFT JOIN w USING (cluster_id, node_ip) LEFT JOIN m USING (cluster_id, node_ip) LEFT JOIN c USING (cluster_id, node_ip)""")
 def _(v):
-    return plain(marts.lock_summary(v["lock_wait_rows"], v["open_tables"].filter("in_use = 3"), v["status"]))
+    return plain(marts.lock_summary(v["lock_wait_rows"], v["open_tables"], v["status"]))
 
 
 @check("mrt_17_replication_status", f"SELECT {K}, role, master_host, io_running, sql_running, lag_seconds FROM {{nodes}} WHERE is_replica")

@@ -234,15 +234,15 @@ def _(v):
 
 
 @check("src_17_temp_tablespace_html", f"""
-SELECT {K}, CASE WHEN k % 3 = 0 THEN k * 4096 * 1048576 ELSE NULL END AS size_bytes, CASE WHEN k % 3 = 0 THEN 'html' ELSE NULL END AS source FROM {{nodes}} WHERE k > 0""")
+SELECT {K}, CASE WHEN k = 0 THEN 7 WHEN k % 3 = 0 THEN k * 4096 * 1048576 ELSE NULL END AS size_bytes, CASE WHEN k % 3 = 0 THEN 'html' ELSE NULL END AS source FROM {{nodes}}""")
 def _(v):
     cells = ["9"] * 38
     before = "".join(f"<td>{c}</td>" for c in ["1", "./ibtmp1", *cells[2:14]])
     after = "".join(f"<td>{c}</td>" for c in ["1048576", "12582912", "0", "67108864", *cells[19:31], "7", *cells[32:]])
     other = "<tr><td>a</td></tr>"
     row = D.lines(f"<table>{other}<tr>{before}<td>", F.col("k") * 4096, f"</td>{after}</tr></table>")
-    reports = v["nodes"].filter("k > 0").select(*KEYS, F.when(F.col("k") % 3 == 0, row).otherwise(other).alias("content"))
-    nodes = v["nodes"].filter("k > 0").select(*KEYS, F.lit(None).cast("struct<size_bytes:bigint,free_bytes:bigint,initial_size:string,auto_extend:string,source:string>").alias("temp"))
+    reports = v["nodes"].select(*KEYS, F.when(F.col("k") % 3 == 0, row).otherwise(other).alias("content"))
+    nodes = v["nodes"].select(*KEYS, F.lit(None).cast("struct<size_bytes:bigint,free_bytes:bigint,initial_size:string,auto_extend:string,source:string>").alias("temp"))
     merged = parse.apply_html_temp(nodes, parse.temp_tablespace_html(reports))
     return plain(merged.select(*KEYS, "temp.size_bytes", "temp.source"))
 

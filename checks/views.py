@@ -163,12 +163,12 @@ SELECT DISTINCT cluster_id, snapshot_date, node_ip, table_schema AS schema_name,
 FROM {cat_tables}
 UNION ALL SELECT DISTINCT cluster_id, snapshot_date, node_ip, 'empty_db' AS schema_name, 'utf8mb4' AS charset, 'utf8mb4_bin' AS schema_collation
 FROM {cat_tables}""",
-    "cat_events": "SELECT cluster_id, snapshot_date, node_ip, table_schema AS event_schema, k FROM {cat_tables} WHERE k % 31 = 0",
-    "cat_triggers": "SELECT cluster_id, snapshot_date, node_ip, table_schema AS trigger_schema, k FROM {cat_tables} WHERE k % 29 = 0",
+    "cat_events": "SELECT cluster_id, snapshot_date, node_ip, table_schema AS event_schema, k FROM {cat_tables}",
+    "cat_triggers": "SELECT cluster_id, snapshot_date, node_ip, table_schema AS trigger_schema, k FROM {cat_tables}",
     "cat_routines": f"""
 SELECT cluster_id, snapshot_date, node_ip, table_schema AS routine_schema, concat('r', {text('k')}) AS routine_name,
   CASE WHEN k % 2 = 0 THEN 'PROCEDURE' ELSE 'FUNCTION' END AS routine_type, 'dba@localhost' AS definer
-FROM {{cat_tables}} WHERE k % 19 = 0""",
+FROM {{cat_tables}}""",
     "cat_table_stats": """
 SELECT cluster_id, snapshot_date, node_ip, table_schema, table_name, table_rows AS n_rows FROM {cat_tables}""",
     "cat_engines": """
@@ -223,7 +223,7 @@ FROM {{orders}}""",
     "lock_wait_rows": f"""
 SELECT {keys('o_custkey % 25', "concat('172.16.0.', CAST(o_custkey % 25 AS STRING))")}, concat('T', {text('o_orderkey')}) AS waiting_trx_id,
   concat('T', {text('o_orderkey - 25')}) AS blocking_trx_id
-FROM {{orders}} WHERE o_orderkey % 3 = 0""",
+FROM {{orders}}""",
     "digests": f"""
 SELECT {keys('l_suppkey % 25', "concat('172.16.0.', CAST(l_suppkey % 25 AS STRING))")}, concat('d', {text('l_partkey % 300')}) AS digest,
   CASE WHEN l_partkey % 300 = 7 THEN 'mysql' WHEN l_partkey % 300 = 8 THEN NULL ELSE concat('db', {text('l_partkey % 4')}) END AS db,
@@ -253,7 +253,7 @@ FROM {{lineitem}}""",
 SELECT {keys('o_custkey % 25', ip('10', 'o_custkey % 100'))}, '/data/backup' AS dir,
   concat('/data/backup/full_', {text('o_orderkey')}, '.sql') AS path, CAST(o_orderdate AS DATE) AS mtime,
   CAST(round(o_totalprice * 100) AS BIGINT) AS bytes
-FROM {{orders}} WHERE o_orderkey % 20 = 0""",
+FROM {{orders}}""",
     "backup_dirs": f"""
 SELECT {keys('s_nationkey', ip('10', 's_suppkey'))}, CASE WHEN s_suppkey % 3 = 0 THEN '/opt/db_bak/' ELSE '/data/backup' END AS path,
   s_suppkey % 5 <> 0 AS "exists", '10G' AS total_size, CAST(CASE WHEN s_nationkey % 6 = 1 THEN 0 ELSE s_suppkey % 4 END AS BIGINT) AS n_files

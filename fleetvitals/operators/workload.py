@@ -117,8 +117,8 @@ def status_subset(status: DataFrame, names: list[str] | None = None, keys: list[
 
 def digest_text(sql: Column | str) -> Column:
     """A statement with its literals replaced and its white space folded."""
-    text = F.regexp_replace(S.column(sql), r"'[^']*'|\"[^\"]*\"", "?")
-    text = F.regexp_replace(text, r"\b\d+(\.\d+)?\b", "?")
+    literal = r"""'[^']*'|"[^"]*"|\b\d+(\.\d+)?\b"""
+    text = F.regexp_replace(S.column(sql), literal, "?")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 

@@ -11,11 +11,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder that spark.checkpoint.dir names.
 
     Lost executors re-read it from there. A folder of our own is set only
-    where none is named, which is the case in tests.
+    where none is named and Spark runs in one process, as in tests; on a
+    cluster a local folder would not survive, so there the setting is required.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fleetvitals-checkpoint-"))
     return df.checkpoint()

@@ -368,7 +368,7 @@ def disks_array(text: Column) -> Column:
 
 def slow_log_entry(piece: Column) -> Column:
     """One slow-log entry: the text that follows a '# Time:' mark."""
-    timing = r"(?m)^# Query_time:\s+([\d.]+)\s+Lock_time:\s+([\d.]+)\s+Rows_sent:\s+(\d+)\s+Rows_examined:\s+(\d+)"
+    timing = r"(?m)^# Query_time:\s+[\d.]+\s+Lock_time:\s+[\d.]+\s+Rows_sent:\s+\d+\s+Rows_examined:\s+\d+"
     body = F.filter(
         F.split(piece, "\n"),
         lambda line, i: (i > 0)
@@ -379,16 +379,22 @@ def slow_log_entry(piece: Column) -> Column:
     )
     sql = F.array_join(F.transform(body, lambda x: F.trim(x)), " ")
     dbs = F.regexp_extract_all(piece, F.lit(r"(?m)^use ([^\n;]*)"), 1)
-    return F.struct(
-        first_line(piece).alias("time"),
-        F.trim(found(piece, r"(?m)^# User@Host:([^\n]*)$")).alias("user_host"),
-        found(piece, timing, 1).try_cast("double").alias("query_s"),
-        found(piece, timing, 2).try_cast("double").alias("lock_s"),
-        found(piece, timing, 3).try_cast("bigint").alias("rows_sent"),
-        found(piece, timing, 4).try_cast("bigint").alias("rows_examined"),
-        F.trim(F.try_element_at(dbs, F.lit(-1))).alias("db"),
-        F.nullif(sql, F.lit("")).alias("sql"),
-    )
+    # The numbers alternate with their labels: time, lock time, rows sent, rows examined.
+    numbers = F.regexp_extract_all(F.regexp_extract(piece, timing, 0), F.lit(r":\s+([\d.]+)"), 1)
+
+    def entry(n: Column) -> Column:
+        return F.struct(
+            first_line(piece).alias("time"),
+            F.trim(found(piece, r"(?m)^# User@Host:([^\n]*)$")).alias("user_host"),
+            F.get(n, F.lit(0)).try_cast("double").alias("query_s"),
+            F.get(n, F.lit(1)).try_cast("double").alias("lock_s"),
+            F.get(n, F.lit(2)).try_cast("bigint").alias("rows_sent"),
+            F.get(n, F.lit(3)).try_cast("bigint").alias("rows_examined"),
+            F.trim(F.try_element_at(dbs, F.lit(-1))).alias("db"),
+            F.nullif(sql, F.lit("")).alias("sql"),
+        )
+
+    return ingest.let(numbers, entry)
 
 
 def _valid_entries(df: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def bands(percent: int, largest: int) -> tuple[int, list[int]]:
     ratio = max(1.35, 100 / percent + 0.1)
     uppers = []
     last = small
-    while last < largest:
+    while last < largest or not uppers:
         last = max(last + 1, int(last * ratio))
         uppers.append(last)
     return small, uppers
@@ -402,6 +402,8 @@ def near_duplicates(
         "ngram-blocks",
     )
     columns = ["hub", "chunk", "role", "id", "content"]
+    # Members grow with the input, so their join with the contents is a merge join at every size.
+    named = named.hint("merge")
     found = stored(_join_blocks(dealt.join(named, "id").select(*columns), n, percent), "ngram-links")
     links = found.where("b is not null").select("a", "b")
     # Members of large blocks that their chunk could not join to the hub visit the block's other chunks.

@@ -15,7 +15,8 @@ FROM {backup_tools} b JOIN {nodes} n USING (cluster_id, node_ip) GROUP BY b.clus
 HAS_TOOL = f"SELECT cluster_id, bool_or(installed AND tool IN ('mysqldump', 'xtrabackup')) AS has_tool FROM ({TOOLING}) GROUP BY cluster_id"
 ARTIFACT = "SELECT cluster_id, bool_or(n_files > 0) AS has_artifact FROM {backup_dirs} GROUP BY cluster_id"
 SCHEDULE = "SELECT cluster_id, bool_or(line LIKE '%xtrabackup%') AS has_schedule FROM {cron_lines} GROUP BY cluster_id"
-LATEST = """SELECT cluster_id, node_ip, path, mtime, bytes FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY mtime DESC, node_ip, path) AS r FROM {backup_files}) WHERE r = 1"""
+LATEST = """SELECT cluster_id, node_ip, path, mtime, bytes FROM (SELECT f.*, row_number() OVER (PARTITION BY f.cluster_id ORDER BY mtime DESC, coalesce(node_order, concat('~|', f.node_ip)), path) AS r
+FROM {backup_files} f LEFT JOIN {nodes} n ON n.cluster_id = f.cluster_id AND n.node_ip = f.node_ip) WHERE r = 1"""
 
 
 def tooling(v):
@@ -34,7 +35,7 @@ def _(v):
 
 @check("bkp_02_latest_backup", LATEST)
 def _(v):
-    return plain(assess.latest_backup(v["backup_files"]))
+    return plain(assess.latest_backup(v["backup_files"], v["nodes"]))
 
 
 @check("bkp_03_has_artifact", ARTIFACT)
@@ -64,7 +65,7 @@ LEFT JOIN (SELECT cluster_id, DATE '2024-01-31' - CAST(cluster_id % 12 AS INT) A
 
 
 def severity(v):
-    latest = assess.latest_backup(v["backup_files"])
+    latest = assess.latest_backup(v["backup_files"], v["nodes"])
     recent = latest.withColumn("mtime", F.date_sub(F.lit("2024-01-31").cast("date"), (F.col("cluster_id") % 12).cast("int")))
     return assess.backup_severity(
         fleet.topology(v["nodes"]), assess.has_tool(tooling(v)), assess.has_artifact(v["backup_dirs"]), assess.has_schedule(v["cron_lines"]), recent
@@ -77,18 +78,16 @@ def _(v):
 
 
 @check("bkp_07_backup_dir_summary", f"""
-WITH f AS (SELECT {K}, dir, count(*) AS n, max(mtime) AS latest, CAST(sum(bytes) AS BIGINT) AS total FROM {{backup_files}} GROUP BY ALL),
+WITH f AS (SELECT {K}, dir, count(*) AS n, max(mtime) AS latest, CAST(sum(bytes) AS BIGINT) AS total, last(bytes ORDER BY mtime, path) AS newest FROM {{backup_files}} GROUP BY ALL),
 d AS (SELECT DISTINCT {K}, dir AS path FROM {{backup_files}} UNION ALL SELECT {K}, '/opt/none' FROM {{nodes}})
-SELECT cluster_id, node_ip, path, coalesce(n, 0) AS n_files, latest, total AS total_bytes, CASE WHEN n = 1 THEN CAST(ceil(total / 209715200.0) AS BIGINT) END AS restore_s
+SELECT cluster_id, node_ip, path, coalesce(n, 0) AS n_files, latest, total AS total_bytes, CAST(ceil(newest / 209715200.0) AS BIGINT) AS restore_s
 FROM d LEFT JOIN f ON d.cluster_id = f.cluster_id AND d.node_ip = f.node_ip AND d.path = f.dir""".replace("SELECT cluster_id, node_ip, path", "SELECT d.cluster_id, d.node_ip, path"))
 def _(v):
     keys = ["cluster_id", "snapshot_date", "node_ip"]
     found = v["backup_files"].select(*keys, F.col("dir").alias("path")).distinct().withColumn("exists", F.lit(True))
     none = v["nodes"].select(*keys, F.lit("/opt/none").alias("path"), F.lit(False).alias("exists"))
     dirs = found.unionByName(none).withColumn("total_size", F.lit("-"))
-    summary = plain(assess.backup_dir_summary(dirs, v["backup_files"]), "exists", "total_size")
-    # Several artefacts can share the newest day; the estimate is compared where there is one.
-    return summary.withColumn("restore_s", F.when(F.col("n_files") == 1, F.col("restore_s")))
+    return plain(assess.backup_dir_summary(dirs, v["backup_files"]), "exists", "total_size")
 
 
 FACTS = """(SELECT cluster_id, arg_min(coalesce(has_password_policy::VARCHAR, '-'), node_order) AS lead_policy, arg_min(coalesce(have_ssl, '-'), node_order) AS lead_ssl,

@@ -79,9 +79,8 @@ def _(v):
 RATE = "round(CAST(data_free AS DOUBLE) / (data_length + index_length + data_free), 2)"
 
 
-@check("cat_06_fragmented_tables", topk(
-    f"{K}, table_schema, table_name, table_rows, data_length, index_length, data_free, {RATE} AS frag_rate",
-    "{cat_tables}", f"{USER} AND data_length + index_length > 4194304 AND {RATE} > 0.3", "data_free DESC, table_schema, table_name", 100))
+@check("cat_06_fragmented_tables", f"""SELECT {K}, table_schema, table_name, table_rows, data_length, index_length, data_free, {RATE} AS frag_rate
+FROM {{cat_tables}} WHERE {USER} AND data_length + index_length > 4194304 AND {RATE} > 0.3""")
 def _(v):
     return plain(C.fragmented_tables(v["cat_tables"]))
 
@@ -96,16 +95,13 @@ def _(v):
     return plain(C.large_columns(v["cat_columns"]))
 
 
-@check("cat_09_partition_counts", topk(
-    f"{K}, table_schema, table_name, n_partitions",
-    f"(SELECT {K}, table_schema, table_name, count(*) AS n_partitions FROM {{cat_partitions}} WHERE {USER} GROUP BY ALL)",
-    "n_partitions > 1", "n_partitions DESC, table_schema, table_name", 100))
+@check("cat_09_partition_counts", f"""SELECT {K}, table_schema, table_name, count(*) AS n_partitions
+FROM {{cat_partitions}} WHERE {USER} GROUP BY ALL HAVING count(*) > 1""")
 def _(v):
     return plain(C.partition_counts(v["cat_partitions"]))
 
 
-@check("cat_10_non_base_tables", topk(
-    f"{K}, table_schema, table_name, table_type", "{cat_tables}", f"{USER} AND table_type <> 'BASE TABLE'", "table_schema, table_name", 100))
+@check("cat_10_non_base_tables", f"SELECT {K}, table_schema, table_name, table_type FROM {{cat_tables}} WHERE {USER} AND table_type <> 'BASE TABLE'")
 def _(v):
     return plain(C.non_base_tables(v["cat_tables"]))
 
@@ -120,9 +116,7 @@ def _(v):
     return plain(C.schema_charsets(v["cat_schemata"]))
 
 
-@check("cat_12_nonstandard_types", topk(
-    f"{K}, table_schema, table_name, column_name, data_type", "{cat_columns}", f"{USER} AND data_type IN ('text', 'longtext', 'json')",
-    "table_schema, table_name, column_name", 100))
+@check("cat_12_nonstandard_types", f"SELECT {K}, table_schema, table_name, column_name, data_type FROM {{cat_columns}} WHERE {USER} AND data_type IN ('text', 'longtext', 'json')")
 def _(v):
     return plain(C.nonstandard_types(v["cat_columns"]))
 
@@ -130,15 +124,14 @@ def _(v):
 AUTO = f"""(SELECT t.cluster_id, t.node_ip, table_schema, table_name, column_name, auto_increment, {AUTO_RATE} AS rate
 FROM {{cat_tables}} t JOIN {{cat_columns}} c USING (cluster_id, node_ip, table_schema, table_name)
 WHERE extra = 'auto_increment' AND auto_increment IS NOT NULL AND {USER})"""
-AUTO_TOP = topk(f"{K}, table_schema, table_name, column_name, auto_increment, rate", AUTO, "TRUE",
-                "rate DESC, auto_increment DESC, table_schema, table_name, column_name", 30)
+AUTO_ALL = f"SELECT {K}, table_schema, table_name, column_name, auto_increment, rate FROM {AUTO}"
 
 
 def auto_increment(v):
     return C.auto_increment_usage(v["cat_tables"], v["cat_columns"])
 
 
-@check("cat_13_auto_increment_usage", AUTO_TOP)
+@check("cat_13_auto_increment_usage", AUTO_ALL)
 def _(v):
     return plain(auto_increment(v))
 
@@ -237,9 +230,9 @@ def _(v):
     return plain(C.group_members(df))
 
 
-@check("cat_17_semi_sync", f"SELECT {K}, name, value FROM {{status}} WHERE name LIKE 'Ssl%'")
+@check("cat_17_semi_sync", f"SELECT {K}, name, value FROM {{status}} WHERE starts_with(name, 'Rpl_semi_sync')")
 def _(v):
-    return plain(C.variables_like(v["status"], "Ssl%"))
+    return plain(C.variables_like(v["status"], "Rpl_semi_sync%"))
 
 
 @check("usr_01_account_privileges", f"SELECT {K}, user_name, host, plugin, select_priv, super_priv FROM {{cat_users}}")
@@ -254,9 +247,7 @@ def _(v):
     return plain(C.expiring_passwords(v["cat_users"]))
 
 
-@check("usr_03_connected_users", topk(
-    f"{K}, user_name, host", f"(SELECT DISTINCT {K}, user_name, host FROM {{sessions}} WHERE user_name NOT IN ('repl', 'system user'))",
-    "TRUE", "user_name, host", 100))
+@check("usr_03_connected_users", f"SELECT DISTINCT {K}, user_name, host FROM {{sessions}} WHERE user_name NOT IN ('repl', 'system user')")
 def _(v):
     return plain(C.connected_users(v["sessions"]))
 
@@ -286,8 +277,7 @@ def _(v):
     return plain(C.logins_by_db_user_ip(v["sessions"]))
 
 
-UNUSED = topk(f"{K}, table_schema, table_name, index_name", "{index_usage}", f"{USER} AND index_name IN ('ix_a', 'ix_c') AND count_star = 0",
-              "table_schema, table_name, index_name", 200)
+UNUSED = f"SELECT {K}, table_schema, table_name, index_name FROM {{index_usage}} WHERE {USER} AND index_name IN ('ix_a', 'ix_c') AND count_star = 0"
 
 
 @check("idx_01_unused_indexes", UNUSED)
@@ -303,7 +293,7 @@ SELECT a.cluster_id, a.node_ip, a.table_schema, a.table_name, a.index_name AS re
 FROM lists a JOIN lists b USING (cluster_id, node_ip, table_schema, table_name)
 WHERE a.index_name <> b.index_name AND ((a.cols = b.cols AND (a.nu > b.nu OR (a.nu = b.nu AND a.sort_name > b.sort_name)))
   OR (starts_with(b.cols, concat(a.cols, ',')) AND a.nu = 1) OR (starts_with(a.cols, concat(b.cols, ',')) AND b.nu = 0)))
-{topk("*", "pairs", "TRUE", "table_schema, table_name, redundant_index, dominant_index", 100).replace("*, CAST(rnk AS INT) AS rnk", "* REPLACE (CAST(rnk AS INT) AS rnk)")}"""
+SELECT * FROM pairs"""
 
 
 @check("idx_02_redundant_indexes", REDUNDANT)

@@ -35,6 +35,12 @@ def _(v):
     return plain(drift.parameter_values(nodes_of(v)))
 
 
+@check("drf_01_parameter_node_values", f"{SUMMARY} SELECT p.cluster_id, p.node_ip, p.role, p.name, p.value FROM p JOIN s USING (cluster_id, name)")
+def _(v):
+    nodes = nodes_of(v)
+    return plain(drift.parameter_node_values(nodes, drift.parameter_drift(nodes)))
+
+
 @check("drf_02_judge_parameter", f"""{SUMMARY}
 SELECT cluster_id, name, CASE name WHEN 'server_id' THEN TRUE WHEN 'read_only' THEN pro = 0 AND rrw = 0
   WHEN 'expire_logs_days' THEN zeros = 0 AND coalesce(rmin >= pn AND rmax - pn <= 30, FALSE) ELSE FALSE END AS ok,

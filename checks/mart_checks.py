@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import issue_checks as I
-from checks.catalog_checks import AUTO_TOP, K, NO_PK, OBJECTS, RATE, REDUNDANT, UNUSED, USER, auto_increment, no_pk, object_counts, plain, topk
+from checks.catalog_checks import AUTO_ALL, K, NO_PK, OBJECTS, RATE, REDUNDANT, UNUSED, USER, auto_increment, no_pk, object_counts, plain, topk
+from checks.drift_checks import SUMMARY
 from checks.registry import check
 from checks.rule_checks import HIT, nodes_of
 from checks.workload_checks import LONG, SESSION
 from fleetvitals import CLUSTER_KEYS, KEYS
 from fleetvitals.functions import fixed_values as fv
 from fleetvitals.operators import catalog, documents, drift, fleet, issues, marts, rules
+from fleetvitals.plans.lineage import shared_folder
+from fleetvitals.sources import tables
 
 GIB = 1073741824
 
@@ -119,7 +124,7 @@ FROM {{cat_tables}} WHERE {USER} AND data_length + index_length > 4194304 AND {R
 
 
 def fragments(v):
-    return marts.significant_fragments(catalog.fragmented_tables(v["cat_tables"], k=None))
+    return marts.significant_fragments(catalog.fragmented_tables(v["cat_tables"]))
 
 
 @check("mrt_11_significant_fragments", FRAGMENTS)
@@ -218,7 +223,7 @@ def _(v):
 
 
 def unused(v):
-    return catalog.unused_indexes(v["index_usage"]).drop("rnk")
+    return catalog.unused_indexes(v["index_usage"])
 
 
 @check("mrt_19_unused_index_summary", categories(UNUSED))
@@ -226,14 +231,14 @@ def _(v):
     return plain(marts.category_counts(unused(v)))
 
 
-@check("mrt_19_unused_index_top", f"SELECT {K}, table_schema, table_name, index_name, rnk, {CATEGORY} AS category FROM ({UNUSED}) WHERE rnk <= 30")
+@check("mrt_19_unused_index_top", topk(f"{K}, table_schema, table_name, index_name, {CATEGORY} AS category", f"({UNUSED})", "TRUE", "table_schema, table_name, index_name", 30))
 def _(v):
     return plain(marts.index_top(unused(v), ["table_schema", "table_name", "index_name"]))
 
 
-@check("mrt_19_redundant_index_top", f"SELECT {K}, table_schema, table_name, redundant_index, dominant_index, rnk, {CATEGORY} AS category FROM ({REDUNDANT}) WHERE rnk <= 15")
+@check("mrt_19_redundant_index_top", topk(f"{K}, table_schema, table_name, redundant_index, dominant_index, {CATEGORY} AS category", f"({REDUNDANT})", "TRUE", "table_schema, table_name, redundant_index, dominant_index", 15))
 def _(v):
-    found = catalog.redundant_indexes(v["cat_index_columns"]).drop("rnk", "redundant_columns", "dominant_columns")
+    found = catalog.redundant_indexes(v["cat_index_columns"]).drop("redundant_columns", "dominant_columns")
     return plain(marts.index_top(found, ["table_schema", "table_name", "redundant_index", "dominant_index"], k=15))
 
 
@@ -243,7 +248,7 @@ def _(v):
     return plain(marts.large_column_tables(catalog.large_columns(v["cat_columns"])))
 
 
-@check("mrt_21_auto_increment_bands", f"SELECT {K}, table_schema, table_name, rate, CASE WHEN rate >= 0.8 THEN 'urgent' WHEN rate >= 0.5 THEN 'attention' ELSE 'normal' END AS band FROM ({AUTO_TOP})")
+@check("mrt_21_auto_increment_bands", f"SELECT {K}, table_schema, table_name, rate, CASE WHEN rate >= 0.8 THEN 'urgent' WHEN rate >= 0.5 THEN 'attention' ELSE 'normal' END AS band FROM ({AUTO_ALL})")
 def _(v):
     return marts.auto_increment_bands(auto_increment(v)).select("cluster_id", "node_ip", "table_schema", "table_name", "rate", "band")
 
@@ -272,21 +277,39 @@ def parts(v):
     })
 
 
-@check("snk_02_document_parts", "SELECT cluster_id, 'nodes' AS member, count(*) AS n FROM {nodes} GROUP BY cluster_id UNION ALL SELECT DISTINCT cluster_id, 'cluster', 1 FROM {nodes} UNION ALL SELECT DISTINCT cluster_id, 'schemaVersion', 1 FROM {nodes}")
+DRIFTS = f"SELECT cluster_id, count(*) AS n FROM ({SUMMARY} SELECT cluster_id, name FROM s) GROUP BY cluster_id"
+MEMBER_COUNTS = f"""SELECT cluster_id, 'nodes' AS member, count(*) AS n FROM {{nodes}} GROUP BY cluster_id UNION ALL SELECT DISTINCT cluster_id, 'cluster', 1 FROM {{nodes}}
+UNION ALL SELECT DISTINCT cluster_id, 'schemaVersion', 1 FROM {{nodes}} UNION ALL SELECT cluster_id, 'paramJudgments', n FROM ({DRIFTS})"""
+
+
+@check("snk_02_document_parts", MEMBER_COUNTS)
+def _(v):
+    return parts(v).groupBy("cluster_id", "member").agg(F.count(F.lit(1)).alias("n"))
+
+
+ALL_MEMBERS = ", ".join(f"('{n}')" for n, _ in documents.MEMBERS)
+
+
+@check("snk_02_cluster_documents", f"""WITH c AS ({MEMBER_COUNTS}), k AS (SELECT DISTINCT cluster_id FROM {{nodes}}), m(member) AS (VALUES {ALL_MEMBERS}),
+r AS (SELECT cluster_id, 'nodes' AS member, sum(hash_role) AS roles FROM (SELECT cluster_id, CASE role WHEN 'primary' THEN 1 WHEN 'dr' THEN 1000 ELSE 1000000 END AS hash_role FROM {{nodes}}) GROUP BY cluster_id)
+SELECT k.cluster_id, m.member, coalesce(c.n, 0) AS n_items, CAST(r.roles AS BIGINT) AS roles FROM k CROSS JOIN m LEFT JOIN c USING (cluster_id, member) LEFT JOIN r USING (cluster_id, member)""")
 def _(v):
-    counted = parts(v).filter("member <> 'paramJudgments'").groupBy("cluster_id", "member").agg(F.count(F.lit(1)).alias("n"))
-    return counted
+    """Every item of every cluster is in one chunk, however small the slices are."""
+    chunks = documents.cluster_documents(parts(v), slice_items=7)
+    nodes = F.from_json("json", "array<struct<role:string>>")
+    weight = F.aggregate(nodes, F.lit(0).cast("bigint"), lambda t, n: t + F.when(n["role"] == "primary", 1).when(n["role"] == "dr", 1000).otherwise(1000000))
+    counted = chunks.withColumn("w", F.when(F.col("member") == "nodes", weight))
+    return counted.groupBy("cluster_id", "member").agg(F.sum("n_items").alias("n_items"), F.sum("w").alias("roles"))
 
 
-@check("snk_02_cluster_documents", "SELECT cluster_id, 3 AS version, count(*) AS n_nodes, max(role) FILTER (role = 'primary') AS role FROM {nodes} GROUP BY cluster_id")
+@check("snk_01_write_mart", "SELECT cluster_id, count(*) AS n_nodes, count(*) FILTER (role <> 'primary') AS n_replicas FROM {nodes} GROUP BY cluster_id")
 def _(v):
-    docs = documents.cluster_documents(parts(v))
-    schema = "struct<schemaVersion:struct<value:int>,nodes:array<struct<role:string>>>"
-    doc = F.from_json("document", schema)
-    roles = F.transform(doc["nodes"], lambda n: n["role"])
-    return docs.select(
-        "cluster_id", doc["schemaVersion"]["value"].alias("version"), F.size(roles).cast("bigint").alias("n_nodes"),
-        F.get(F.filter(roles, lambda r: r == "primary"), F.lit(0)).alias("role"))
+    """A result table written, written again for the same snapshot, and read back."""
+    path = f"{shared_folder(v.spark)}/marts-{uuid.uuid4().hex}"
+    topology = fleet.topology(v["nodes"])
+    for _ in range(2):
+        tables.write_marts({"topology": topology}, path)
+    return tables.read_base_tables(v.spark, path, ["topology"])["topology"].select("cluster_id", "n_nodes", "n_replicas")
 
 
 @check("dq_01_validate", """

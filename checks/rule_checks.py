@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.catalog_checks import AUTO_TOP, K, NO_PK, RATE, USER, auto_increment, no_pk
+from checks.catalog_checks import AUTO_ALL, K, NO_PK, RATE, USER, auto_increment, no_pk
 from checks.config_checks import LAYERED, layered_config
 from checks.registry import check
 from checks.workload_checks import LONG
@@ -202,7 +202,7 @@ FRAG = f"SELECT *, {RATE} AS frag_rate FROM {{cat_tables}} WHERE {USER} AND data
 
 
 def fragments(v):
-    frag = catalog.fragmented_tables(v["cat_tables"], k=None)
+    frag = catalog.fragmented_tables(v["cat_tables"])
     return fleet.fragment_facts(frag, F.lit(fv.DEFAULT_THRESHOLDS["frag.rate"]), F.lit(fv.DEFAULT_THRESHOLDS["frag.min_mb"]))
 
 
@@ -224,7 +224,7 @@ def _(v):
     return fragments(v)
 
 
-@child_rule(45, "auto_increment_exhausting", f"SELECT {K}, count(*) FILTER (rate >= 0.7) AS n, max(rate) AS top FROM ({AUTO_TOP}) GROUP BY {K}",
+@child_rule(45, "auto_increment_exhausting", f"SELECT {K}, count(*) FILTER (rate >= 0.7) AS n, max(rate) AS top FROM ({AUTO_ALL}) GROUP BY {K}",
             "CASE WHEN top >= 0.9 THEN 'P0' WHEN top >= 0.8 THEN 'P1' ELSE 'P2' END", "n > 0", "''", "dataDesign", "n")
 def _(v):
     return fleet.auto_increment_facts(auto_increment(v), F.lit(fv.DEFAULT_THRESHOLDS["auto_increment.rate_p2"]))
@@ -238,7 +238,7 @@ def register_wildcard(number: int, level: str) -> None:
     priority, match = LEVELS[level]
 
     @child_rule(number, f"wildcard_{level}", f"SELECT {K}, count(*) FILTER (host = '%' AND {match}) AS n FROM {{cat_users}} GROUP BY {K}",
-                f"'{priority}'", "n > 0", None, None, "n")
+                f"'{priority}'", "n > 0", "node_ip", None, "n")
     def _(v):
         return fleet.account_facts(v["cat_users"])
 

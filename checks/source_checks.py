@@ -248,14 +248,17 @@ def _(v):
 
 
 def slow_log_texts(v) -> DataFrame:
+    # Every fourth time mark has a second statement, of another user and without a database, under it.
+    second = D.lines("\n# User@Host: second[s] @ [10.0.0.2]\n# Query_time: 9.5  Lock_time: 0.5 Rows_sent: 2  Rows_examined: ", F.col("o_orderkey"), "\nUPDATE t", F.col("o_custkey"), ";")
     entry = D.lines(
         "# Time: ", F.date_format("o_orderdate", "yyyy-MM-dd"), "\n# User@Host: u", F.col("o_custkey"), "[u] @ [10.0.0.1]\n# Query_time: ", (F.col("o_totalprice") * 100).cast("bigint"),
-        ".5  Lock_time: 0.25 Rows_sent: 1  Rows_examined: ", F.col("o_orderkey"), "\nuse db", F.col("o_custkey") % 3, ";\nSET timestamp=1;\nSELECT ", F.col("o_orderkey"), "\n  FROM t;")
+        ".5  Lock_time: 0.25 Rows_sent: 1  Rows_examined: ", F.col("o_orderkey"), "\nuse db", F.col("o_custkey") % 3, ";\nSET timestamp=1;\nSELECT ", F.col("o_orderkey"), "\n  FROM t;", F.when(F.col("o_orderkey") % 4 == 0, second).otherwise(""))
     return D.chunked(v["orders"], "o_orderkey", entry).select(*KEYS, F.concat(F.lit("server started with:\n"), F.array_join("entries", "\n")).alias("text"))
 
 
 SLOW = f"""SELECT {chunk_keys('o_orderkey')}, strftime(o_orderdate, '%Y-%m-%d') AS time, concat('u', o_custkey, '[u] @ [10.0.0.1]') AS user_host, CAST(floor(o_totalprice * 100) AS BIGINT) + 0.5::DOUBLE AS query_s,
-  0.25::DOUBLE AS lock_s, CAST(1 AS BIGINT) AS rows_sent, o_orderkey AS rows_examined, concat('db', o_custkey % 3) AS db, concat('SELECT ', o_orderkey, ' FROM t;') AS sql FROM orders"""
+  0.25::DOUBLE AS lock_s, CAST(1 AS BIGINT) AS rows_sent, o_orderkey AS rows_examined, concat('db', o_custkey % 3) AS db, concat('SELECT ', o_orderkey, ' FROM t;') AS sql FROM orders
+UNION ALL SELECT {chunk_keys('o_orderkey')}, strftime(o_orderdate, '%Y-%m-%d'), 'second[s] @ [10.0.0.2]', 9.5::DOUBLE, 0.5::DOUBLE, CAST(2 AS BIGINT), o_orderkey, NULL, concat('UPDATE t', o_custkey, ';') FROM orders WHERE o_orderkey % 4 = 0"""
 
 
 def slow_entries(v) -> DataFrame:
@@ -450,8 +453,39 @@ def _(v):
     return plain(rows.join(parse.node_facts(sections).select(*KEYS, "locks_collected"), KEYS))
 
 
-@check("src_28_read_base_tables", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@check("src_03_other_sections", f"SELECT {K}, concat('Vendor check ', k % 7) AS section, concat('line ', k) AS text FROM {{nodes}}")
 def _(v):
-    nation = tables.read_base_table(v.spark, f"{v.sf_dir}/nation.parquet")
-    region = tables.read_base_table(v.spark, f"{v.sf_dir}/region.parquet")
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    """A section that no parser knows stays readable."""
+    dumps = D.node_dumps(v, D.section(1, "hostname", "", F.col("hostname")), D.lines(D.marker(9, "Vendor check ").rstrip("\n"), F.col("k") % 7, "\nline ", F.col("k"), "\n"))
+    return plain(ingest.other_sections(ingest.with_blocks(dumps), parse.ALL_SECTIONS)).drop("block_no").withColumn("text", F.trim(F.regexp_replace("text", "\n", "")))
+
+
+@check("src_25_databases", f"SELECT {chunk_keys('n')}, name, 'utf8mb4' AS charset, 'bin' AS collation FROM (SELECT k * 4 + CASE name WHEN 'shop' THEN 0 WHEN 'pay' THEN 1 WHEN 'log' THEN 2 ELSE 3 END AS n, name FROM {{databases}} JOIN {{nodes}} USING (cluster_id, node_ip))")
+def _(v):
+    order = F.when(F.col("name") == "shop", 0).when(F.col("name") == "pay", 1).when(F.col("name") == "log", 2).otherwise(3)
+    rows = v["databases"].join(v["nodes"].select(*KEYS, "k"), KEYS).withColumn("n", F.col("k") * 4 + order)
+    return typed(v, "databases", "n", rows, ["SCHEMA_NAME", "DEFAULT_CHARACTER_SET_NAME", "DEFAULT_COLLATION_NAME"], "name", F.lit("utf8mb4"), F.lit("bin"))
+
+
+@check("src_25_no_pk_tables", f"SELECT {CK}, table_schema, table_name FROM {{cat_tables}}")
+def _(v):
+    return typed(v, "no_pk_tables", "k", v["cat_tables"], ["TABLE_SCHEMA", "TABLE_NAME"], "table_schema", "table_name")
+
+
+@check("src_25_large_columns", f"SELECT {CK}, table_schema, table_name, 'c' AS column_name, 'text' AS data_type FROM {{cat_tables}}")
+def _(v):
+    return typed(v, "large_columns", "k", v["cat_tables"], ["TABLE_SCHEMA", "TABLE_NAME", "COLUMN_NAME", "DATA_TYPE"], "table_schema", "table_name", F.lit("c"), F.lit("text"))
+
+
+@check("src_25_unused_indexes", f"SELECT {CK}, table_schema, table_name, concat('ix_', k) AS index_name FROM {{cat_tables}}")
+def _(v):
+    name = F.concat(F.lit("ix_"), F.col("k").cast("string"))
+    return typed(v, "unused_indexes", "k", v["cat_tables"], ["object_schema", "object_name", "index_name"], "table_schema", "table_name", name)
+
+
+@check("src_28_read_base_tables", "SELECT n_name, r_name, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def _(v):
+    base = {n: tables.read_base_table(v.spark, f"{v.sf_dir}/{n}.parquet") for n in ("orders", "customer", "nation", "region")}
+    joined = base["orders"].join(base["customer"], F.col("o_custkey") == F.col("c_custkey")).join(base["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = joined.join(base["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"))

@@ -303,7 +303,8 @@ REPEATED: dict[str, tuple[str, str, list[str], list[tuple], str]] = {
         "cluster_id, snapshot_date, node_ip, i.name AS name, CAST((k * i.n) % 1009 AS STRING) AS value",
         ["name", "n"],
         [("Connections", 3), ("Questions", 5), ("Innodb_row_lock_current_waits", 7), ("Innodb_row_lock_waits", 11),
-         ("Innodb_row_lock_time_avg", 13), ("Table_locks_waited", 17), ("Bytes_sent", 19), ("Ssl_version", 23)],
+         ("Innodb_row_lock_time_avg", 13), ("Table_locks_waited", 17), ("Bytes_sent", 19), ("Ssl_version", 23),
+         ("Rpl_semi_sync_master_status", 29), ("Rpl_semi_sync_slave_status", 31)],
         "TRUE",
     ),
     "engine_counters": (

@@ -14,7 +14,7 @@ LONG = """time_s >= 60 AND command NOT IN ('Sleep', 'Binlog Dump') AND user_name
   AND state NOT IN ('Waiting for master to send event', 'Waiting on empty queue')"""
 
 
-@check("ses_01_processlist", f"SELECT {SESSION} FROM {{sessions}} ORDER BY time_s DESC, session_id")
+@check("ses_01_processlist", f"SELECT {SESSION} FROM {{sessions}}")
 def _(v):
     return plain(W.processlist(v["sessions"]))
 
@@ -34,7 +34,7 @@ def _(v):
     return plain(W.top_sleep(v["sessions"]))
 
 
-@check("ses_04_long_sessions", f"SELECT {SESSION} FROM {{sessions}} WHERE {LONG} ORDER BY time_s DESC, session_id")
+@check("ses_04_long_sessions", f"SELECT {SESSION} FROM {{sessions}} WHERE {LONG}")
 def _(v):
     return plain(W.long_sessions(v["sessions"]))
 
@@ -44,14 +44,20 @@ def _(v):
     return plain(W.tables_in_use(v["open_tables"]))
 
 
-@check("ses_06_transactions", topk(f"{K}, trx_id, thread_id, query", "{trx}", "TRUE", "trx_id", 50))
+@check("ses_06_transactions", f"SELECT {K}, trx_id, thread_id, query FROM {{trx}}")
 def _(v):
-    return plain(W.lock_tables(v["trx"], "transactions", ["trx_id"]))
+    return plain(W.lock_tables(v["trx"], ["trx_id"]))
 
 
-@check("ses_06_lock_waits", topk(f"{K}, waiting_trx_id, blocking_trx_id", "{lock_wait_rows}", "TRUE", "waiting_trx_id", 100))
+@check("ses_06_lock_waits", f"SELECT {K}, waiting_trx_id, blocking_trx_id FROM {{lock_wait_rows}}")
 def _(v):
-    return plain(W.lock_tables(v["lock_wait_rows"], "lock_waits", ["waiting_trx_id"]))
+    return plain(W.lock_tables(v["lock_wait_rows"], ["waiting_trx_id"]))
+
+
+@check("ses_06_metadata_locks", topk(f"{K}, table_schema, table_name, in_use", "{open_tables}", "TRUE", "table_schema, table_name", 5))
+def _(v):
+    """A report that asks for the first rows only."""
+    return plain(W.lock_tables(v["open_tables"], ["table_schema", "table_name"], k=5))
 
 
 @check("ses_07_lock_waits", f"""
@@ -59,7 +65,7 @@ WITH w AS (SELECT w.cluster_id, w.node_ip, waiting_trx_id, r.thread_id AS waitin
   blocking_trx_id, b.thread_id AS blocking_thread, b.query AS blocking_query
 FROM {{lock_wait_rows}} w JOIN {{trx}} b ON b.cluster_id = w.cluster_id AND b.trx_id = w.blocking_trx_id
 JOIN {{trx}} r ON r.cluster_id = w.cluster_id AND r.trx_id = w.waiting_trx_id)
-{topk("w.*", "w", "TRUE", "waiting_trx_id, blocking_trx_id", 50).replace("w.*, CAST(rnk AS INT) AS rnk", "* REPLACE (CAST(rnk AS INT) AS rnk)")}""")
+SELECT * FROM w""")
 def _(v):
     return plain(W.lock_waits(v["lock_wait_rows"], v["trx"]))
 

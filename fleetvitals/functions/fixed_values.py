@@ -6,7 +6,6 @@ rules. Nothing here is logic; the operators decide what to do with it.
 
 # Dump file format.
 DUMP_FILE_PATTERN = r"(?i)^\w*HealthCheck_.*\.txt$"
-HTML_FILE_PATTERN = r"(?i)\.html$"
 SECTION_MARKER = "----->>>---->>>"
 TOTAL_SIZE_LABEL = "总大小"
 MISSING_LABEL = "不存在"

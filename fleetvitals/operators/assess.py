@@ -27,9 +27,16 @@ def has_tool(tooling: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> Data
     return tooling.groupBy(*cluster_keys).agg(F.bool_or(usable).alias("has_tool"))
 
 
-def latest_backup(backup_files: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:
-    """The newest artefact; ties go to the smallest node and path."""
-    per_time = backup_files.groupBy(*cluster_keys, "mtime").agg(F.min(F.struct("node_ip", "path", "bytes")).alias("f"))
+def latest_backup(
+    backup_files: DataFrame, nodes: DataFrame, keys: list[str] = KEYS, cluster_keys: list[str] = CLUSTER_KEYS
+) -> DataFrame:
+    """The newest artefact; ties go to the first node in node order, then to the smallest path.
+
+    Files of nodes that are not in the node table come last.
+    """
+    ordered = backup_files.join(nodes.select(*keys, "node_order"), keys, "left")
+    ordered = ordered.withColumn("node_order", F.coalesce("node_order", F.concat(F.lit("~|"), "node_ip")))
+    per_time = ordered.groupBy(*cluster_keys, "mtime").agg(F.min(F.struct("node_order", "path", "bytes", "node_ip")).alias("f"))
     return (
         per_time.groupBy(*cluster_keys)
         .agg(F.max_by(F.struct("f", "mtime"), "mtime").alias("m"))
@@ -88,11 +95,11 @@ def backup_severity(
 
 
 def backup_dir_summary(backup_dirs: DataFrame, backup_files: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """File count, latest file and restore estimate per scanned directory."""
+    """File count, latest file (of one time, that of the last path) and its restore estimate per scanned directory."""
     files = backup_files.groupBy(*keys, "dir").agg(
         F.count(F.lit(1)).alias("n_found"),
         F.max("mtime").alias("latest"),
-        F.max_by("bytes", "mtime").alias("latest_bytes"),
+        F.max_by("bytes", F.struct("mtime", "path")).alias("latest_bytes"),
         F.sum("bytes").cast("bigint").alias("total_bytes"),
     )
     return (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fleetvitals import KEYS
 from fleetvitals.functions import fixed_values as fv
 from fleetvitals.functions import scalars as S
-from fleetvitals.operators.ranking import top_k
+from fleetvitals.operators.ranking import first_k, top_k
 
 TABLE = ["table_schema", "table_name"]
 
@@ -136,7 +136,7 @@ def fragmented_tables(
     keys: list[str] = KEYS,
     min_bytes: int = 4194304,
     min_rate: float = 0.3,
-    k: int | None = 100,
+    k: int | None = None,
 ) -> DataFrame:
     rate = S.fragment_rate("table_rows", "data_length", "index_length", "data_free")
     rated = (
@@ -145,10 +145,8 @@ def fragmented_tables(
         .select(*keys, *TABLE, "table_rows", "data_length", "index_length", "data_free", rate.alias("frag_rate"))
         .filter(F.col("frag_rate") > min_rate)
     )
-    if k is None:
-        return rated
     order = [F.desc("data_free"), F.asc("table_schema"), F.asc("table_name")]
-    return top_k(rated, keys, order, k)
+    return first_k(rated, keys, order, k)
 
 
 def non_utf8_tables(cat_tables: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -167,21 +165,21 @@ def large_columns(cat_columns: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     )
 
 
-def partition_counts(cat_partitions: DataFrame, keys: list[str] = KEYS, k: int = 100) -> DataFrame:
+def partition_counts(cat_partitions: DataFrame, keys: list[str] = KEYS, k: int | None = None) -> DataFrame:
     counts = (
         _user_tables(cat_partitions)
         .groupBy(*keys, *TABLE)
         .agg(F.count(F.lit(1)).alias("n_partitions"))
         .filter("n_partitions > 1")
     )
-    return top_k(counts, keys, [F.desc("n_partitions"), *[F.asc(c) for c in TABLE]], k)
+    return first_k(counts, keys, [F.desc("n_partitions"), *[F.asc(c) for c in TABLE]], k)
 
 
-def non_base_tables(cat_tables: DataFrame, keys: list[str] = KEYS, k: int = 100) -> DataFrame:
+def non_base_tables(cat_tables: DataFrame, keys: list[str] = KEYS, k: int | None = None) -> DataFrame:
     kept = (
         _user_tables(cat_tables).filter(F.col("table_type") != "BASE TABLE").select(*keys, *TABLE, "table_type")
     )
-    return top_k(kept, keys, [F.asc(c) for c in TABLE], k)
+    return first_k(kept, keys, [F.asc(c) for c in TABLE], k)
 
 
 def routines(cat_routines: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -195,18 +193,18 @@ def schema_charsets(cat_schemata: DataFrame, keys: list[str] = KEYS) -> DataFram
 
 
 def nonstandard_types(
-    cat_columns: DataFrame, keys: list[str] = KEYS, allowed: list[str] | None = None, k: int = 100
+    cat_columns: DataFrame, keys: list[str] = KEYS, allowed: list[str] | None = None, k: int | None = None
 ) -> DataFrame:
     kept = (
         _user_tables(cat_columns)
         .filter(~F.upper("data_type").isin(allowed or fv.STANDARD_TYPES))
         .select(*keys, *TABLE, "column_name", "data_type")
     )
-    return top_k(kept, keys, [F.asc(c) for c in [*TABLE, "column_name"]], k)
+    return first_k(kept, keys, [F.asc(c) for c in [*TABLE, "column_name"]], k)
 
 
 def auto_increment_usage(
-    cat_tables: DataFrame, cat_columns: DataFrame, keys: list[str] = KEYS, k: int = 30
+    cat_tables: DataFrame, cat_columns: DataFrame, keys: list[str] = KEYS, k: int | None = None
 ) -> DataFrame:
     """Share of the key range that auto-increment columns have used."""
     counters = _user_tables(cat_tables).filter(
@@ -223,7 +221,7 @@ def auto_increment_usage(
         S.auto_increment_rate("auto_increment", "data_type", "column_type").alias("rate"),
     )
     order = [F.desc("rate"), F.desc("auto_increment"), *[F.asc(c) for c in [*TABLE, "column_name"]]]
-    return top_k(rated, keys, order, k)
+    return first_k(rated, keys, order, k)
 
 
 def tables_without_pk(cat_tables: DataFrame, cat_index_columns: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -326,13 +324,13 @@ def expiring_passwords(
     )
 
 
-def connected_users(sessions: DataFrame, keys: list[str] = KEYS, k: int = 100) -> DataFrame:
+def connected_users(sessions: DataFrame, keys: list[str] = KEYS, k: int | None = None) -> DataFrame:
     pairs = (
         sessions.filter(~F.col("user_name").isin("repl", "system user"))
         .select(*keys, "user_name", "host")
         .distinct()
     )
-    return top_k(pairs, keys, [F.asc("user_name"), F.asc("host")], k)
+    return first_k(pairs, keys, [F.asc("user_name"), F.asc("host")], k)
 
 
 def host_connections(hosts: DataFrame, keys: list[str] = KEYS, k: int = 50) -> DataFrame:
@@ -355,7 +353,7 @@ def logins_by_db_user_ip(sessions: DataFrame, keys: list[str] = KEYS) -> DataFra
     return by_ip.groupBy(*keys, "db", "user_name", "login_ip").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def unused_indexes(index_usage: DataFrame, keys: list[str] = KEYS, k: int = 200) -> DataFrame:
+def unused_indexes(index_usage: DataFrame, keys: list[str] = KEYS, k: int | None = None) -> DataFrame:
     """Secondary non-unique indexes that were never used."""
     kept = (
         _user_tables(index_usage)
@@ -367,10 +365,10 @@ def unused_indexes(index_usage: DataFrame, keys: list[str] = KEYS, k: int = 200)
         )
         .select(*keys, *TABLE, "index_name")
     )
-    return top_k(kept, keys, [F.asc(c) for c in [*TABLE, "index_name"]], k)
+    return first_k(kept, keys, [F.asc(c) for c in [*TABLE, "index_name"]], k)
 
 
-def redundant_indexes(cat_index_columns: DataFrame, keys: list[str] = KEYS, k: int = 100) -> DataFrame:
+def redundant_indexes(cat_index_columns: DataFrame, keys: list[str] = KEYS, k: int | None = None) -> DataFrame:
     """Indexes whose columns are a left prefix of, or equal to, those of another index.
 
     A server allows 64 indexes of 16 columns per table, so one table's index
@@ -425,7 +423,7 @@ def redundant_indexes(cat_index_columns: DataFrame, keys: list[str] = KEYS, k: i
         )
     )
     order = [F.asc(c) for c in [*TABLE, "redundant_index", "dominant_index"]]
-    return top_k(pairs, keys, order, k)
+    return first_k(pairs, keys, order, k)
 
 
 def low_cardinality(

@@ -19,8 +19,6 @@ MEMBERS = [
     ("securityAssessment", False), ("nodes", True), ("recommendations", True), ("hcConfig", False),
     ("disabledRulesApplied", False),
 ]
-LISTS = [name for name, is_list in MEMBERS if is_list]
-SCALARS = [name for name, is_list in MEMBERS if not is_list]
 
 
 def document_parts(members: dict[str, DataFrame], cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:
@@ -38,25 +36,27 @@ def document_parts(members: dict[str, DataFrame], cluster_keys: list[str] = CLUS
     return reduce(DataFrame.unionByName, [part(name, df) for name, df in members.items()])
 
 
-def cluster_documents(parts: DataFrame, max_items: int = 10_000, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:
-    """One nested JSON document for each cluster of bounded size.
+def cluster_documents(parts: DataFrame, slice_items: int = 1000, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:
+    """Every cluster's document as rows of bounded size: (cluster, member, chunk_no, n_items, json).
 
-    Clusters with more items than the bound keep only their parts, which
-    document_parts always holds in full.
+    json is the member's value, or for a list member an array of about
+    slice_items of its items; the arrays of all its chunks together are the
+    list. A cluster of any size keeps every item, and no task holds more than a
+    slice. Members without items have one chunk: null, or an empty array.
     """
-    sizes = parts.groupBy(*cluster_keys).agg(F.count(F.lit(1)).alias("n_items"))
-    small = parts.join(sizes.filter(F.col("n_items") <= max_items).select(*cluster_keys), cluster_keys, "left_semi")
-    aggregates: list[Column] = []
-    for name, is_list in MEMBERS:
-        own = F.when(F.col("member") == name, F.col("json"))
-        value = F.array_sort(F.collect_list(own)) if is_list else F.max(own)
-        aggregates.append(value.alias(name))
-    wide = small.groupBy(*cluster_keys).agg(*aggregates)
-    pieces = []
-    for name, is_list in MEMBERS:
-        value = F.concat(F.lit("["), F.array_join(name, ","), F.lit("]")) if is_list else F.coalesce(name, F.lit("null"))
-        pieces.append(F.concat(F.lit(f'"{name}":'), value))
-    return wide.select(*cluster_keys, F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}")).alias("document"))
+    sizes = parts.groupBy(*cluster_keys, "member").agg(F.ceil(F.count(F.lit(1)) / slice_items).alias("_chunks"))
+    by_chunk = parts.join(sizes, [*cluster_keys, "member"]).withColumn("chunk_no", F.pmod(F.xxhash64("json"), "_chunks"))
+    chunks = by_chunk.groupBy(*cluster_keys, "member", "chunk_no").agg(F.array_sort(F.collect_list("json")).alias("items"))
+    names = F.array(*[F.struct(F.lit(n).alias("member"), F.lit(is_list).alias("is_list")) for n, is_list in MEMBERS])
+    expected = parts.select(*cluster_keys).distinct().select(*cluster_keys, F.explode(names).alias("m")).select(*cluster_keys, "m.*")
+    listed = F.concat(F.lit("["), F.array_join(F.coalesce("items", F.array().cast("array<string>")), ","), F.lit("]"))
+    return expected.join(chunks, [*cluster_keys, "member"], "left").select(
+        *cluster_keys,
+        "member",
+        F.coalesce("chunk_no", F.lit(0)).cast("bigint").alias("chunk_no"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.when(F.col("is_list"), listed).otherwise(F.coalesce(F.get("items", F.lit(0)), F.lit("null"))).alias("json"),
+    )
 
 
 def _violations(df: DataFrame, checks: list[tuple[Column, str, str, str]], keys: list[str]) -> DataFrame:
@@ -75,13 +75,19 @@ def _violations(df: DataFrame, checks: list[tuple[Column, str, str, str]], keys:
     )
 
 
+DATE_TEXT = r"^\d{4}-\d{2}-\d{2}"
+
+
 def validate(
     headers: DataFrame, issues: DataFrame, nodes: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS
 ) -> DataFrame:
     """Data-quality findings per cluster.
 
     headers: one row per cluster with schema_version, project, topology,
-    n_nodes, overall_assessment.
+    n_nodes, overall_assessment; further columns are checked where the table
+    has them: inspection_date, report_date (texts), node_count, node_ips
+    (array), health_total, and for each list member (issues, correlations,
+    param_judgments, recommendations) has_<member>, whether it is there.
     """
     version = F.col("schema_version")
     header_checks: list[tuple[Column, str, str, str]] = [
@@ -93,15 +99,43 @@ def validate(
         (F.coalesce("n_nodes", F.lit(0)) < 1, "ERROR", "nodes", "too short"),
         (F.col("overall_assessment").isNull(), "ERROR", "overallAssessment", "missing"),
     ]
+    have = set(headers.columns)
+    for column, path in (("inspection_date", "inspectionDate"), ("report_date", "reportDate")):
+        if column in have:
+            header_checks += [
+                (F.col(column).isNull(), "ERROR", path, "missing"),
+                (~F.col(column).rlike(DATE_TEXT), "ERROR", path, "not a date"),
+            ]
+    if "node_count" in have:
+        header_checks += [
+            (F.col("node_count").isNull(), "ERROR", "cluster.nodeCount", "missing"),
+            (F.col("node_count") != F.col("n_nodes"), "ERROR", "cluster.nodeCount", "not the number of nodes"),
+        ]
+    if "node_ips" in have:
+        header_checks.append((F.coalesce(F.size("node_ips"), F.lit(0)) < 1, "ERROR", "cluster.ips", "too short"))
+    if "health_total" in have:
+        header_checks += [
+            (F.col("health_total").isNull(), "ERROR", "healthScore.total", "missing"),
+            (~F.col("health_total").between(0, 100), "ERROR", "healthScore.total", "not within 0 and 100"),
+        ]
+    for member, path in (
+        ("issues", "issues"), ("correlations", "correlations"), ("param_judgments", "paramJudgments"), ("recommendations", "recommendations"),
+    ):
+        if f"has_{member}" in have:
+            header_checks.append((~F.coalesce(f"has_{member}", F.lit(False)), "ERROR", path, "missing"))
     issue_checks: list[tuple[Column, str, str, str]] = [
         (F.col("priority").isNull(), "ERROR", "issues.priority", "missing"),
         (~F.col("priority").rlike("^P[0-3]$"), "WARN", "issues.priority", "not P0-P3"),
         (F.coalesce("description", F.lit("")) == "", "WARN", "issues.description", "missing"),
     ]
+    if "type" in issues.columns:
+        issue_checks.append((F.coalesce("type", F.lit("")) == "", "WARN", "issues.type", "missing"))
     node_checks: list[tuple[Column, str, str, str]] = [
         (F.col("node_ip").isNull(), "ERROR", "nodes.ip", "missing"),
         (F.col("role").isNull(), "ERROR", "nodes.role", "missing"),
     ]
+    if "hostname" in nodes.columns:
+        node_checks.append((F.col("hostname").isNull(), "WARN", "nodes.hostname", "missing"))
     found = [
         _violations(headers, header_checks, cluster_keys),
         _violations(issues, issue_checks, cluster_keys),

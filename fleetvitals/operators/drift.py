@@ -69,7 +69,7 @@ def parameter_drift(
 
     Values are first grouped per (cluster, name, value), so a cluster with a
     third of all nodes is counted map-side and the second step sees distinct
-    values only. The value per node is in parameter_matrix.
+    values only. The value per node is in parameter_node_values.
     """
     long = node_parameters(nodes, names or fv.DRIFT_PARAMETERS, [*cluster_keys, "node_order"])
     # The first primary in node order is the one replicas are compared with.
@@ -112,47 +112,43 @@ def parameter_values(
     )
 
 
+def parameter_node_values(
+    nodes: DataFrame, drifting: DataFrame, names: list[str] | None = None, cluster_keys: list[str] = CLUSTER_KEYS
+) -> DataFrame:
+    """The value of each node for the parameters that differ: (cluster, name, node_ip, role, value).
+
+    drifting: what parameter_drift found. A table of its own, so that no cluster's nodes meet in one row.
+    """
+    long = node_parameters(nodes, names or fv.DRIFT_PARAMETERS, [*cluster_keys, "node_ip"])
+    return long.join(drifting.select(*cluster_keys, "name"), [*cluster_keys, "name"], "left_semi")
+
+
 def schema_diff(databases: DataFrame, nodes: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:
     """Schemas a node has beyond its primary, or lacks: (cluster, node_ip, name, difference).
 
-    Without a primary the first node is the reference. Only nodes that hold
-    too few of the reference's schemas are paired, and only with schemas that
-    some node lacks, so agreeing nodes and schemas never meet.
+    Without a primary the first node is the reference. A node's schemas are
+    one array (a server's, so bounded), the reference is one array per cluster,
+    and the two are compared inside the row: no schema meets a node.
     """
-    by_name, by_node = [*cluster_keys, "name"], [*cluster_keys, "node_ip"]
+    by_node = [*cluster_keys, "node_ip"]
     first = nodes.groupBy(*cluster_keys).agg(F.min_by("node_ip", "node_order").alias("first_ip"))
-    tagged = nodes.select(*by_node).join(first, cluster_keys)
-    others = tagged.filter(F.col("node_ip") != F.col("first_ip")).select(*by_node)
-    held = databases.select(*by_node, "name").distinct()
-    reference = held.join(first.withColumnRenamed("first_ip", "node_ip"), by_node).select(*by_name)
-    theirs = held.join(others, by_node, "left_semi")
-    extra = theirs.join(reference, by_name, "left_anti").withColumn("difference", F.lit("extra"))
-
-    shared = theirs.join(reference, by_name, "left_semi")
-    sizes = reference.groupBy(*cluster_keys).agg(F.count(F.lit(1)).alias("n_reference"))
-    n_others = others.groupBy(*cluster_keys).agg(F.count(F.lit(1)).alias("n_others"))
-    n_shared = shared.groupBy(*by_node).agg(F.count(F.lit(1)).alias("n_shared"))
-    n_holders = shared.groupBy(*by_name).agg(F.count(F.lit(1)).alias("n_holders"))
-    zero = F.lit(0)
-    short_nodes = (
-        others.join(n_shared, by_node, "left")
-        .join(sizes, cluster_keys)
-        .filter(F.coalesce("n_shared", zero) < F.col("n_reference"))
-        .select(*by_node)
-    )
-    short_names = (
-        reference.join(n_holders, by_name, "left")
-        .join(n_others, cluster_keys)
-        .filter(F.coalesce("n_holders", zero) < F.col("n_others"))
-        .select(*by_name)
-    )
-    missing = (
-        short_names.join(short_nodes, cluster_keys)
-        .join(shared, [*by_node, "name"], "left_anti")
-        .withColumn("difference", F.lit("missing"))
+    held = databases.groupBy(*by_node).agg(F.collect_set("name").alias("names"))
+    reference = held.join(first.withColumnRenamed("first_ip", "node_ip"), by_node).select(*cluster_keys, F.col("names").alias("wanted"))
+    none = F.array().cast("array<string>")
+    compared = (
+        nodes.select(*by_node)
+        .join(held, by_node, "left")
+        .join(first, cluster_keys)
+        .filter(F.col("node_ip") != F.col("first_ip"))
+        .join(reference, cluster_keys, "left")
+        .select(*by_node, F.coalesce("names", none).alias("names"), F.coalesce("wanted", none).alias("wanted"))
     )
-    columns = [*by_node, "name", "difference"]
-    return extra.select(*columns).unionByName(missing.select(*columns))
+
+    def tagged(names: Column, difference: str) -> Column:
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(difference).alias("difference")))
+
+    found = F.concat(tagged(F.array_except("names", "wanted"), "extra"), tagged(F.array_except("wanted", "names"), "missing"))
+    return compared.select(*by_node, F.explode(found).alias("d")).select(*by_node, "d.name", "d.difference")
 
 
 def parameter_matrix(

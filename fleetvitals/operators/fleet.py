@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetvitals import CLUSTER_KEYS, KEYS
 from fleetvitals.functions import scalars as S
 from fleetvitals.operators import workload
-from fleetvitals.operators.ranking import bucketed_row_number
+from fleetvitals.operators.ranking import range_row_number
 
 DISK_TYPE = "array<struct<mount:string,use_pct:bigint>>"
 
@@ -257,16 +257,15 @@ def resolve_roles(nodes: DataFrame, declared: str = "declared_role", cluster_key
 
 
 def with_node_order(nodes: DataFrame) -> DataFrame:
-    """A text key that sorts the primary first, then by address; 'first node' means its minimum."""
+    """A text key, different for every node, that sorts the primary first, then by address; 'first node' means its minimum."""
     flag = F.when(F.col("role") == "primary", "0|").otherwise("1|")
-    return nodes.withColumn("node_order", F.concat(flag, S.ip_sort_key("node_ip")))
+    address = F.coalesce(S.ip_sort_key("node_ip"), F.lit(""))
+    return nodes.withColumn("node_order", F.concat(flag, address, F.lit("|"), "node_ip"))
 
 
 def rank_nodes(nodes: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:
-    """node_rank 1..n per cluster. Nodes are ranked inside their /24 network first."""
-    bucketed = nodes.withColumn("_net", F.substring("node_order", 1, 13))
-    ranked = bucketed_row_number(bucketed, cluster_keys, ["_net"], [F.asc("node_order")], "node_rank")
-    return ranked.drop("_net")
+    """node_rank 1..n per cluster."""
+    return range_row_number(nodes, cluster_keys, ["node_order"], "node_rank")
 
 
 def topology(nodes: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetvitals import CLUSTER_KEYS
 from fleetvitals.functions import fixed_values as fv
 from fleetvitals.functions import scalars as S
-from fleetvitals.operators.ranking import bucketed_row_number
+from fleetvitals.operators.ranking import range_row_number
 from fleetvitals.sources.config import Config, apply_config
 
 MERGED = [
@@ -25,7 +25,7 @@ def _shared() -> Column:
 def merge_issues(
     raw: DataFrame, nodes: DataFrame, shared: DataFrame | None = None, cluster_keys: list[str] = CLUSTER_KEYS
 ) -> DataFrame:
-    """Issues of one group become one, keeping the first node's wording.
+    """Issues of one group become one: the first node's values, worded as the node with the most objects words it.
 
     raw holds every issue, or only those of single nodes when the shared ones
     are passed apart.
@@ -52,6 +52,8 @@ def merge_issues(
         together.groupBy(*cluster_keys, "type", "subject")
         .agg(
             first.alias("f"),
+            # The text names a number of objects, so it goes with n_objects: the largest, of the first such node.
+            F.min_by("description", F.struct(-F.coalesce("n_objects", F.lit(0)), F.coalesce("node_order", F.lit("")))).alias("text"),
             F.min("priority").alias("max_priority"),
             F.min("node_order").alias("first_order"),
             F.max("n_objects").alias("n_objects"),
@@ -61,7 +63,7 @@ def merge_issues(
             *cluster_keys,
             "type",
             "subject",
-            *[F.col(f"f.{c}").alias(c) for c in MERGED],
+            *[F.col("text" if c == "description" else f"f.{c}").alias(c) for c in MERGED],
             "max_priority",
             "first_order",
             "n_objects",
@@ -87,16 +89,8 @@ def issue_nodes(raw: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> DataF
 
 
 def number_issues(issues: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:
-    """seq by priority then type; a huge cluster is numbered in parts."""
-    bucketed = issues.withColumn("_net", F.substring(F.coalesce("first_order", F.lit("")), 1, 13))
-    numbered = bucketed_row_number(
-        bucketed,
-        cluster_keys,
-        ["priority", "type", "_net"],
-        [F.asc("first_order"), F.asc("subject")],
-        "seq",
-    )
-    return numbered.drop("_net")
+    """seq by priority, then type, then first node; a huge cluster is numbered by many tasks."""
+    return range_row_number(issues, cluster_keys, ["priority", "type", "first_order", "subject"], "seq")
 
 
 def backup_issue(severity: DataFrame, config: Config | None = None, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:

@@ -321,11 +321,11 @@ def auto_increment_bands(usage: DataFrame) -> DataFrame:
 
 
 def action_plan(issues: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:
-    """Issues of the first three priorities, worst first."""
+    """Issues of the first three priorities; within a cluster, seq is their order."""
     plan = issues.filter(F.col("priority").isin("P0", "P1", "P2"))
     return plan.select(
         *cluster_keys, "priority", "seq", "type", "node", "description", "action", "sql", "current_value", "recommended_value"
-    ).orderBy(*cluster_keys, "priority", "seq")
+    )
 
 
 def lineage(dumps: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetvitals.plans.lineage import cut_lineage
+
 
 def top_k(df: DataFrame, partition: list[str], order: list[Column], k: int, rank: str = "rnk") -> DataFrame:
     """The first k rows per group.
@@ -17,32 +19,36 @@ def top_k(df: DataFrame, partition: list[str], order: list[Column], k: int, rank
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def bucketed_row_number(
-    df: DataFrame,
-    partition: list[str],
-    buckets: list[str],
-    order: list[Column],
-    name: str,
-) -> DataFrame:
-    """Exact row_number() over (partition, ordered by buckets then order).
+def first_k(df: DataFrame, partition: list[str], order: list[Column], k: int | None) -> DataFrame:
+    """All rows, or ranked and cut to the first k per group where a report asks for that."""
+    return df if k is None else top_k(df, partition, order, k)
+
 
-    The rows are ranked inside (partition, bucket); each bucket then starts
-    after the rows of the buckets before it. Only one row per bucket meets in
-    one group, so a hot partition is still ranked by many tasks. Every bucket
-    column has to sort before the columns in order.
+def range_row_number(df: DataFrame, partition: list[str], order: list[str], name: str) -> DataFrame:
+    """Exact row_number() over (partition, ascending by order), by many tasks however large one partition is.
+
+    Rows are range-partitioned and sorted by partition and order, so a hot
+    partition spans as many tasks as it needs. A row's place is its place in
+    its task, plus the rows of its partition in the tasks before; only those
+    counts, one per partition and task, meet in a window. The sorted rows are
+    written to the checkpoint folder first: their places have to stay as they
+    were when the counts are joined back.
     """
-    keys = partition + buckets
-    before = Window.partitionBy(*partition).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+    placed = cut_lineage(
+        df.repartitionByRange(*partition, *order)
+        .sortWithinPartitions(*partition, *order)
+        .withColumn("_id", F.monotonically_increasing_id())
+        .withColumn("_task", F.shiftright("_id", 33))
+    )
+    before = Window.partitionBy(*partition).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        placed.groupBy(*partition, "_task")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_start"))
+        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start") + 1)
+        .drop("_n", "_start")
     )
-    inside = Window.partitionBy(*keys).orderBy(*order)
     return (
-        df.withColumn("_pos", F.row_number().over(inside))
-        .join(starts, keys)
-        .withColumn(name, (F.col("_pos") + F.col("_start")).cast("bigint"))
-        .drop("_pos", "_start")
+        placed.join(shifts, [*partition, "_task"])
+        .withColumn(name, (F.col("_id") + F.col("_shift")).cast("bigint"))
+        .drop("_id", "_task", "_shift")
     )

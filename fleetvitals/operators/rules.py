@@ -107,10 +107,6 @@ def _p(name: str) -> Column:
     return F.lit(name)
 
 
-def _long(column: Column) -> Column:
-    return column.cast("bigint")
-
-
 def resource_rules(t) -> list[Rule]:
     os = S.os_lifecycle("os_release")
     hll = F.col("history_list")
@@ -493,6 +489,9 @@ def security_rules(t) -> list[Rule]:
             n > 0,
             _p(priority),
             _text("%d " + level + " accounts open to every host, e.g. %s", n, F.col(f"open_{level}_example")),
+            CLUSTER,
+            # A matter of the cluster, but each node's accounts are reported on their own.
+            subject=F.col("node_ip"),
             n_objects=n,
         )
 

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from fleetvitals import KEYS
 from fleetvitals.functions import fixed_values as fv
 from fleetvitals.functions import scalars as S
-from fleetvitals.operators.ranking import top_k
+from fleetvitals.operators.ranking import first_k, top_k
 
 
 def processlist(sessions: DataFrame, own_session: Column | None = None) -> DataFrame:
-    """Sessions, longest first; the inspecting session itself can be excluded."""
-    kept = sessions if own_session is None else sessions.filter(F.col("session_id") != own_session)
-    return kept.orderBy(F.desc("time_s"), F.asc("session_id"))
+    """All sessions; the inspecting session itself can be excluded. A reader orders them by time_s, longest first."""
+    return sessions if own_session is None else sessions.filter(F.col("session_id") != own_session)
 
 
 def active_sessions(sessions: DataFrame) -> DataFrame:
@@ -43,22 +42,19 @@ def is_long_business_session(min_s: int = 60) -> Column:
 
 
 def long_sessions(sessions: DataFrame, min_s: int = 60) -> DataFrame:
-    return sessions.filter(is_long_business_session(min_s)).orderBy(F.desc("time_s"), F.asc("session_id"))
+    return sessions.filter(is_long_business_session(min_s))
 
 
 def tables_in_use(open_tables: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return open_tables.filter(F.col("in_use") > 0).select(*keys, "table_schema", "table_name", "in_use")
 
 
-# Rows kept per node of each lock table.
-LOCK_LIMITS = {"locks": 100, "lock_waits": 100, "transactions": 50, "metadata_locks": 50}
+def lock_tables(df: DataFrame, order: list[str], keys: list[str] = KEYS, k: int | None = None) -> DataFrame:
+    """Rows of a lock table; with k, the first ones per node."""
+    return first_k(df, keys, [F.asc(c) for c in order], k)
 
 
-def lock_tables(df: DataFrame, kind: str, order: list[str], keys: list[str] = KEYS) -> DataFrame:
-    return top_k(df, keys, [F.asc(c) for c in order], LOCK_LIMITS[kind])
-
-
-def lock_waits(waits: DataFrame, trx: DataFrame, keys: list[str] = KEYS, k: int = 50) -> DataFrame:
+def lock_waits(waits: DataFrame, trx: DataFrame, keys: list[str] = KEYS, k: int | None = None) -> DataFrame:
     """Waiting and blocking transaction of each lock wait, with their statements.
 
     Both joins are on the transaction id as well as the node, so a node with
@@ -78,7 +74,7 @@ def lock_waits(waits: DataFrame, trx: DataFrame, keys: list[str] = KEYS, k: int
         .join(side("blocking"), [*keys, "blocking_trx_id"])
         .join(side("waiting"), [*keys, "waiting_trx_id"])
     )
-    return top_k(joined, keys, [F.asc("waiting_trx_id"), F.asc("blocking_trx_id")], k)
+    return first_k(joined, keys, [F.asc("waiting_trx_id"), F.asc("blocking_trx_id")], k)
 
 
 def lock_counters(status: DataFrame, keys: list[str] = KEYS) -> DataFrame:

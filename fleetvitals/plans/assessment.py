@@ -4,39 +4,122 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from fleetvitals import CLUSTER_KEYS, KEYS
 from fleetvitals.functions.fixed_values import DEFAULT_THRESHOLDS
-from fleetvitals.operators import assess, correlate, documents, drift, fleet, issues, marts, rules
+from fleetvitals.operators import assess, catalog, correlate, documents, drift, fleet, issues, marts, rules, workload
 from fleetvitals.plans.lineage import cut_lineage
 from fleetvitals.sources import ingest, parse
 from fleetvitals.sources.config import Config
 
 
-def land_dumps(spark: SparkSession, path: str, out: str, run_date: str, project: str | None = None) -> dict[str, DataFrame]:
-    """Reads the dumps once and lands what the analyses need as Parquet.
+# Base tables that a source may lack; the analyses then see none of their rows.
+OPTIONAL = {
+    "backup_tools": "tool string, installed boolean, detail string",
+    "backup_dirs": "path string, exists boolean, total_size string, n_files bigint",
+    "backup_files": "dir string, path string, mtime timestamp, bytes bigint",
+    "cron_lines": "source string, line string",
+    "slow_log_entries": "time string, user_host string, query_s double, lock_s double, rows_sent bigint, rows_examined bigint, db string, sql string",
+    "error_log_lines": "line_no int, line string, severity string",
+}
 
-    Boxed rows are partitioned by section, so each typed table later reads
-    only its own section; node facts are one row per dump.
+
+def _optional(base: dict[str, DataFrame], name: str) -> DataFrame:
+    if name in base:
+        return base[name]
+    keys = base["node_facts"].select(*KEYS).limit(0)
+    fields = [f.rsplit(" ", 1) for f in OPTIONAL[name].split(", ")]
+    return keys.select(*KEYS, *[F.lit(None).cast(kind).alias(n) for n, kind in fields])
+
+
+def land_dumps(
+    spark: SparkSession,
+    path: str,
+    out: str,
+    run_date: str,
+    project: str | None = None,
+    reports_path: str | None = None,
+    slow_logs_path: str | None = None,
+    declared_roles: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Reads the dumps once and lands all of them as Parquet, by snapshot.
+
+    sections holds a field per known section, so each reader scans its own
+    sections only; other_sections keeps the rest as collected; boxed rows are
+    partitioned by section; node facts are one row per dump. Landing a snapshot
+    again replaces that snapshot and leaves the others.
+
+    reports_path: legacy HTML reports, whose temporary tablespace replaces the
+    dumps'. slow_logs_path: full slow logs. declared_roles: (cluster_id,
+    node_ip, declared_role) from outside.
     """
     dumps = ingest.drop_superseded(spark, ingest.read_dumps(spark, path), path, run_date)
-    sections = ingest.with_sections(ingest.file_name_facts(dumps, run_date, project), parse.ALL_SECTIONS)
-    sections.drop("blocks").write.mode("overwrite").partitionBy("snapshot_date").parquet(f"{out}/sections")
-    landed = spark.read.parquet(f"{out}/sections")
-    parse.node_facts(landed).write.mode("overwrite").partitionBy("snapshot_date").parquet(f"{out}/node_facts")
-    ingest.write_boxed_rows(ingest.boxed_rows(landed), f"{out}/boxed_rows")
-    rows = spark.read.parquet(f"{out}/boxed_rows")
+    names = parse.ALL_SECTIONS
+    blocked = ingest.with_blocks(ingest.file_name_facts(dumps, run_date, project))
+    sections = ingest.section_fields(ingest.with_sections(blocked, names), names)
+    landed = ingest.write_by_snapshot(sections.drop("blocks"), f"{out}/sections", ["snapshot_date"])
+    others = ingest.write_by_snapshot(ingest.other_sections(blocked, names), f"{out}/other_sections", ["snapshot_date"])
+    facts = parse.node_facts(landed)
+    if reports_path is not None:
+        reports = ingest.file_name_facts(ingest.read_html_reports(spark, reports_path), run_date, project)
+        facts = parse.apply_html_temp(facts, parse.temp_tablespace_html(reports))
+    if declared_roles is not None:
+        roles = declared_roles.select("cluster_id", "node_ip", "declared_role")
+        facts = facts.join(roles, ["cluster_id", "node_ip"], "left")
+    facts = ingest.write_by_snapshot(facts, f"{out}/node_facts", ["snapshot_date"])
+    rows = ingest.write_boxed_rows(ingest.boxed_rows(landed), f"{out}/boxed_rows")
+    slow = parse.slow_log_entries(parse.section_texts(landed, "Slow query log tail"))
+    if slow_logs_path is not None:
+        slow = slow.unionByName(parse.read_slow_logs(spark, slow_logs_path, run_date).drop("file_name"))
     return {
         "sections": landed,
-        "node_facts": spark.read.parquet(f"{out}/node_facts"),
+        "other_sections": others,
+        "node_facts": facts,
         "backup_tools": parse.backup_tools(landed),
         "backup_dirs": parse.backup_dirs(landed),
         "backup_files": parse.backup_files(landed),
         "cron_lines": parse.cron_lines(landed),
+        "slow_log_entries": slow,
+        "error_log_lines": parse.error_log_lines(parse.section_texts(landed, "Error log tail")),
+        "presence": ingest.section_presence(landed, names),
         **parse.typed_tables(rows),
     }
 
 
+def base_from_tables(catalog_tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What the analyses need, computed from a server's own landed tables instead of dumps.
+
+    catalog_tables: node_facts, cat_tables, cat_columns, cat_index_columns,
+    cat_users, cat_schemata, sessions; and, where there are any, index_usage,
+    lock_wait_rows, trx, status, backup_tools, backup_dirs, backup_files,
+    cron_lines, slow_log_entries and error_log_lines.
+    """
+    given = dict(catalog_tables)
+    base = {n: given[n] for n in OPTIONAL if n in given}
+    base |= {
+        "node_facts": given["node_facts"],
+        "sessions": given["sessions"],
+        "users": given["cat_users"],
+        "databases": given["cat_schemata"].select(*KEYS, F.col("schema_name").alias("name"), "charset", F.col("schema_collation").alias("collation")),
+        "frag_tables": catalog.fragmented_tables(given["cat_tables"]),
+        "no_pk_tables": catalog.tables_without_pk(given["cat_tables"], given["cat_index_columns"]),
+        "non_utf8_tables": catalog.non_utf8_tables(given["cat_tables"]),
+        "auto_increment": catalog.auto_increment_usage(given["cat_tables"], given["cat_columns"]).filter("rate > 0.5"),
+        "redundant_indexes": catalog.redundant_indexes(given["cat_index_columns"]),
+        "top_tables": catalog.top_tables(given["cat_tables"]),
+        "large_columns": catalog.large_columns(given["cat_columns"]),
+        "db_sizes": catalog.schema_sizes(given["cat_tables"]),
+    }
+    if "index_usage" in given:
+        base["unused_indexes"] = catalog.unused_indexes(given["index_usage"])
+    if "lock_wait_rows" in given and "trx" in given:
+        base["lock_details"] = workload.lock_waits(given["lock_wait_rows"], given["trx"])
+    if "status" in given:
+        base["lock_counters"] = workload.lock_counters(given["status"])
+    return base
+
+
 def node_table(base: dict[str, DataFrame], config: Config | None = None) -> DataFrame:
     """node_facts with roles and the sums of the child tables."""
     config = config or Config()
@@ -65,11 +148,13 @@ def assess_fleet(base: dict[str, DataFrame], config: Config | None = None) -> di
     topology = fleet.topology(nodes)
     clusters = topology.select(*CLUSTER_KEYS)
 
-    tooling = assess.backup_tooling(base["backup_tools"], nodes)
+    tooling = assess.backup_tooling(_optional(base, "backup_tools"), nodes)
+    backup_dirs, cron_lines = _optional(base, "backup_dirs"), _optional(base, "cron_lines")
+    backup_files = _optional(base, "backup_files")
     tool = assess.has_tool(tooling)
-    artifact = assess.has_artifact(base["backup_dirs"])
-    schedule = assess.has_schedule(base["cron_lines"])
-    latest = assess.latest_backup(base["backup_files"])
+    artifact = assess.has_artifact(backup_dirs)
+    schedule = assess.has_schedule(cron_lines)
+    latest = assess.latest_backup(backup_files, nodes)
     backup = assess.backup_severity(clusters, tool, artifact, schedule, latest)
 
     security = assess.security_facts(nodes)
@@ -77,17 +162,20 @@ def assess_fleet(base: dict[str, DataFrame], config: Config | None = None) -> di
 
     raw = rules.evaluate_rules(nodes, config).unionByName(rules.parameter_issues(nodes, config))
     raw = cut_lineage(issues.promote_backup(raw, backup, config))
-    merged = issues.merge_double_trigger(issues.merge_issues(raw, nodes))
+    # Scores, labels and recommendations need no numbers; only the issue list waits for them.
+    merged = cut_lineage(issues.merge_double_trigger(issues.merge_issues(raw, nodes)))
     numbered = rules.with_advice(issues.number_issues(merged))
+    advised = rules.with_advice(merged)
+    drifting = drift.parameter_drift(nodes)
 
     evidence = backup.select(
         *CLUSTER_KEYS, "has_tool", "has_artifact", F.col("has_schedule").alias("has_backup_cron")
     )
     posture = security.select(*CLUSTER_KEYS, "has_encryption", "has_tls", "has_audit")
-    scores = issues.dimension_scores(numbered, clusters, evidence, posture)
+    scores = issues.dimension_scores(merged, clusters, evidence, posture)
     totals = issues.total_score(scores)
-    labels = issues.overall_label(clusters, numbered, totals)
-    priorities = issues.priority_distribution(numbered)
+    labels = issues.overall_label(clusters, merged, totals)
+    priorities = issues.priority_distribution(merged)
     return {
         "nodes": nodes,
         "topology": topology,
@@ -96,23 +184,47 @@ def assess_fleet(base: dict[str, DataFrame], config: Config | None = None) -> di
         "dimension_scores": issues.score_levels(scores),
         "total_scores": totals,
         "labels": labels,
-        "recommendations": issues.recommendations(numbered, topology),
-        "parameter_drift": drift.parameter_drift(nodes),
+        "recommendations": issues.recommendations(advised, topology),
+        "parameter_drift": drifting,
+        "parameter_node_values": drift.parameter_node_values(nodes, drifting),
+        "parameter_values": drift.parameter_values(nodes),
+        "replication_matrix": drift.replication_matrix(nodes),
         "parameter_matrix": drift.parameter_matrix(nodes),
         "schema_diff": drift.schema_diff(base["databases"], nodes),
         "correlations": correlate.correlations(nodes),
         "backup_tooling": tooling,
-        "backup_paths": assess.backup_paths(base["backup_dirs"], base["cron_lines"]),
+        "backup_paths": assess.backup_paths(backup_dirs, cron_lines),
+        "backup_dir_summary": assess.backup_dir_summary(backup_dirs, backup_files),
         "latest_backup": latest,
         "backup": backup,
         "security_checks": checks,
         "security_level": assess.security_level(checks),
         "frameworks": assess.framework_coverage(checks),
+        "wildcard_users": assess.wildcard_users(base["users"]),
+        "wildcard_groups": assess.wildcard_groups(base["users"]),
+        "slow_log_summary": workload.slow_log_summary(_optional(base, "slow_log_entries")),
+        "error_log_summary": workload.error_log_summary(_optional(base, "error_log_lines")),
+        "no_pk_summary": marts.category_counts(base["no_pk_tables"]),
+        "engine_overview": marts.engine_overview(nodes),
+        "temp_tablespace_status": marts.temp_tablespace_status(nodes),
+        "replication_status": marts.replication_status(nodes),
+        "replication_health": marts.replication_health(nodes),
+        "long_sessions": marts.long_session_detail(base["sessions"]),
+        "session_mix": marts.session_mix(base["sessions"]),
+        "significant_fragments": marts.significant_fragments(base["frag_tables"]),
+        "auto_increment_bands": marts.auto_increment_bands(base["auto_increment"]),
+        **({"section_presence": base["presence"]} if "presence" in base else {}),
         "key_facts": marts.key_facts(topology, totals, labels, priorities, backup),
         "action_plan": marts.action_plan(numbered),
     }
 
 
+def _grouped(rows: DataFrame, name: str) -> DataFrame:
+    """A cluster's rows as one array; only for tables whose rows per cluster are a fixed list (checks, tools)."""
+    columns = [c for c in rows.columns if c not in CLUSTER_KEYS]
+    return rows.groupBy(*CLUSTER_KEYS).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+
 def document_members(results: dict[str, DataFrame], project: DataFrame, config: Config | None = None, report_version: str = "1.0") -> dict[str, DataFrame]:
     """The members of each cluster's document. project: one row per cluster with its name."""
     config = config or Config()
@@ -140,9 +252,11 @@ def document_members(results: dict[str, DataFrame], project: DataFrame, config:
         "issues": results["issues"],
         "correlations": results["correlations"],
         "paramJudgments": results["parameter_drift"],
-        "backupAssessment": results["backup"],
-        "securityAssessment": results["security_level"],
-        "nodes": results["nodes"].select(*KEYS, "role", "hostname", "server_version", "os_release"),
+        "backupAssessment": results["backup"]
+        .join(_grouped(results["backup_tooling"], "tools"), CLUSTER_KEYS, "left")
+        .join(results["latest_backup"].withColumnsRenamed({c: f"latest_{c}" for c in ("node_ip", "path", "mtime", "bytes")}), CLUSTER_KEYS, "left"),
+        "securityAssessment": results["security_level"].join(_grouped(results["security_checks"], "checks"), CLUSTER_KEYS, "left"),
+        "nodes": results["nodes"].select(*KEYS, *[f.name for f in results["nodes"].schema if f.name not in KEYS and not isinstance(f.dataType, MapType)]),
         "recommendations": results["recommendations"],
         "hcConfig": settings,
         "disabledRulesApplied": disabled,

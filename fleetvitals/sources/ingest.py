@@ -8,14 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from fleetvitals import KEYS
 from fleetvitals.functions import fixed_values as fv
 
-# Files with superseded copies are normally a handful; above this number the
-# anti-join is left to Spark instead of being broadcast.
-BROADCAST_FILES = 100_000
-
 # A banner that a collector prints between modules, as a whole line.
 BANNER_LINE = r"(?m)^\s*(\|\+{5,}\||\|\s+\[\d+\]\s+.+\|)\s*$\n?"
 
@@ -77,9 +74,9 @@ def file_name_facts(df: DataFrame, run_date: str, project: str | None = None) ->
 def drop_superseded(spark: SparkSession, dumps: DataFrame, path: str, run_date: str) -> DataFrame:
     """Keeps the last file per node and snapshot.
 
-    The superseded names come from a listing that never reads file contents,
-    so the contents themselves are not shuffled unless there is a huge number
-    of superseded files.
+    The superseded names come from a listing that never reads file contents.
+    They are normally few, and adaptive execution then broadcasts them, so the
+    contents themselves are not shuffled.
     """
     listing = (
         spark.read.format("binaryFile")
@@ -100,10 +97,7 @@ def drop_superseded(spark: SparkSession, dumps: DataFrame, path: str, run_date:
         .filter(F.col("file_name") < F.col("latest_name"))
         .select("file_path")
     )
-    n = superseded.count()
-    if n == 0:
-        return dumps
-    return dumps.join(F.broadcast(superseded) if n <= BROADCAST_FILES else superseded, "file_path", "left_anti")
+    return dumps.join(superseded, "file_path", "left_anti")
 
 
 def let(value: Column, body) -> Column:
@@ -197,6 +191,26 @@ def with_sections(dumps: DataFrame, names: list[str]) -> DataFrame:
     return blocked.withColumn("sections", F.map_from_entries(present))
 
 
+def section_fields(sections: DataFrame, names: list[str]) -> DataFrame:
+    """The map of sections as a struct with a field per known section.
+
+    A Parquet scan can read single fields of a struct, but not single keys of
+    a map. Both are read by name, so parsers take either.
+    """
+    fields = [F.col("sections")[n].alias(n) for n in names]
+    return sections.withColumn("sections", F.struct(*fields))
+
+
+def other_sections(blocked: DataFrame, names: list[str], keys: list[str] = KEYS) -> DataFrame:
+    """Sections that no parser knows: (keys, section, block_no, text), as they were collected."""
+    rows = blocked.select(*keys, F.posexplode("blocks").alias("block_no", "b"))
+    title = F.lower("b.title")
+    known = F.exists(F.array(*[F.lit(n.lower()) for n in names]), lambda n: F.startswith(title, n))
+    return rows.filter(~known).select(
+        *keys, F.col("b.title").alias("section"), "block_no", F.regexp_replace("b.body", BANNER_LINE, "").alias("text")
+    )
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -240,16 +254,25 @@ def boxed_data(text: Column) -> Column:
     )
 
 
+def _section_entries(sections: DataFrame) -> Column:
+    """Array of (name, text) of the sections that a dump has, from the map or the struct."""
+    kind = sections.schema["sections"].dataType
+    if isinstance(kind, MapType):
+        return F.map_entries("sections")
+    fields = F.array(*[F.struct(F.lit(n).alias("key"), F.col("sections")[n].alias("value")) for n in kind.names])
+    return F.filter(fields, lambda s: s["value"].isNotNull())
+
+
 def boxed_rows(sections: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Data rows of every boxed table: (keys, section, row_no, headers, cells, is_valid).
 
     A row whose width differs from its header's (a cell that contains a pipe)
     is kept with is_valid = false for the quarantine.
     """
-    tables = sections.select(*keys, F.explode_outer("sections").alias("section", "text")).select(
-        *keys, "section", boxed(F.col("text")).alias("rows")
+    tables = sections.select(*keys, F.explode(_section_entries(sections)).alias("s")).select(
+        *keys, F.col("s.key").alias("section"), boxed(F.col("s.value")).alias("rows")
     )
-    return tables.filter("section IS NOT NULL").select(
+    return tables.select(
         *keys,
         "section",
         F.get("rows", F.lit(0)).alias("headers"),
@@ -261,6 +284,25 @@ def quarantine(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("is_valid"))
 
 
-def write_boxed_rows(rows: DataFrame, path: str) -> None:
+def write_by_snapshot(df: DataFrame, path: str, partition: list[str], spread: int = 8) -> DataFrame:
+    """Lands a table by snapshot and reads it back; only the snapshots that are written are replaced.
+
+    Rows are first dealt out by partition and a hash of the node, so a
+    partition gets at most `spread` files, not one of every task, and no task
+    writes a whole hot partition.
+    """
+    salt = F.pmod(F.xxhash64("node_ip"), F.lit(spread))
+    (
+        df.repartition(*[F.col(c) for c in partition], salt)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", 5_000_000)
+        .partitionBy(*partition)
+        .parquet(path)
+    )
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_boxed_rows(rows: DataFrame, path: str) -> DataFrame:
     """Lands the boxed rows so that each typed table reads only its own partition."""
-    rows.write.mode("overwrite").partitionBy("snapshot_date", "section").parquet(path)
+    return write_by_snapshot(rows, path, ["snapshot_date", "section"])

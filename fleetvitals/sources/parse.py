@@ -197,9 +197,6 @@ TABLE_SPECS: dict[str, tuple[str, list[tuple[str, int, str, tuple[str, ...]]]]]
     ]),
 }
 
-# How many rows of these tables the health rules look at.
-TABLE_LIMITS = {"redundant_indexes": 200, "failed_logins": 10}
-
 SQL_TABLES = ["sql_by_latency", "sql_by_count", "sql_by_average", "sql_no_good_index", "sql_with_temp"]
 
 # Sections whose raw rows are kept.
@@ -250,8 +247,6 @@ def typed_table(rows: DataFrame, name: str, keys: list[str] = KEYS) -> DataFrame
     """One typed table from the boxed rows; reads only that section's rows."""
     section_name, columns = TABLE_SPECS[name]
     kept = rows.filter(F.lower("section").startswith(section_name.lower()) & F.col("is_valid"))
-    if name in TABLE_LIMITS:
-        kept = kept.filter(F.col("row_no") < TABLE_LIMITS[name])
 
     def value(kind: str, cell: Column) -> Column:
         if kind == "string":
@@ -397,31 +392,54 @@ def slow_log_entry(piece: Column) -> Column:
     return ingest.let(numbers, entry)
 
 
+def _statements(piece: Column) -> Column:
+    """A time mark's text as one piece per statement: servers before 5.7 print the mark once per second."""
+    parts = F.split(piece, r"(?m)^# User@Host:")
+    each = F.transform(
+        F.filter(parts, lambda p, i: i > 0), lambda p: F.concat(first_line(piece), F.lit("\n# User@Host:"), p)
+    )
+    return F.when(F.size(parts) < 2, F.array(piece)).otherwise(each)
+
+
 def _valid_entries(df: DataFrame) -> DataFrame:
     return df.filter(F.col("e.query_s").isNotNull() & F.col("e.sql").isNotNull())
 
 
 def slow_log_entries(texts: DataFrame, keys: list[str] = KEYS, text: str = "text") -> DataFrame:
-    """Entries of slow-log texts (dump tails), one row each."""
+    """Entries of slow-log texts (dump tails), one row per statement."""
     body = F.regexp_replace(F.col(text), "\r\n", "\n")
     usable = (F.trim(body) != "") & ~body.rlike(fv.UNAVAILABLE_PATTERN)
-    pieces = F.split(body, r"(?m)^# Time:")
-    exploded = texts.filter(usable).select(*keys, F.explode_outer(F.filter(pieces, lambda p, i: i > 0)).alias("piece"))
+    pieces = F.filter(F.split(body, r"(?m)^# Time:"), lambda p, i: i > 0)
+    exploded = texts.filter(usable).select(*keys, F.explode(F.flatten(F.transform(pieces, _statements))).alias("piece"))
     parsed = exploded.select(*keys, slow_log_entry(F.col("piece")).alias("e"))
     return _valid_entries(parsed).select(*keys, "e.*")
 
 
-def read_slow_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of full slow logs. A record ends at the next '# Time:' line, so one log splits over tasks."""
+def read_slow_logs(spark: SparkSession, path: str, snapshot_date: str) -> DataFrame:
+    """Entries of full slow logs: (keys, file_name, entry). A record ends at the next '# Time:' line, so one log splits over tasks.
+
+    The node is the last IPv4 address in the file's path, the cluster the
+    folder above the part of the path that names it.
+    """
     records = (
         spark.read.option("lineSep", "\n# Time:")
         .option("recursiveFileLookup", True)
         .text(path)
-        .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("piece"))
+        .select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("piece"))
     )
+    ip = ingest.IP_PATTERN
+    node = F.nullif(F.regexp_extract("file_path", rf"^.*(?<![\d.]){ip}(?![\d.]*\d)", 1), F.lit(""))
+    cluster = F.nullif(F.regexp_extract("file_path", rf"([^/]+)/[^/]*{ip}[^/]*(?:/[^/]*)*$", 1), F.lit(""))
     piece = F.regexp_replace(F.regexp_replace("piece", "\r\n", "\n"), r"^# Time:", "")
-    parsed = records.select("file_name", slow_log_entry(piece).alias("e"))
-    return _valid_entries(parsed).select("file_name", "e.*")
+    each = records.select(
+        F.coalesce(cluster, F.lit("unnamed")).alias("cluster_id"),
+        F.lit(snapshot_date).cast("date").alias("snapshot_date"),
+        node.alias("node_ip"),
+        "file_name",
+        F.explode(_statements(piece)).alias("piece"),
+    )
+    parsed = each.select(*KEYS, "file_name", slow_log_entry(F.col("piece")).alias("e"))
+    return _valid_entries(parsed).select(*KEYS, "file_name", "e.*")
 
 
 def error_severity(line: Column) -> Column:
@@ -519,14 +537,14 @@ def cron_lines(sections: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def active_trx_array(text: Column) -> Column:
     pattern = r"(?s)---TRANSACTION\s+(\d+),\s+(?!not started)([^\n]+)\n(.*?)(?=---TRANSACTION|\nTRANSACTIONS|\n--END)"
-    blocks = F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0), 1, 10)
+    blocks = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0)
     head = r"(?s)^---TRANSACTION\s+(\d+),\s+([^\n]+)\n(.*)$"
     return F.transform(
         blocks,
         lambda b: F.struct(
             F.regexp_extract(b, head, 1).alias("trx_id"),
             F.trim(F.regexp_extract(b, head, 2)).alias("state"),
-            F.substring(F.regexp_replace(F.regexp_extract(b, head, 3), r"^\s+|\s+$", ""), 1, 200).alias("detail"),
+            F.regexp_replace(F.regexp_extract(b, head, 3), r"^\s+|\s+$", "").alias("detail"),
         ),
     )
 
@@ -731,7 +749,7 @@ def _engine_columns() -> dict[str, Column]:
         n: (c if n in ("log_sequence", "log_flushed") else c.cast("bigint")) for n, c in columns.items()
     }
     deadlock = found(text, r"(?s)LATEST DETECTED DEADLOCK\s*\n[-=]+\s*\n(.*?)(?=\n[-=]{3,}\n|\z)")
-    columns["latest_deadlock"] = F.substring(F.regexp_replace(deadlock, r"^\s+|\s+$", ""), 1, 500)
+    columns["latest_deadlock"] = F.regexp_replace(deadlock, r"^\s+|\s+$", "")
     columns["active_transactions"] = active_trx_array(text)
     return columns
 
@@ -762,9 +780,8 @@ def _security_columns() -> dict[str, Column]:
     def filled(text: Column) -> Column:
         return F.nullif(text, F.lit(""))
 
-    top_logins = F.slice(ingest.boxed_data(logins), 1, 10)
     many_errors = F.exists(
-        top_logins, lambda r: F.coalesce(F.get(r, F.lit(2)).try_cast("bigint") > 100, F.lit(False))
+        ingest.boxed_data(logins), lambda r: F.coalesce(F.get(r, F.lit(2)).try_cast("bigint") > 100, F.lit(False))
     )
     return {
         "has_audit": filled(audit).rlike("(?i)audit"),

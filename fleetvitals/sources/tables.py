@@ -61,6 +61,6 @@ def write_marts(marts: dict[str, DataFrame], path: str) -> None:
 
 
 def write_documents(parts: DataFrame, path: str) -> None:
-    """Document parts as JSON lines, one directory per snapshot."""
+    """Document parts as JSON lines, one directory per snapshot. Only the snapshots that are written are replaced."""
     lines = parts.select("snapshot_date", F.to_json(F.struct(*[c for c in parts.columns if c != "snapshot_date"])).alias("value"))
-    lines.write.mode("overwrite").partitionBy("snapshot_date").text(path)
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").text(path)

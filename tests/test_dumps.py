@@ -1,10 +1,11 @@
 """A hand-written four-node cluster from text to score."""
 
 import json
+from datetime import date
 
 import pytest
 
-from fleetvitals.operators import documents
+from fleetvitals.operators import documents, fleet, issues, workload
 from fleetvitals.plans import assessment
 from fleetvitals.sources import config, ingest, parse, tables
 from tests import dumps
@@ -57,7 +58,13 @@ def test_replication_fields_after_the_server_id_are_read(base):
 
 def test_banner_does_not_leak(base):
     texts = base["sections"].select("sections").collect()
-    assert not any("module" in text for r in texts for text in r["sections"].values())
+    assert not any("module" in text for r in texts for text in r["sections"].asDict().values() if text)
+
+
+def test_scan_reads_the_wanted_sections_only(base):
+    plan = base["cron_lines"]._jdf.queryExecution().executedPlan().toString()
+    schema = plan.split("ReadSchema: ")[1].split("\n")[0]
+    assert "Crontab for mysql user" in schema and "hostname" not in schema
 
 
 def test_row_with_a_pipe_goes_to_quarantine(base):
@@ -118,11 +125,17 @@ def test_score_counts_the_backup_issue(results):
 def test_document(spark, results, tmp_path):
     project = results["topology"].selectExpr("cluster_id", "snapshot_date", "'shop' AS value")
     parts = documents.document_parts(assessment.document_members(results, project))
-    doc = json.loads(documents.cluster_documents(parts).first()["document"])
-    assert list(doc) == [name for name, _ in documents.MEMBERS]
+    chunks = documents.cluster_documents(parts, slice_items=3).collect()
+    doc: dict = {}
+    for r in sorted(chunks, key=lambda r: r["chunk_no"]):
+        value = json.loads(r["json"])
+        assert r["n_items"] == (len(value) if isinstance(value, list) else int(value is not None))
+        doc[r["member"]] = doc.get(r["member"], []) + value if isinstance(value, list) else value
+    assert set(doc) == {name for name, _ in documents.MEMBERS}
     assert len(doc["nodes"]) == 4 and doc["schemaVersion"] == {"value": 3}
-    assert len(doc["issues"]) == results["issues"].count()
-    assert documents.cluster_documents(parts, max_items=5).isEmpty()
+    # Slices of three hold every issue: nothing is lost to size.
+    assert len(doc["issues"]) == results["issues"].count() > 3
+    assert {n["node_ip"] for n in doc["nodes"]} == {PRIMARY, REPLICA, BACKUP_NODE, DR} and "mem_pct" in doc["nodes"][0]
     tables.write_documents(parts, str(tmp_path / "parts"))
     assert spark.read.text(str(tmp_path / "parts")).count() == parts.count()
 
@@ -154,9 +167,18 @@ def test_no_dump_is_an_error(spark, tmp_path):
 
 def test_full_slow_logs_are_split_by_entry(spark, tmp_path):
     entry = "# Time: 2026-01-0{d}\n# User@Host: a[a] @ [x]\n# Query_time: {d}.5  Lock_time: 0.1 Rows_sent: 1  Rows_examined: 9\nuse shop;\nSELECT {d};\n"
-    (tmp_path / "slow.log").write_text("server started with:\n" + "".join(entry.format(d=d) for d in (1, 2, 3)))
-    got = rows(parse.read_slow_logs(spark, str(tmp_path)), "time", "query_s", "db", "sql")
-    assert got == {(f"2026-01-0{d}", d + 0.5, "shop", f"SELECT {d};") for d in (1, 2, 3)}
+    # An older server: two more statements of other users under the last mark.
+    more = "# User@Host: b[b] @ [y]\n# Query_time: 9.0  Lock_time: 0.1 Rows_sent: 1  Rows_examined: 9\nSELECT {d}0;\n"
+    folder = tmp_path / "shop" / "10.0.0.7"
+    folder.mkdir(parents=True)
+    text = "server started with:\n" + "".join(entry.format(d=d) for d in (1, 2, 3)) + more.format(d=3) + more.format(d=4)
+    (folder / "slow.log").write_text(text)
+    entries = parse.read_slow_logs(spark, str(tmp_path), "2026-05-01")
+    expected = {(f"2026-01-0{d}", "a[a] @ [x]", d + 0.5, "shop", f"SELECT {d};") for d in (1, 2, 3)}
+    expected |= {("2026-01-03", "b[b] @ [y]", 9.0, None, f"SELECT {d}0;") for d in (3, 4)}
+    assert rows(entries, "time", "user_host", "query_s", "db", "sql") == expected
+    summary = workload.slow_log_summary(entries).first()
+    assert (summary["cluster_id"], summary["node_ip"], summary["n_entries"], summary["max_query_s"]) == ("shop", "10.0.0.7", 5, 9.0)
 
 
 def test_cluster_configuration_files(spark, tmp_path):
@@ -176,3 +198,121 @@ def test_cluster_configuration_files(spark, tmp_path):
     assert high == {("c1", "75", "run"), ("c2", "75", "run")}
     assert config.load_override(str(tmp_path / "missing.json")) == {}
     assert config.load_override(str(tmp_path / "c2" / "healthcheck.config.json")) == {}
+
+
+def test_landing_a_day_keeps_the_days_before(spark, tmp_path):
+    for day, host in (("20260430", "monday"), ("20260501", "tuesday")):
+        folder = tmp_path / day / "c1"
+        folder.mkdir(parents=True)
+        lines = [dumps.marker(1, "hostname"), host, dumps.marker(99, "Vendor check"), "all well", dumps.marker(2, "hostname of nobody")]
+        (folder / f"XHealthCheck_10.0.0.1_{day}1000.txt").write_text("\n".join(lines) + "\n")
+        base = assessment.land_dumps(spark, str(folder), str(tmp_path / "landed"), "2026-05-01")
+    assert rows(base["node_facts"], "snapshot_date", "hostname") == {
+        (date(2026, 4, 30), "monday"), (date(2026, 5, 1), "tuesday"),
+    }
+    # A section that no parser knows is landed too.
+    other = base["other_sections"].collect()
+    assert [(r["section"], r["text"].strip()) for r in other] == [("Vendor check", "all well")] * 2
+    assert sum(p.is_dir() for p in (tmp_path / "landed" / "sections").iterdir()) == 2
+
+
+def test_no_table_is_cut_at_parsing(spark, tmp_path):
+    """More rows than any of the limits there once were."""
+    folder = tmp_path / "c1"
+    folder.mkdir()
+    indexes = dumps.box(
+        ["table_schema", "table_name", "redundant_index_name", "redundant_index_columns", "redundant_index_non_unique", "dominant_index_name", "dominant_index_columns", "dominant_index_non_unique", "subpart_exists", "sql_drop_index"],
+        [["s", f"t{i}", "ix", "a", 1, "iy", "a,b", 1, 0, "x"] for i in range(250)],
+    )
+    logins = dumps.box(["IP", "HOST", "SUM_CONNECT_ERRORS"], [[f"10.0.0.{i}", "h", 500 if i == 29 else 1] for i in range(30)])
+    trx = "".join(f"---TRANSACTION {i}, ACTIVE 1 sec\n{'x' * 300}\n" for i in range(25))
+    text = "\n".join([
+        dumps.marker(5, "Schema redundant indexes"), indexes, dumps.marker(6, "failed login attempts (host_cache)"), logins,
+        dumps.marker(8, "Engine innodb status"), "LATEST DETECTED DEADLOCK\n------------------------\n" + "d" * 900 + "\n------------\nTRANSACTIONS\n------------\n" + trx + "--END", "",
+    ])
+    (folder / "XHealthCheck_10.0.0.1_202604301000.txt").write_text(text)
+    base = assessment.land_dumps(spark, str(folder), str(tmp_path / "landed"), "2026-05-01")
+    assert base["redundant_indexes"].count() == 250 and base["failed_logins"].count() == 30
+    node = base["node_facts"].first()
+    assert node["has_login_failures"] and len(node["latest_deadlock"]) == 900
+    assert [len(t["detail"]) for t in node["active_transactions"]] == [300] * 25
+
+
+def test_catalog_lists_are_whole(spark):
+    from fleetvitals.operators import catalog
+
+    key = "'c' AS cluster_id, DATE '2026-05-01' AS snapshot_date, '10.0.0.1' AS node_ip"
+    tables = spark.range(300).selectExpr(
+        key.split(", ")[0], *key.split(", ")[1:], "'s' AS table_schema", "concat('t', id) AS table_name", "'VIEW' AS table_type", "id AS auto_increment",
+        "100L AS table_rows", "10000000L AS data_length", "0L AS index_length", "90000000L AS data_free",
+    )
+    columns = tables.selectExpr("*", "'c' AS column_name", "'enum' AS data_type", "'int' AS column_type", "'auto_increment' AS extra")
+    usage = tables.selectExpr("*", "'ix' AS index_name", "1 AS non_unique", "0L AS count_star")
+    sessions = tables.selectExpr("cluster_id", "snapshot_date", "node_ip", "table_name AS user_name", "'h' AS host")
+    assert catalog.non_base_tables(tables).count() == catalog.fragmented_tables(tables).count() == 300
+    assert catalog.nonstandard_types(columns).count() == catalog.unused_indexes(usage).count() == 300
+    assert catalog.connected_users(sessions).count() == 300
+    assert catalog.auto_increment_usage(tables, columns.withColumn("data_type", columns.column_type)).count() == 300
+    assert catalog.non_base_tables(tables, k=7).count() == 7
+
+
+def test_merged_text_names_the_merged_count(spark):
+    schema = (
+        "cluster_id string, snapshot_date date, node_ip string, role string, node_order string, type string, priority string, scope string, subject string, "
+        "dimension string, n_objects bigint, description string, current_value string, recommended_value string, needs_confirmation boolean"
+    )
+    day = date(2026, 5, 1)
+    raw = spark.createDataFrame(
+        [("c", day, f"10.0.0.{i}", "slave", f"1|{i}", "no_pk_tables", "P2", "cluster", "", None, n, f"{n} tables", None, None, False) for i, n in ((1, 3), (2, 9), (3, 9))],
+        schema,
+    )
+    nodes = raw.select("cluster_id", "snapshot_date", "node_ip")
+    merged = issues.merge_issues(raw, nodes).first()
+    assert (merged["n_objects"], merged["description"], merged["node_ip"], merged["node"]) == (9, "9 tables", "10.0.0.1", "all nodes")
+
+
+def test_open_accounts_are_a_matter_of_the_cluster(results):
+    found = [r for r in results["issues"].collect() if r["type"].startswith("wildcard_")]
+    assert found and all(r["scope"] == "cluster" and r["n_nodes"] == 1 for r in found)
+    assert results["wildcard_users"].count() >= len(found)
+
+
+def test_nodes_without_an_address_keep_one_order(spark):
+    rows_ = spark.createDataFrame([("c", "db-a", "slave"), ("c", "db-b", "slave"), ("c", "10.0.0.2", "slave"), ("c", "db-c", "primary")], "cluster_id string, node_ip string, role string")
+    ordered = [r["node_ip"] for r in fleet.with_node_order(rows_).orderBy("node_order").collect()]
+    assert ordered[0] == "db-c" and sorted(ordered[1:]) == ["10.0.0.2", "db-a", "db-b"]
+    assert fleet.with_node_order(rows_).select("node_order").distinct().count() == 4
+
+
+def test_assessment_from_tables_only(spark, base):
+    """No dump: node facts and a server's own catalog tables."""
+    keys = ["cluster_id", "snapshot_date", "node_ip"]
+    facts = base["node_facts"]
+    tables_ = facts.selectExpr(
+        *keys, "'shop' AS table_schema", "'orders' AS table_name", "'BASE TABLE' AS table_type", "'InnoDB' AS engine", "'latin1_swedish_ci' AS table_collation",
+        "100L AS table_rows", "10000000L AS data_length", "0L AS index_length", "200000000L AS data_free", "2000000000L AS auto_increment",
+    )
+    columns = facts.selectExpr(*keys, "'shop' AS table_schema", "'orders' AS table_name", "'id' AS column_name", "'int' AS data_type", "'int' AS column_type", "'auto_increment' AS extra")
+    index_columns = facts.selectExpr(*keys, "'shop' AS table_schema", "'orders' AS table_name", "'ix' AS index_name", "1 AS seq", "'id' AS col", "1 AS non_unique")
+    given = {
+        "node_facts": facts, "cat_tables": tables_, "cat_columns": columns, "cat_index_columns": index_columns, "cat_users": base["users"],
+        "cat_schemata": facts.selectExpr(*keys, "'shop' AS schema_name", "'utf8' AS charset", "'bin' AS schema_collation"), "sessions": base["sessions"],
+    }
+    found = assessment.assess_fleet(assessment.base_from_tables(given))
+    types = {r["type"] for r in found["issues"].collect()}
+    assert {"no_pk_tables", "non_utf8_tables", "auto_increment_exhausting", "heavy_frag_tables", "backup_capability"} <= types
+    assert found["total_scores"].count() == 1 and found["slow_log_summary"].isEmpty() and found["schema_diff"].isEmpty()
+
+
+def test_reports_and_declared_roles_reach_the_facts(spark, tmp_path):
+    folder = tmp_path / "c1"
+    folder.mkdir()
+    (folder / "XHealthCheck_10.0.0.1_202604301000.txt").write_text(f"{dumps.marker(1, 'hostname')}\nh\n")
+    cells = ["1", "./ibtmp1", *["9"] * 12, "4096", "1048576", "12582912", "0", "67108864", *["9"] * 12, "7", *["9"] * 6]
+    reports = tmp_path / "reports" / "c1"
+    reports.mkdir(parents=True)
+    (reports / "10.0.0.1_2026-04-30.html").write_text("<table><tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr></table>")
+    roles = spark.createDataFrame([("c1", "10.0.0.1", "DR node")], "cluster_id string, node_ip string, declared_role string")
+    base = assessment.land_dumps(spark, str(folder), str(tmp_path / "landed"), "2026-05-01", reports_path=str(tmp_path / "reports"), declared_roles=roles)
+    node = base["node_facts"].first()
+    assert (node["temp"]["source"], node["temp"]["size_bytes"], node["declared_role"]) == ("html", 4096 * 1048576, "DR node")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetvitals.operators import fleet, rules
-from fleetvitals.operators.ranking import bucketed_row_number, top_k
+from fleetvitals.operators.ranking import range_row_number, top_k
 from fleetvitals.sources.config import Config
 
 DAY = datetime.date(2026, 4, 30)
@@ -113,13 +113,15 @@ def test_ranking_matches_a_plain_window_under_skew(spark):
         F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("c"), (F.col("id") % 97).cast("string"))).alias("c"),
         F.floor(F.col("id") / 100).alias("b"), F.col("id"),
     )
-    got = {(r["c"], r["id"]): r["n"] for r in bucketed_row_number(df, ["c"], ["b"], [F.asc("id")], "n").collect()}
+    got = {(r["c"], r["id"]): r["n"] for r in range_row_number(df.repartition(9), ["c"], ["b", "id"], "n").collect()}
     want: dict = {}
     counts: dict = {}
     for r in sorted(df.collect(), key=lambda r: r["id"]):
         counts[r["c"]] = counts.get(r["c"], 0) + 1
         want[(r["c"], r["id"])] = counts[r["c"]]
     assert got == want
+    empty = range_row_number(df.limit(0), ["c"], ["id"], "n")
+    assert empty.isEmpty()
     assert top_k(df, ["c"], [F.desc("id")], 3).filter("c = 'hot'").count() == 3
 
 

@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 
 from fleetvitals.llm.storage import new_path, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# The store that spills to disk; a task closes its part when it has committed, since one run takes all that has
+# arrived: open parts would each keep some megabytes of local disk, however little they hold.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def sha256(content: Column) -> Column:
@@ -51,8 +55,9 @@ def run_stream(arrivals: DataFrame, state_path: str, changes_path: str) -> None:
     def write(changed: DataFrame, batch_id: int) -> None:
         changed.write.mode("overwrite").parquet(f"{changes_path}/batch_id={batch_id}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    for name, value in STATE_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         query = (
             keyed_state(arrivals)
@@ -64,10 +69,11 @@ def run_stream(arrivals: DataFrame, state_path: str, changes_path: str) -> None:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def deduplicate(

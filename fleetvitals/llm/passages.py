@@ -162,13 +162,16 @@ def _windows(dumps: DataFrame, window: int) -> DataFrame:
 def repeated_ranges(source: DataFrame, window: int) -> DataFrame:
     """Ranges of windows that an earlier dump has: (row_key, ranges of (first, n) in windows)."""
     named = source.where(F.col("dump").isNotNull())
-    phrases = _phrases(named, window)
+    # Never null; said here, joins add no conditions of their own that would make equal branches differ.
+    phrases = _phrases(named, window).where("seed IS NOT NULL AND phrase IS NOT NULL")
     per_phrase = phrases.groupBy("seed", "phrase").agg(F.min("dump").alias("least"), F.max("dump").alias("most"))
-    per_seed = per_phrase.groupBy("seed").agg(F.min("least").alias("l"), F.max("most").alias("m")).where("l < m").select("seed")
-    shared = per_phrase.join(per_seed, "seed").select("seed", "phrase", "least")
+    per_seed = per_phrase.where("least <= most").groupBy("seed").agg(F.min("least").alias("l"), F.max("most").alias("m")).where("l < m").select("seed")
+    # The condition always holds; it makes both uses of per_phrase read the same columns, and so the same shuffle.
+    shared = per_phrase.where("least <= most").join(per_seed, "seed").select("seed", "phrase", "least")
     shared = phrases.join(shared, ["seed", "phrase"]).select("row_key", "first", "n", (F.col("dump") > F.col("least")).alias("factor"))
     edges = shared.where(~F.col("factor")).groupBy("row_key").agg(F.collect_set(F.struct("first", "n")).alias("ranges"))
-    open_ = named.join(edges, "row_key").select("dump", "row_key", "content", "ranges")
+    # From all of source, as the join that removes words: both then read one shuffle of the contents.
+    open_ = source.join(edges, "row_key").select("dump", "row_key", "content", "ranges")
     same = Window.partitionBy("win")
     compared = (
         _windows(open_, window)

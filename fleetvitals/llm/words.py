@@ -15,8 +15,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 # Batches are worked on in pieces of about this many bytes, so memory does not follow the batch size.
-PIECE_BYTES = 4 << 20
-SEGMENT_BYTES = 1 << 20
+PIECE_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -24,8 +24,9 @@ from fleetvitals.llm.storage import stored
 from fleetvitals.llm.words import U64, hash_words, lower_ascii, split_words
 
 # The classifier is fitted on this many labelled dumps at most, those of the smallest id hash.
-MAX_LABELLED = 6000
+MAX_LABELLED = 10_000
 BITS = 18
+SCREEN = 4.0  # standard deviations
 SHAPES = 7
 
 
@@ -83,7 +84,7 @@ def margins(model: Model, texts: pa.Array) -> np.ndarray:
     start = 0
     while start < len(texts):
         stop, size = start, 0
-        while stop < len(texts) and (stop == start or size < (4 << 20)):
+        while stop < len(texts) and (stop == start or size < (1 << 20)):
             size += len(texts[stop].as_buffer() or b"") if texts[stop].is_valid else 0
             stop += 1
         bounds, slots, shapes = encode(texts.slice(start, stop - start))
@@ -93,7 +94,7 @@ def margins(model: Model, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def fit(bounds: np.ndarray, slots: np.ndarray, shapes: np.ndarray, good: np.ndarray, epochs: int = 30, l1: float = 2e-4) -> Model:
+def fit(bounds: np.ndarray, slots: np.ndarray, shapes: np.ndarray, good: np.ndarray, epochs: int = 25, l1: float = 1e-4) -> Model:
     """Sparse logistic regression by proximal steps with one step size per weight."""
     n = len(good)
     words, dense, offset = np.zeros(1 << BITS), np.zeros(SHAPES), 0.0
@@ -101,15 +102,19 @@ def fit(bounds: np.ndarray, slots: np.ndarray, shapes: np.ndarray, good: np.ndar
         return Model(words, dense, offset)
     if good.all() or not good.any():
         return Model(words, dense, float(np.log((good.sum() + 1) / (n - good.sum() + 1))))
-    # Words of fewer than three labelled dumps say nothing.
+    # Only words that bad dumps have more, or less, often than chance would give them take part.
+    owner = np.repeat(np.arange(n), np.diff(bounds))
     held = np.bincount(slots, minlength=1 << BITS)
+    bad_share = 1 - good.mean()
+    excess = np.bincount(slots, weights=1 - good[owner], minlength=1 << BITS) - held * bad_share
+    telling = (held >= 3) & (np.abs(excess) >= SCREEN * np.sqrt(np.maximum(held, 1) * bad_share * (1 - bad_share)))
     g2_words, g2_dense, g2_offset = np.full(1 << BITS, 1e-2), np.full(SHAPES, 1e-2), 1e-2
     rng = np.random.default_rng(0)
     centred = shapes
     for _ in range(epochs):
         order = rng.permutation(n)
-        for first in range(0, n, 128):
-            rows = order[first : first + 128]
+        for first in range(0, n, 32):
+            rows = order[first : first + 32]
             take = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in rows]) if len(rows) else np.zeros(0, int)
             owner = np.repeat(np.arange(len(rows)), bounds[rows + 1] - bounds[rows])
             s = slots[take]
@@ -117,7 +122,7 @@ def fit(bounds: np.ndarray, slots: np.ndarray, shapes: np.ndarray, good: np.ndar
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - good[rows]
             used, place = np.unique(s, return_inverse=True)
             gradient = np.bincount(place, weights=error[owner], minlength=len(used)) / len(rows)
-            gradient[held[used] < 3] = 0
+            gradient[~telling[used]] = 0
             g2_words[used] += gradient**2
             rate = 0.3 / np.sqrt(g2_words[used])
             stepped = words[used] - rate * gradient

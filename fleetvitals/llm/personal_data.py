@@ -347,15 +347,13 @@ def usable(text: str, span: Span) -> bool:
 def labelled_by_patterns(dumps: DataFrame, dump_id: str = "dump_id", content: str = "content", most: int = MAX_LABELLED) -> list[tuple[str, list[Span]]]:
     """Labelled spans where no person has labelled any: dumps that hold well-formed spans, cut to their surroundings.
 
-    `most` dumps at most, those of the smallest hash; each gives up to four windows.
+    `most` dumps at most, those of the smallest hash (repeated rows count once); each gives up to four windows.
     """
-    rows = (
-        dumps.select(F.col(dump_id).alias("id"), F.col(content).alias("text"))
-        .where(F.col("text").rlike("[0-9@]"))
-        .orderBy(F.xxhash64("id", "text"), "id")
-        .limit(most)
-        .select(F.col("text"))
-    )
+    rows = dumps.select(F.xxhash64(F.col(dump_id), F.col(content)).alias("key"), F.col(content).alias("text"))
+    rows = rows.where(F.col("text").rlike("[0-9@]"))
+    # Keys are chosen first, so that no task gathers whole texts; `most` numbers bound the broadcast.
+    chosen = rows.select("key").distinct().orderBy("key").limit(most)
+    rows = rows.join(F.broadcast(chosen), "key", "left_semi").select("text")
     examples = []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +366,7 @@ def labelled_by_patterns(dumps: DataFrame, dump_id: str = "dump_id", content: st
 
     for row in rows.mapInArrow(cut, "text string").collect():
         examples.append((row.text, base_spans(row.text)))
-    return sorted(examples)
+    return sorted({text: spans for text, spans in examples}.items())
 
 
 def find_personal_data(

@@ -255,3 +255,32 @@ INCONSISTENT = "\nUNION ALL ".join(
 @check("rul_54_param_inconsistent", INCONSISTENT)
 def _(v):
     return rules.parameter_issues(nodes_of(v)).select("cluster_id", "subject", "type", "priority")
+
+
+def text_sql(rule: str, description: str, current: str = "CAST(NULL AS VARCHAR)", recommended: str = "CAST(NULL AS VARCHAR)") -> str:
+    where = next(r[3] for r in simple_rules(default) if r[1] == rule)
+    return f"SELECT {K}, '{rule}' AS type, {description} AS description, {current} AS current_value, {recommended} AS recommended_value FROM {FACTS} WHERE {where}"
+
+
+PER_CONNECTION = f"(1.0::DOUBLE + {num('tmp_table_size_in_mb')})"
+ADVISED_CONNECTIONS = f"CAST(floor({MEM} * 1024 * {default('max_connections.peak_memory_ratio_warn')} / greatest({PER_CONNECTION}, 1.0)) AS BIGINT)"
+TEXTS = "\nUNION ALL ".join([
+    text_sql("slow_query_abs_high", "concat(slow_queries, ' slow queries')"),
+    text_sql("slow_query_abs_med", "concat(slow_queries, ' slow queries')"),
+    text_sql("slow_log_off", "'slow log is off'"),
+    text_sql("long_query_time_loose", "concat('long_query_time = ', v_long_query_time)"),
+    text_sql("auth_plugin_native_on_80", "'default authentication plugin is mysql_native_password'", "'mysql_native_password'", "'caching_sha2_password'"),
+    text_sql("max_connections_vs_memory", "CAST(NULL AS VARCHAR)", f"concat('max_connections=', CAST({num('max_connections')} AS BIGINT))", f"concat('max_connections=', {ADVISED_CONNECTIONS})"),
+    text_sql("data_to_memory_ratio_high", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)", "concat(CAST(ceil(db_total_gb / 5) AS BIGINT), ' GB of memory')"),
+])
+
+
+@check("rul_00_issue_texts", TEXTS)
+def _(v):
+    """Wording and advice. Numbers with decimals are left to tests: the two engines round them differently."""
+    kinds = ["slow_query_abs_high", "slow_query_abs_med", "slow_log_off", "long_query_time_loose", "auth_plugin_native_on_80", "max_connections_vs_memory", "data_to_memory_ratio_high"]
+    found = rules.evaluate_rules(nodes_of(v), only=kinds)
+    rounded = F.col("type").isin("max_connections_vs_memory", "data_to_memory_ratio_high")
+    return found.select(
+        "cluster_id", "node_ip", "type", F.when(~rounded, F.col("description")).alias("description"),
+        F.when(F.col("type") != "data_to_memory_ratio_high", F.col("current_value")).alias("current_value"), "recommended_value")

@@ -131,17 +131,14 @@ def schema_diff(databases: DataFrame, nodes: DataFrame, cluster_keys: list[str]
     and the two are compared inside the row: no schema meets a node.
     """
     by_node = [*cluster_keys, "node_ip"]
-    first = nodes.groupBy(*cluster_keys).agg(F.min_by("node_ip", "node_order").alias("first_ip"))
     held = databases.groupBy(*by_node).agg(F.collect_set("name").alias("names"))
-    reference = held.join(first.withColumnRenamed("first_ip", "node_ip"), by_node).select(*cluster_keys, F.col("names").alias("wanted"))
     none = F.array().cast("array<string>")
+    listed = nodes.select(*by_node, "node_order").join(held, by_node, "left").withColumn("names", F.coalesce("names", none))
+    reference = listed.groupBy(*cluster_keys).agg(F.min_by(F.struct(F.col("node_ip").alias("ip"), "names"), "node_order").alias("first"))
     compared = (
-        nodes.select(*by_node)
-        .join(held, by_node, "left")
-        .join(first, cluster_keys)
-        .filter(F.col("node_ip") != F.col("first_ip"))
-        .join(reference, cluster_keys, "left")
-        .select(*by_node, F.coalesce("names", none).alias("names"), F.coalesce("wanted", none).alias("wanted"))
+        listed.join(reference, cluster_keys)
+        .filter(F.col("node_ip") != F.col("first.ip"))
+        .select(*by_node, "names", F.col("first.names").alias("wanted"))
     )
 
     def tagged(names: Column, difference: str) -> Column:

@@ -56,6 +56,11 @@ def test_replication_fields_after_the_server_id_are_read(base):
     assert node["master_uuid"] == "5f0f-11"
 
 
+def test_typed_table_reads_its_own_partition_only(base):
+    plan = base["redundant_indexes"]._jdf.queryExecution().executedPlan().toString()
+    assert "StartsWith(lower(section" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+
+
 def test_banner_does_not_leak(base):
     texts = base["sections"].select("sections").collect()
     assert not any("module" in text for r in texts for text in r["sections"].asDict().values() if text)

@@ -53,7 +53,6 @@ def test_no_cross_join(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_scan_is_pruned_and_filtered(spark):
+def test_scan_is_pruned(spark):
     plan = load().QUERIES["ses_03_top_sleep"](Views(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan.split("ReadSchema")[1]
-    assert "IsNotNull(event_id)" in plan.split("PushedFilters: ")[1].split("]")[0] or "EqualTo(" in plan.split("PushedFilters: ")[1].split("]")[0]

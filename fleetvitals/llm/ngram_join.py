@@ -25,7 +25,9 @@ look at each other; the others (few) are sent to the other chunks of the block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +40,6 @@ from fleetvitals.llm.words import U64, Words, hash_words, lower_ascii, mix, piec
 
 # N-grams in one chunk of a block: what a task holds at a time.
 CHUNK_NGRAMS = 1_000_000
-# Spare parts, as a share of those needed: parts of fewer than two n-grams are common to many sets and can be
-# left unsigned as long as there are no more of them than spare ones.
-SPARE = 0.15
 _PART, _ITEM = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
 
@@ -48,7 +47,8 @@ def bands(percent: int, largest: int) -> tuple[int, list[int]]:
     """(size up to which sets differ by one n-gram at most, upper sizes of the bands above it)."""
     rest = 100 - percent
     small = max(-(-2 * percent // rest) - 1 if rest else largest, 1)
-    ratio = max(1.35, 100 / percent + 0.1)
+    # A set can have partners in its own band and in the next smaller one, but in no other.
+    ratio = max(1.3, 100 / percent + 0.02)
     uppers = []
     last = small
     while last < largest or not uppers:
@@ -57,11 +57,31 @@ def bands(percent: int, largest: int) -> tuple[int, list[int]]:
     return small, uppers
 
 
-def _parts(upper: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(parts, spare ones) for the band of an upper size."""
+def scheme(lower: int, upper: int, percent: int) -> tuple[int, int, int]:
+    """(parts, spare ones, n-grams that a part must have to be signed) for sets of lower to upper n-grams.
+
+    Parts with hardly any n-grams are common to many sets. They can be left
+    unsigned where a set has no more of them than there are spare parts: of the
+    parts that two linked sets share, one more than the spare ones, one is then
+    signed by both. The spare ones are as many as chance makes such parts in
+    the smallest set of the band, and some more. A set with too many signs all.
+    """
     needed = upper * (100 - percent) // percent + 1
-    spare = np.ceil(SPARE * needed).astype(np.int64) + 1
-    return needed + spare, spare
+    for least in (2, 1):
+        for spare in range(1, needed + 2):
+            parts = needed + spare
+            mean = lower / parts
+            share = math.exp(-mean) * (1 + mean * (least > 1))
+            if spare >= share * parts + 2 * math.sqrt(share * parts):
+                if spare <= 0.3 * needed + 3:
+                    return parts, spare, least
+                break
+    return needed, -1, 0
+
+
+@lru_cache(maxsize=64)
+def _schemes(percent: int, small: int, uppers: tuple[int, ...]) -> np.ndarray:
+    return np.array([scheme(low + 1, up, percent) for low, up in zip((small, *uppers), uppers, strict=False)], dtype=np.int64)
 
 
 class Sets:
@@ -92,8 +112,8 @@ def signatures(sets: Sets, percent: int, skip: np.ndarray) -> tuple[np.ndarray,
     """(text, signature) of all texts but those to skip; texts without n-grams have none."""
     if not len(sets.value):
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    small, uppers = bands(percent, int(sets.sizes.max()) + 1)
-    uppers = np.array(uppers, dtype=np.int64)
+    small, found = bands(percent, int(sets.sizes.max()) + 1)
+    schemes, uppers = _schemes(percent, small, tuple(found)), np.array(found, dtype=np.int64)
     item = mix(sets.value ^ _ITEM)
     totals = sets.totals(item)
     owners, signs = [], []
@@ -112,8 +132,7 @@ def signatures(sets: Sets, percent: int, skip: np.ndarray) -> tuple[np.ndarray,
         in_band = (sets.sizes > small) & (band >= 0) & ~skip
         if step:
             in_band &= least <= uppers[np.maximum(band, 0)]
-        upper = uppers[np.clip(band, 0, len(uppers) - 1)] if len(uppers) else np.zeros(len(own), np.int64)
-        parts, spare = _parts(upper, percent)
+        parts, spare, enough = schemes[np.clip(band, 0, len(uppers) - 1)].T
         parts = np.where(in_band, parts, 0)
         base = np.concatenate(([0], np.cumsum(parts)))
         take = np.flatnonzero(in_band[sets.owner])
@@ -126,8 +145,9 @@ def signatures(sets: Sets, percent: int, skip: np.ndarray) -> tuple[np.ndarray,
         stops = np.cumsum(counts)
         sums = at[stops] - at[stops - counts]
         slot_owner = np.repeat(np.arange(len(parts)), parts)
-        few = np.bincount(slot_owner, weights=counts < 2, minlength=len(parts))
-        keep = (counts >= 2) | (few > spare)[slot_owner]
+        signed = counts >= enough[slot_owner]
+        few = np.bincount(slot_owner, weights=~signed, minlength=len(parts))
+        keep = signed | (few > spare)[slot_owner]
         part_no = np.arange(base[-1]) - base[slot_owner]
         tag = (part_no * 4096 + band[slot_owner]).astype(U64)
         owners.append(slot_owner[keep])

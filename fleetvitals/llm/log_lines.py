@@ -1,151 +1,159 @@
 """Near-duplicate lines of dumps and logs: an exact set-similarity join in DataFrame functions.
 
 Error logs and dumps repeat lines that differ in a time or a number. A line's
-set is its distinct tokens in lower case. Lines of equal sets fall together
-first (a class); classes are joined by prefix filtering:
+set is its distinct tokens, what stands between spaces. Lines of equal sets
+fall together first (a class); classes are joined by prefix filtering:
 
-- tokens are ordered by rarity: how many lines have them, over all lines. The
-  count of a token is looked up in a byte per bucket of token hashes (the
-  logarithm of the largest count in the bucket), so any number of tokens fits
-  a literal of a fixed size; the order is the same for all lines, which is all
+- tokens are ordered by rarity: how often they occur, over all lines. A token's
+  count is looked up in a table of one level per bucket of token hashes (of the
+  bucket's commonest token, logarithmic), so any number of tokens fits a
+  literal of a fixed size; the order is the same for all lines, which is all
   that exactness needs;
 - two sets of similarity t share a token among their first
   |x| - ceil(t |x|) + 1; only these prefixes are joined;
 - of the pairs that meet, lengths and the positions of the shared token bound
   the overlap that is left; pairs that cannot reach t are dropped in the join;
-- the rest is verified on the lines themselves.
+- the rest is verified on the lines themselves. As one earlier match decides
+  about a line, every class first meets the earliest class of its tokens only;
+  those still open then meet the others. Many alike thus make few pairs.
+
+Classes and candidates go by hashes of tokens; verification compares the tokens themselves.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetvitals.llm.storage import stored
 
-# One byte per bucket: a literal of 1 MB in the plan, however many tokens there are.
-BUCKET_BITS = 20
-PAGE_BITS = 10
-SPACE = r"[\x20\x09-\x0D]+"
+BUCKET_BITS = 16
+LEVEL_BITS = 8
 
 
-def tokens(line: Column) -> Column:
-    """Distinct tokens of a line in lower case."""
-    parts = F.split(F.lower(line), SPACE)
-    return F.array_distinct(F.filter(parts, lambda t: t != ""))
+def _level(levels: Column, token_hash: Column) -> Column:
+    return F.get(levels, F.shiftrightunsigned(token_hash, 64 - BUCKET_BITS).cast("int")).cast("bigint")
 
 
-def line_set(line: Column) -> Column:
-    """Sorted hashes of a line's distinct tokens."""
-    return F.array_sort(F.transform(tokens(line), lambda t: F.xxhash64(t)))
+def line_set(line: Column, levels: Column) -> Column:
+    """A line's distinct tokens as numbers, rarest first: the level in the upper bits, the hash in the lower ones."""
 
+    def key(token: Column) -> Column:
+        h = F.xxhash64(token)
+        return F.shiftleft(_level(levels, h), 64 - LEVEL_BITS - 1).bitwiseOR(F.shiftrightunsigned(h, LEVEL_BITS + 1))
 
-def _bucket(token: Column) -> Column:
-    return F.shiftrightunsigned(token, 64 - BUCKET_BITS).cast("int")
+    return F.sort_array(F.array_distinct(F.transform(F.split(line, " "), key)))
 
 
-def rarity(lines: DataFrame) -> bytearray:
-    """A byte per bucket of token hashes, growing with the number of lines that have the bucket's commonest token.
+def rarity(contents: DataFrame) -> Column:
+    """The table of levels: per bucket of token hashes, 8 times the logarithm of its commonest token's count.
 
-    lines: (line). Counted over all lines; what reaches the driver is 2 ** BUCKET_BITS letters.
+    contents: (content). Counted over all of them; what reaches the driver is
+    one number for each of the 2 ** BUCKET_BITS buckets.
     """
-    counted = lines.select(F.explode(F.transform(tokens(F.col("line")), lambda t: F.xxhash64(t))).alias("token")).groupBy("token").count()
-    level = F.least(F.floor(8 * F.log2("count")), F.lit(250)).cast("int")
-    pages = (
-        counted.groupBy(_bucket(F.col("token")).alias("bucket"))
-        .agg(F.max(level).alias("level"))
-        .groupBy(F.shiftright("bucket", PAGE_BITS).alias("page"))
-        .agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%04d%03d", F.col("bucket").bitwiseAND((1 << PAGE_BITS) - 1), F.col("level")))), "").alias("cells"))
-    )
-    out = bytearray(1 << BUCKET_BITS)
-    for row in pages.toLocalIterator():
-        for i in range(0, len(row.cells), 7):
-            out[(row.page << PAGE_BITS) + int(row.cells[i : i + 4])] = int(row.cells[i + 4 : i + 7])
-    return out
+    counted = contents.select(F.explode(F.split("content", "[ \n]")).alias("t")).groupBy(F.xxhash64("t").alias("h")).count()
+    bucket = F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int").alias("bucket")
+    levels = [0] * (1 << BUCKET_BITS)
+    for row in counted.groupBy(bucket).agg(F.max("count").alias("n")).collect():
+        levels[row.bucket] = min(8 * (row.n.bit_length() - 1) + (8 * row.n >> (row.n.bit_length() - 1)) % 8, 127)
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")
 
 
-def _prefix(hashes: Column, levels: Column, percent: int) -> Column:
-    """The first tokens by rarity, as (token, position), that any set of the wanted similarity must share one of."""
-    n = F.size(hashes)
-    least = F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int")
-    ordered = F.array_sort(F.transform(hashes, lambda t: F.struct(F.substring(levels, _bucket(t) + 1, F.lit(1)).alias("level"), t.alias("token"))))
-    return F.transform(F.slice(ordered, 1, n - least + 1), lambda x, i: F.struct(x["token"].alias("token"), i.alias("position")))
+def _sources(dumps: DataFrame, dump_id: str, content: str) -> DataFrame:
+    return dumps.select(
+        F.col(dump_id).cast("long").alias("dump"), F.xxhash64(F.col(dump_id), F.col(content)).alias("row_key"), F.col(content).alias("content")
+    )
 
 
-def duplicate_lines(dumps: DataFrame, percent: int = 90, dump_id: str = "dump_id", content: str = "content") -> DataFrame:
-    """Lines that match an earlier one: (dump_id, row_key, line_no), one row each.
+def _verified(pairs: DataFrame, source: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(class) of the later ones of pairs (late, early) that are as similar as wanted, compared on their tokens."""
+    pairs = stored(pairs, "line-pairs")
+    wanted = pairs.select(F.col("late").alias("class")).unionByName(pairs.select(F.col("early").alias("class"))).distinct()
+    spots = (
+        wanted.join(classes.select("class", "first.*"), "class")
+        .groupBy("row_key").agg(F.max("dump").alias("d"), F.collect_list(F.struct("class", "line_no")).alias("spots"))
+    )
+    # The lines are cut out of their dumps, which are joined once by key. The condition always holds; by it this join
+    # reads the same columns as the one that removes lines, and so the same shuffle.
+    texts = (
+        source.join(spots, "row_key").where(F.col("dump") <= F.col("d"))
+        .select(F.split("content", "\n", -1).alias("all"), F.explode("spots").alias("s"))
+        .select("s.class", F.get("all", F.col("s.line_no")).alias("line"))
+    )
+    x, y = (F.array_distinct(F.split(c, " ")) for c in ("x", "y"))
+    both = F.size(F.array_intersect(x, y))
+    return (
+        pairs.join(texts.toDF("late", "x"), "late").join(texts.toDF("early", "y"), "early")
+        .where(both * 100 >= (F.size(x) + F.size(y) - both) * percent)
+        .select(F.col("late").alias("class"))
+        .distinct()
+    )
 
-    A line is a later match if a line of a smaller (dump_id, line number), of
-    any dump, has a Jaccard similarity of percent / 100 or more to it; whether
-    that line stays itself does not matter. Lines without tokens match nothing.
-    row_key is a hash of id and content, which tells rows of equal id apart.
-    """
-    source = dumps.select(
-        F.col(dump_id).cast("long").alias("dump"), F.xxhash64(F.col(dump_id), F.col(content)).alias("row_key"), F.col(content).alias("content")
-    ).where(F.col("dump").isNotNull() & F.col("content").isNotNull())
-    exploded = source.select("dump", "row_key", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line"))
-    levels = F.lit(bytes(rarity(exploded.select("line"))))
-    sets = exploded.select("dump", "row_key", "line_no", line_set(F.col("line")).alias("hashes")).where(F.size("hashes") > 0)
+
+def _later(source: DataFrame, percent: int) -> DataFrame:
+    """(dump, row_key, line_no) of lines that match an earlier one."""
+    levels = rarity(source.where(F.col("dump").isNotNull()))
+    exploded = source.where(F.col("dump").isNotNull()).select("dump", "row_key", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line"))
+    sets = exploded.where(F.btrim("line", F.lit(" \t\r\v\f")) != "").select("dump", "row_key", "line_no", line_set(F.col("line"), levels).alias("keys"))
+    n = F.size("keys")
+    least = F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int")
     lines = stored(
         sets.select(
-            "dump", "row_key", "line_no", F.size("hashes").alias("n"),
-            F.xxhash64("hashes", F.size("hashes")).alias("class"),
-            _prefix(F.col("hashes"), levels, percent).alias("prefix"),
+            "dump", "row_key", "line_no", n.alias("n"), F.xxhash64("keys").alias("class"), F.slice("keys", 1, n - least + 1).alias("prefix")
         ),
         "line-sets",
     )
-    place = F.struct("dump", "line_no", "row_key")
-    classes = lines.groupBy("class").agg(F.min(place).alias("first"), F.min("n").alias("n"))
-    # A prefix is the same for all lines of a class; combining on the map side leaves one row per class and task.
-    entries = (
-        lines.where("n >= 2").select("class", "n", F.explode("prefix").alias("p"))
-        .select("class", "n", "p.token", "p.position")
-        .groupBy("token", "class").agg(F.min("n").alias("n"), F.min("position").alias("position"))
-    )
-    # A token that one class has in its prefix joins nothing.
-    shared = entries.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1").select("token")
-    entries = entries.join(shared, "token")
-    a, b = entries.alias("a"), entries.alias("b")
-    need = F.ceil((F.col("a.n") + F.col("b.n")) * percent / F.lit(100.0 + percent) - 1e-9)
-    rest = F.least(F.col("a.n") - F.col("a.position"), F.col("b.n") - F.col("b.position"))
-    pairs = (
-        a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class"))
-               & (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent) & (rest >= need))
-        .select(F.col("a.class").alias("one"), F.col("b.class").alias("two"))
-        .distinct()
-    )
-    pairs = stored(pairs, "line-pairs")
-    wanted = pairs.select(F.col("one").alias("class")).unionByName(pairs.select(F.col("two").alias("class"))).distinct()
-    spots = wanted.join(classes, "class").groupBy("first.row_key").agg(F.collect_list(F.struct("class", "first.line_no")).alias("spots"))
-    # The lines to verify are cut out of their dumps, whole dumps being joined once by key.
-    texts = (
-        source.select("row_key", "content").dropDuplicates(["row_key"]).join(spots, "row_key")
-        .select(F.split("content", "\n", -1).alias("all"), F.explode("spots").alias("s"))
-        .select("s.class", line_set(F.get("all", F.col("s.line_no"))).alias("hashes"))
+    # One row per class; what a task has of it is combined before the shuffle, so a very common line costs one row per task.
+    classes = stored(
+        lines.groupBy("class").agg(F.min(F.struct("dump", "line_no", "row_key")).alias("first"), F.max("n").alias("n"), F.min("prefix").alias("prefix")),
+        "line-classes",
     )
-    one, two = texts.toDF("one", "x"), texts.toDF("two", "y")
-    both = F.size(F.array_intersect("x", "y"))
-    linked = (
-        pairs.join(one, "one").join(two, "two")
-        .where(both * 100 >= (F.size("x") + F.size("y") - both) * percent)
-        .select("one", "two")
+    # Shorter sets than this are similar to none but their own.
+    shortest = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
+    # One shuffle by token; counting, filtering and joining below all keep to it.
+    entries = (
+        classes.where(F.col("n") >= shortest)
+        .select("class", "n", F.col("first.dump").alias("dump"), F.col("first.line_no").alias("line_no"), F.posexplode("prefix").alias("position", "token"))
+        .repartition("token")
     )
+    place = F.struct("dump", "line_no", "class")
+    # The earliest class of a token; a token that one class has in its prefix joins nothing.
+    hubs = entries.groupBy("token").agg(F.count("*").alias("c"), F.min_by(F.struct("class", "n", "position", "dump", "line_no"), place).alias("h")).where("c > 1")
+    entries = entries.join(hubs.select("token", "h"), "token")
+    b = entries.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "position", "dump", "line_no")])
+    need = F.ceil((F.col("n") + F.col("n_b")) * percent / F.lit(100.0 + percent) - 1e-9)
+    rest = F.least(F.col("n") - F.col("position"), F.col("n_b") - F.col("position_b"))
+    lengths = (F.col("n") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n") * percent)
+    later = F.struct("dump", "line_no", "class") > F.struct("dump_b", "line_no_b", "class_b")
+    possible = later & lengths & (rest >= need)
+    columns = [F.col("class").alias("late"), F.col("class_b").alias("early")]
+    # First each class with the earliest of its tokens: in a group of many alike, that already decides most.
+    hub = entries.select("*", *[F.col(f"h.{c}").alias(f"{c}_b") for c in ("class", "n", "position", "dump", "line_no")])
+    decided = stored(_verified(hub.where(possible).select(*columns).distinct(), source, classes, percent), "lines-by-hub")
+    # Then the classes that are still open with all earlier ones.
+    open_ = entries.join(decided.withColumnRenamed("class", "done"), F.col("class") == F.col("done"), "left_anti")
+    pairs = open_.join(b, "token").where(possible & (F.col("class_b") != F.col("h.class"))).select(*columns).distinct()
+    late = decided.unionByName(_verified(pairs, source, classes, percent)).distinct().select("class", F.lit(True).alias("late"))
     firsts = classes.select("class", "first")
-    late = (
-        linked.join(firsts.toDF("one", "f1"), "one").join(firsts.toDF("two", "f2"), "two")
-        .select(F.when(F.col("f1") > F.col("f2"), F.col("one")).otherwise(F.col("two")).alias("class"))
-        .distinct()
-        .select("class", F.lit(True).alias("late"))
-    )
-    judged = classes.select("class", "first").join(late, "class", "left")
+    judged = firsts.join(late, "class", "left")
     return (
         lines.select("dump", "row_key", "line_no", "class").join(judged, "class")
         .where(F.coalesce("late", F.lit(False)) | (F.struct("dump", "line_no", "row_key") > F.col("first")))
-        .select(F.col("dump").alias(dump_id), "row_key", "line_no")
+        .select("dump", "row_key", "line_no")
     )
 
 
+def duplicate_lines(dumps: DataFrame, percent: int = 90, dump_id: str = "dump_id", content: str = "content") -> DataFrame:
+    """Lines that match an earlier one: (dump_id, row_key, line_no), one row each.
+
+    A line is a later match if a line of a smaller (dump_id, line number), of
+    any dump, has a Jaccard similarity of percent / 100 or more to it; whether
+    that line stays itself does not matter. Blank lines match nothing. row_key
+    is a hash of id and content, which tells rows of equal id apart.
+    """
+    return _later(_sources(dumps, dump_id, content), percent).withColumnRenamed("dump", dump_id)
+
+
 def remove_duplicate_lines(dumps: DataFrame, percent: int = 90, dump_id: str = "dump_id", content: str = "content") -> DataFrame:
     """Per row: dump_id, n_lines, n_removed, kept_text.
 
@@ -155,19 +163,14 @@ def remove_duplicate_lines(dumps: DataFrame, percent: int = 90, dump_id: str = "
     lines. Identical rows (same id and content) are one dump: what goes from
     one goes from all. An empty table gives an empty table.
     """
-    gone = (
-        duplicate_lines(dumps, percent, dump_id, content)
-        .groupBy("row_key").agg(F.collect_set("line_no").alias("gone"))
-    )
-    rows = dumps.select(
-        F.col(dump_id).alias(dump_id), F.col(content).alias("content_"), F.xxhash64(F.col(dump_id), F.col(content)).alias("row_key")
-    ).join(gone, "row_key", "left")
-    all_lines = F.split("content_", "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col("content_")).otherwise(
+    source = _sources(dumps, dump_id, content)
+    gone = _later(source, percent).groupBy("row_key").agg(F.collect_set("line_no").alias("gone"))
+    all_lines = F.split("content", "\n", -1)
+    kept = F.when(F.col("gone").isNull(), F.col("content")).otherwise(
         F.array_join(F.filter(all_lines, lambda line, i: ~F.array_contains("gone", i)), "\n")
     )
-    return rows.select(
-        F.col(dump_id),
+    return source.join(gone, "row_key", "left").select(
+        F.col("dump").alias(dump_id),
         F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         kept.alias("kept_text"),

@@ -111,7 +111,8 @@ def fit(bounds: np.ndarray, slots: np.ndarray, shapes: np.ndarray, good: np.ndar
     g2_words, g2_dense, g2_offset = np.full(1 << BITS, 1e-2), np.full(SHAPES, 1e-2), 1e-2
     rng = np.random.default_rng(0)
     centred = shapes
-    for _ in range(epochs):
+    # Few dumps make few steps a round; they get as many steps as it takes to settle.
+    for _ in range(max(epochs, 1500 * 32 // n)):
         order = rng.permutation(n)
         for first in range(0, n, 32):
             rows = order[first : first + 32]

@@ -1,6 +1,8 @@
 """Near-duplicate lines of dumps and logs: an exact set-similarity join in DataFrame functions.
 
-Error logs and dumps repeat lines that differ in a time or a number. A line's
+Error logs and dumps repeat lines that differ in a time or a number. One other
+token in n distinct ones leaves a similarity of (n - 1) / (n + 1): at 80 % such
+lines match from 9 tokens on, at 90 % only from 19. A line's
 set is its distinct tokens, what stands between spaces. Lines of equal sets
 fall together first (a class); classes are joined by prefix filtering:
 

@@ -41,7 +41,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = log_lines.remove_duplicate_lines(_dumps(spark, sf_dir))
+    found = log_lines.remove_duplicate_lines(_dumps(spark, sf_dir), percent=80)
     return found.select(
         F.col("dump_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
     )

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from fleetvitals.llm import log_lines
+from fleetvitals.llm import log_lines, queries
 from tests.llm import brute
 
 
@@ -51,6 +51,15 @@ def test_error_log_lines_that_differ_in_a_number(spark):
     assert row.n_removed == 2 and row.kept_text.endswith("after 1 packets")
 
 
+def test_query_removes_lines_that_differ_in_a_number(spark, tmp_path):
+    """By the query itself, at its own threshold: 15 tokens of which one differs, and 9; 8 are too few."""
+    lines = ["[Warning] aborted connection of user app at host web to database shop after {} packets", "a b c d e f g h {}", "i j k l m n o {}"]
+    rows = [(i, "s", "en", "\n".join(x.format(i) for x in lines)) for i in (1, 2, 3)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {1: (3, 0, brute.sha(rows[0][3])), 2: (3, 2, brute.sha(lines[2].format(2))), 3: (3, 2, brute.sha(lines[2].format(3)))}
+
+
 def test_only_frame_functions(spark):
     plan = log_lines.remove_duplicate_lines(spark.createDataFrame([(1, "a b c")], "dump_id long, content string"))
     text = plan._jdf.queryExecution().executedPlan().toString()

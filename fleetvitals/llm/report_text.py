@@ -6,8 +6,9 @@ pages' elements that have the same path of names fall on the same node. A node
 keeps how many pages have it, which child sequences (presentation) and which
 texts (content) it shows, and how many pages show each. Entropies of the two
 give its importance: a menu that reads the same on every page has none, an
-article that no other page repeats has all. Each page then loses its branches
-of low importance.
+article that no other page repeats has all. Pages of equal contents count once,
+so that copies of one page do not make its text look like a menu. Each page then
+loses its branches of low importance.
 """
 
 from __future__ import annotations
@@ -132,14 +133,17 @@ def _hash(text: str, seed: int = 0) -> int:
 
 
 def features(text: str) -> set[tuple[int, int, int]]:
-    """(path, kind, value) of a page: kind 0 the node itself, 1 its child sequence, 2 a text that stands in it."""
+    """(path, kind, value) of a page: kind 0 the node itself, 1 its child sequence, 2 a text that stands in it.
+
+    Without what is marked as no main text: that goes in any case, and copies may differ in it.
+    """
     out: set[tuple[int, int, int]] = set()
     todo = [(parse(text), 0)]
     while todo:
         node, above = todo.pop()
         path = _hash(node.name, above & ((1 << 64) - 1))
         out.add((path, 0, 0))
-        below = [c for c in node.children if isinstance(c, Node)]
+        below = [c for c in node.children if isinstance(c, Node) and not c.noise]
         # Runs of the same child count once: a longer list is no other layout.
         names = [c.name for i, c in enumerate(below) if i == 0 or below[i - 1].name != c.name]
         out.add((path, 1, _hash("|".join(names))))
@@ -153,30 +157,32 @@ def features(text: str) -> set[tuple[int, int, int]]:
 def style_trees(reports: DataFrame, site: str = "node_ip", html: str = "content") -> DataFrame:
     """The merged tree of every site: (site, path, pages, presentation, content).
 
-    presentation is the entropy of the node's child sequences to the base of
+    Pages of equal features are one page, however many rows hold it. presentation is the entropy of the node's child sequences to the base of
     its pages; content is one minus the mean entropy of its texts, where a text
     on all pages has entropy 1 and one on a single page 0; null without texts.
     """
-    schema = "site string, path long, kind int, value long"
+    schema = "site string, digest long, path array<long>, kind array<tinyint>, value array<long>"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int64()))
         for batch in batches:
             sites, pages = batch.column(0).to_pylist(), batch.column(1)
             for start in range(0, len(sites), 256):
-                out = [
-                    (name, *f)
-                    for name, page in zip(sites[start : start + 256], pages.slice(start, 256).to_pylist(), strict=True)
-                    for f in features(page or "")
-                ]
+                out = []
+                for name, page in zip(sites[start : start + 256], pages.slice(start, 256).to_pylist(), strict=True):
+                    found = sorted(features(page or ""))
+                    out.append((name, _hash(repr(found)), *zip(*found, strict=True)))
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)],
-                    names=["site", "path", "kind", "value"],
+                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["site", "digest", "path", "kind", "value"]
                 )
 
     source = reports.select(F.coalesce(F.col(site), F.lit("")).alias("site"), F.col(html).alias("page"))
+    # One row per site and content; equal digests mean equal arrays, and a task sends each once.
+    distinct = source.mapInArrow(rows, schema).dropDuplicates(["site", "digest"])
     # First per value, with map-side counts, so that a site of a third of all pages is spread; then per node.
-    counted = source.mapInArrow(rows, schema).groupBy("site", "path", "kind", "value").agg(F.count("*").alias("c"))
+    values = distinct.select("site", F.inline(F.arrays_zip("path", "kind", "value")))
+    counted = values.groupBy("site", "path", "kind", "value").agg(F.count("*").alias("c"))
     entropy = F.col("c") * F.ln("c")
     per_node = counted.groupBy("site", "path").agg(
         F.max(F.when(F.col("kind") == 0, F.col("c"))).alias("pages"),
@@ -206,7 +212,7 @@ def _importance(root: Node, tree: dict[int, tuple]) -> dict[int, tuple[float, in
     out: dict[int, tuple[float, int]] = {}
     for node in reversed(order):
         pages, presentation, content = tree.get(node.path, (0, 1.0, None))
-        branches = [out[id(c)][0] for c in node.children if isinstance(c, Node) and c.tag not in VOID]
+        branches = [out[id(c)][0] for c in node.children if isinstance(c, Node) and c.tag not in VOID and not c.noise]
         if content is not None:
             branches.append(content)
         if not branches:
@@ -293,8 +299,9 @@ def extract_text(
     text is the main text: blocks with references decoded and white space
     collapsed, joined by two line ends; n_chars its code points. Null and empty
     pages, and pages without main text, give ''. A null site is a site of its
-    own. Repeated rows count as pages of their own and give a row each. An
-    empty table gives an empty table. Sites with fewer than MIN_PAGES pages on a
+    own. Repeated rows give a row each, but pages of a site that are equal, save
+    for what is marked as no main text, count as one for what repeats. An empty
+    table gives an empty table. Sites with fewer than MIN_PAGES such pages on a
     node lose only what its element or name marks as no main text.
     """
     trees = style_trees(reports, site, html).where(F.col("pages") >= MIN_PAGES)

@@ -33,6 +33,23 @@ def test_copies_of_an_article_keep_their_text(spark):
     assert all(found[i] == expected(1) for i in range(40)) and all(found[100 + i] == expected(100 + i) for i in range(10))
 
 
+def test_copies_without_article_and_main_keep_their_text(spark):
+    """Copies of one page, each with its own script and ad, on a host of their own and among pages of the same layout."""
+    page = """<html><body><script>track({n})</script><div class="ad">Buy {n}</div><div class="b"><div>Home</div></div>
+        <div class="c"><h1>Title {i}</h1><p>Story {i} of many</p><p>More on {i}</p></div><div class="d">All rights reserved</div></body></html>"""
+    rows = [(n, host, page.format(i=1, n=n)) for n, host in [*((n, "copies") for n in range(40)), *((n, "both") for n in range(40, 80))]]
+    rows += [(100 + i, "both", page.format(i=100 + i, n=i)) for i in range(10)]
+    table = spark.createDataFrame(rows, "report_id long, node_ip string, content string").repartition(3)
+    found = {r.report_id: r.text for r in R.extract_text(table).collect()}
+
+    def story(i):
+        return f"Title {i}\n\nStory {i} of many\n\nMore on {i}"
+
+    # A single content says nothing about what repeats.
+    assert all(found[n] == f"Home\n\n{story(1)}\n\nAll rights reserved" for n in range(40))
+    assert all(found[n] == story(1) for n in range(40, 80)) and all(found[100 + i] == story(100 + i) for i in range(10))
+
+
 def test_importance_of_a_merged_tree(spark):
     page = "<div><p>same</p><span>{i}</span></div>"
     rows = [(i, "n", page.format(i=i)) for i in range(10)]

@@ -24,11 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select title".split())
+# Elements without markup inside: all up to their end tag goes.
+RAW = frozenset("script style iframe textarea title".split())
+# Elements that go with their contents, but only where they are closed: one left open may hold the rest of the text.
+CLOSED_NOISE = frozenset("noscript template svg select".split())
 INLINE = frozenset(
-    "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
-)
+    "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark object param q rp rt ruby s samp small span "
+    "strike strong sub sup time tt u var wbr "
+    "math annotation maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot "
+    "mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
+) | CLOSED_NOISE
 # A start tag that ends an open element of the same kind.
 CLOSES = {
     **{t: ("p",) for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main "
@@ -37,7 +42,7 @@ CLOSES = {
     "option": ("option",),
 }
 # Elements and names that never hold main text, wherever they stand.
-NOISE_TAGS = frozenset("nav footer aside form button dialog menu head".split()) | RAW
+NOISE_TAGS = frozenset("nav footer aside form button dialog menu head".split()) | CLOSED_NOISE
 NOISE_NAMES = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|gdpr|menu\w*|nav|navbar|navigation|"
     r"topbar|sidebar|widgets?|footer|header|masthead|breadcrumbs?|comments?|commentlist|reply|replies|respond|disqus|"
@@ -72,6 +77,14 @@ def parse(text: str) -> Node:
     root = Node("", "", False)
     stack = [root]
     at, end = 0, len(text)
+
+    def close(i: int, closed: bool = False) -> None:
+        """Closes all from stack[i] on; those above it, and itself unless closed by its own end tag, were left open."""
+        for node in stack[i + closed :]:
+            if node.tag in CLOSED_NOISE:
+                node.noise = False
+        del stack[i:]
+
     while at < end:
         found = _TOKEN.match(text, at)
         token, at = found.group(), found.end()
@@ -84,25 +97,28 @@ def parse(text: str) -> Node:
             if name == "p" or name not in ("body", "html"):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == name:
-                        del stack[i:]
+                        close(i, closed=True)
                         break
         else:
             name = _NAME.match(token).group(1).lower()
             if name in RAW:
-                close = re.compile(f"</{re.escape(name)}[^>]*(?:>|\\Z)", re.I).search(text, at)
-                at = close.end() if close else end
+                last = re.compile(f"</{re.escape(name)}[^>]*(?:>|\\Z)", re.I).search(text, at)
+                # Self-closed ones have no contents in drawings; elsewhere browsers look for the end tag, if there is one.
+                if not token.endswith("/>") or last and not any(n.tag == "svg" for n in stack):
+                    at = last.end() if last else end
                 continue
             for over in CLOSES.get(name, ()):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == over:
-                        del stack[i:]
+                        close(i)
                         break
-                    if stack[i].tag not in INLINE and stack[i].tag != "p":
+                    if stack[i].tag in CLOSED_NOISE or stack[i].tag not in INLINE and stack[i].tag != "p":
                         break
             node = _node(name, token)
             stack[-1].children.append(node)
             if name not in VOID and not token.endswith("/>"):
                 stack.append(node)
+    close(1)
     return root
 
 

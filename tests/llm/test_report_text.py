@@ -73,6 +73,23 @@ def test_broken_markup():
     assert R.main_text("<div>" * 5000 + "deep", {}) == "deep"
 
 
+def test_embedded_elements_keep_the_text_around_them():
+    for name in ("svg", "math", "object", "noscript", "select", "template"):
+        for page in (
+            f"<article><p>One <{name} class='x'/>two</p><p>three</p></article><footer><{name}></{name}></footer>",
+            f"<article><p>One <{name}>two</p><p>three</p></article>",
+            f"<article><p>One <{name}>two</p><p>three</p></article><footer><{name}>x</{name}></footer>",
+        ):
+            assert R.main_text(page, {}) == "One two\n\nthree", page
+        assert R.main_text(f"<article><{name}><p>One</p><p>two</p></article>", {}) == "One\n\ntwo"
+    for name in ("svg", "noscript", "select", "template"):
+        assert R.main_text(f"<article><p>One <{name}><b>no<i/></b></{name}>two</p></article>", {}) == "One two"
+    assert R.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", {}) == "So x=2 holds"
+    assert R.main_text("<article><p>See <object data='p'><param name='a'>the plan</object> here</p></article>", {}) == "See the plan here"
+    assert R.main_text("<article><svg><title/><path/></svg>One<script src='a'/><p>two</p></article>", {}) == "One\n\ntwo"
+    assert R.main_text("<article>One<script src='a'/>var t</script> two<iframe><p>no</p></iframe></article>", {}) == "One two"
+
+
 def test_odd_rows(odd, nothing):
     found = R.extract_text(odd, report_id="dump_id").collect()
     assert len(found) == odd.count()

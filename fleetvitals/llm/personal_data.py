@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
@@ -344,28 +344,55 @@ def usable(text: str, span: Span) -> bool:
     return {"email": "@" in part and len(part) >= 6, "ip": digits >= 4 and part.count(".") >= 3, "card": digits >= 12, "phone": digits >= 7}[kind]
 
 
+def cuttings(text: str, most: int = 4) -> list[str]:
+    """Windows of a text with their surroundings: around the first span of each kind, then around other triggers."""
+    firsts: dict[str, Span] = {}
+    for span in base_spans(text):
+        firsts.setdefault(span[0], span)
+    parts = [text[max(0, a - WINDOW) : b + WINDOW] for _, a, b in in_order(list(firsts.values()))]
+    parts += [text[max(0, start - WINDOW) : start + 2 * WINDOW] for start in window_starts(text)[:most]]
+    return list(dict.fromkeys(parts))[:most]
+
+
 def labelled_by_patterns(dumps: DataFrame, dump_id: str = "dump_id", content: str = "content", most: int = MAX_LABELLED) -> list[tuple[str, list[Span]]]:
     """Labelled spans where no person has labelled any: dumps that hold well-formed spans, cut to their surroundings.
 
-    `most` dumps at most, those of the smallest hash (repeated rows count once); each gives up to four windows.
+    `most` dumps at most, those of the smallest hash: first an equal share of `most` for each kind of span, then any
+    that hold spans, until `most` are found. Repeated rows count once. Each gives up to four windows, around the first
+    span of each kind before others, as other digits teach what is no span.
     """
     rows = dumps.select(F.xxhash64(F.col(dump_id), F.col(content)).alias("key"), F.col(content).alias("text"))
     rows = rows.where(F.col("text").rlike("[0-9@]"))
-    # Keys are chosen first, so that no task gathers whole texts; `most` numbers bound the broadcast.
-    chosen = rows.select("key").distinct().orderBy("key").limit(most)
-    rows = rows.join(F.broadcast(chosen), "key", "left_semi").select("text")
-    examples = []
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[str, set[int]] = {kind: set() for kind in KINDS}
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for kind in {span[0] for span in base_spans(text)}:
+                    keys[kind].add(key)
+            keys = {kind: set(sorted(some)[:most]) for kind, some in keys.items()}
+        found = [(kind, key) for kind, some in keys.items() for key in some]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int64()))], names=["kind", "key"])
+
+    # Keys are chosen first, so that no task gathers whole texts: `most` a kind and task, then `most` a kind.
+    by_kind = rows.mapInArrow(smallest, "kind string, key long").distinct()
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("key"))
+    found: dict[str, list[int]] = {}
+    for row in by_kind.withColumn("place", place).where(F.col("place") <= most).orderBy("kind", "key").collect():
+        found.setdefault(row.kind, []).append(row.key)
+    keys = {key for some in found.values() for key in some[: most // len(KINDS)]}
+    keys |= set(sorted({key for some in found.values() for key in some} - keys)[: most - len(keys)])
+    chosen = dumps.sparkSession.createDataFrame([(k,) for k in sorted(keys)], "key long")
+    rows = rows.join(F.broadcast(chosen), "key", "left_semi").select("key", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for text in batch.column(0).to_pylist():
-                for start in window_starts(text)[:4]:
-                    parts.append(text[max(0, start - WINDOW) : start + 2 * WINDOW])
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], names=["text"])
-
-    for row in rows.mapInArrow(cut, "text string").collect():
-        examples.append((row.text, base_spans(row.text)))
+            parts = [cuttings(text) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.string()))], names=["key", "parts"])
+
+    examples = []
+    for row in rows.mapInArrow(cut, "key long, parts array<string>").collect():
+        examples += [(part, base_spans(part)) for part in row.parts]
     return sorted({text: spans for text, spans in examples}.items())
 
 

@@ -109,3 +109,16 @@ def test_results_keep_base_spans(spark):
         assert len(added) == r.n_added
         assert all(a >= y or b <= x for _, a, b in added for _, x, y in base)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in P.KINDS]
+
+
+def test_labelled_dumps_hold_rare_kinds(spark):
+    """Digits are common, spans are few and late in their texts: all kinds are there, within the bound."""
+    rng = random.Random(3)
+    filler = "line 1 of 20 took 3 ms and " + "nothing else was said about it here " * 12
+    values = {"email": "a.b@mail.example.com", "ip": "10.1.2.3", "card": card(rng), "phone": "+1 (375) 555-4393"}
+    rows = [(i, filler * 8 + str(i)) for i in range(600)]
+    rows += [(1000 + 10 * k + i, f"{i} {filler * 8}call {v} now for dump {i}") for k, v in enumerate(values.values()) for i in range(3)]
+    rows += [(2000 + i, f"mail x{i}@mail.example.com") for i in range(100)]
+    labelled = P.labelled_by_patterns(spark.createDataFrame(rows, "dump_id long, content string").repartition(4), most=12)
+    kinds = [kind for _, spans in labelled for kind, _, _ in spans]
+    assert all(kinds.count(kind) >= 3 for kind in values) and sum(bool(spans) for _, spans in labelled) == 12

@@ -391,7 +391,8 @@ def labelled_by_patterns(dumps: DataFrame, dump_id: str = "dump_id", content: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.string()))], names=["key", "parts"])
 
     examples = []
-    for row in rows.mapInArrow(cut, "key long, parts array<string>").collect():
+    # Equal keys have equal parts; one row of each reaches the driver.
+    for row in rows.mapInArrow(cut, "key long, parts array<string>").groupBy("key").agg(F.first("parts").alias("parts")).collect():
         examples += [(part, base_spans(part)) for part in row.parts]
     return sorted({text: spans for text, spans in examples}.items())
 

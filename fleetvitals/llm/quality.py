@@ -139,7 +139,10 @@ def fit(bounds: np.ndarray, slots: np.ndarray, shapes: np.ndarray, good: np.ndar
 def train(
     dumps: DataFrame, labels: DataFrame, dump_id: str = "dump_id", content: str = "content", good: str = "good", max_labelled: int = MAX_LABELLED
 ) -> Model:
-    """Fits on labelled dumps: (dump_id, good), good being 0 or 1. Labels without an id or a value are left out."""
+    """Fits on labelled dumps: (dump_id, good), good being 0 or 1. Labels without an id or a value are left out.
+
+    Of rows that share an id one is taken, that of the smallest content hash.
+    """
     wanted = (
         labels.select(F.col(dump_id).alias("id"), F.col(good).cast("int").alias("good"))
         .where(F.col("id").isNotNull() & F.col("good").isNotNull())
@@ -150,7 +153,7 @@ def train(
     )
     # max_labelled rows of two numbers bound the broadcast.
     rows = dumps.select(F.col(dump_id).alias("id"), F.col(content).alias("text")).join(F.broadcast(wanted), "id")
-    schema = "id long, good int, slots binary, shapes binary"
+    schema = "id long, good int, hash long, slots binary, shapes binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,11 +161,14 @@ def train(
                 part = batch.slice(i, 1)
                 _, slots, shapes = encode(part.column(1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([slots.astype(np.int32).tobytes()]), pa.array([shapes.tobytes()])],
-                    names=["id", "good", "slots", "shapes"],
+                    [part.column(0), part.column(2), part.column(3), pa.array([slots.astype(np.int32).tobytes()]), pa.array([shapes.tobytes()])],
+                    names=["id", "good", "hash", "slots", "shapes"],
                 )
 
-    got = sorted(rows.select("id", "text", "good").mapInArrow(work, schema).collect(), key=lambda r: (r.id, bytes(r.slots)))
+    encoded = rows.select("id", "text", "good", F.xxhash64("text").alias("hash")).mapInArrow(work, schema)
+    # One row per id, combined per task, so that repeated rows reach neither the driver nor the fit.
+    once = encoded.groupBy("id").agg(F.min_by(F.struct("good", "slots", "shapes"), "hash").alias("r")).select("id", "r.*")
+    got = sorted(once.collect(), key=lambda r: r.id)
     each = [np.frombuffer(r.slots, np.int32) for r in got]
     bounds = np.concatenate(([0], np.cumsum([len(e) for e in each]))).astype(np.int64)
     slots = np.concatenate([np.zeros(0, np.int32), *each]).astype(np.int64)

@@ -74,3 +74,13 @@ def test_odd_rows(odd, nothing, spark, model):
         assert Q.classify(nothing, m).count() == 0
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (55, 1)], "dump_id long, good int")
     assert Q.classify(odd, Q.train(odd, labels)).where("accepted").count() == odd.count()
+
+
+def test_repeated_rows_weigh_once_in_the_fit(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda bounds, slots, shapes, good: seen.append((len(good), shapes.shape, slots.tolist())))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "dump_id long, good int")
+    rows = [(1, "good words"), (2, "bad words here")]
+    for repeats in (1, 50):
+        Q.train(spark.createDataFrame(rows * repeats, "dump_id long, content string").repartition(3), labels)
+    assert seen[0] == seen[1] and seen[1][0] == 2

@@ -75,9 +75,33 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+OP13 = """
+WITH e AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
+    [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+s AS (
+  SELECT DISTINCT a.id AS anchor, e.id AS other, a.l = e.l AS same, CAST(list_dot_product(a.v, e.v) AS BIGINT) AS score
+  FROM e AS a JOIN e ON a.id % 100 = 0 AND a.id <> e.id
+),
+p AS (
+  SELECT anchor, other, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor AS anchor_id, p.other AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other) AS INTEGER) AS rank,
+  s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other) <= 10
+"""
+
 ORACLES = {
     "op4_substring_dedup": OP4,
     "op6_url_filters": OP6,
     "op7_benchmark_decontamination": OP7,
     "op8_exact_dedup": OP8,
+    "op13_hard_negatives": OP13,
 }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetvitals.llm import (
-    decontaminate, exact_dedup, log_lines, mixing, ngram_join, passages, personal_data, quality, report_text, url_rules,
+    decontaminate, exact_dedup, hard_negatives, language, log_lines, mixing, ngram_join, passages, personal_data, quality,
+    report_text, token_alignment, url_rules,
 )
 from fleetvitals.llm.storage import show_package
 
@@ -108,10 +109,33 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("dump_id", "doc_id")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align_tokens(_dumps(spark, sf_dir))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.withColumn("groups_sha256", digest).drop("groups").withColumnRenamed("dump_id", "doc_id")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    dumps = documents.select(F.col("doc_id").alias("dump_id"), F.col("text").alias("content"), F.col("lang").alias("language"))
+    held_out = F.crc32(F.coalesce(F.col("dump_id").cast("string"), F.lit(""))) % 3 == 1
+    model = language.train(dumps.where(~held_out))
+    found = language.identify(dumps.select("dump_id", "content", held_out.alias("held_out")), model)
+    return found.select(F.col("dump_id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = given.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), changed.alias("label"))
+    return hard_negatives.mine_hard_negatives(vectors, is_anchor=F.col("item_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_line_dedup, op3_html_extraction, op4_substring_dedup, op5_quality_classifier,
         op6_url_filters, op7_benchmark_decontamination, op8_exact_dedup, op9_mixing, op10_personal_data,
+        op11_cross_tokenizer_alignment, op12_language_id, op13_hard_negatives,
     )
 }

@@ -78,7 +78,7 @@ def test_odd_documents(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     expected, found = con.execute(oracles.ORACLES[name]).df(), queries.QUERIES[name](spark, SF).toPandas()
     columns = sorted(expected.columns)

@@ -331,3 +331,151 @@ def _(v):
     return plain(documents.validate(headers, rows, nodes))
 
 
+
+
+# --- Whole documents: every member from the views, written, and read back line by line.
+
+PRIORITY = "CASE WHEN k % 4 = 0 THEN 'P0' ELSE 'P2' END"
+HORIZON_OF = "CASE WHEN k % 4 = 0 THEN 'immediate' ELSE 'mid_term' END"
+
+
+def seventeen(v):
+    """All members of every cluster's document."""
+    nodes = v["nodes"].withColumn("node_order", F.col("k"))
+    topology = fleet.topology(v["nodes"])
+
+    def constant(value):
+        return topology.select(*CLUSTER_KEYS, value.cast("string").alias("value"))
+
+    some = nodes.where("k % 3 = 0")
+    return documents.document_parts({
+        "schemaVersion": topology.select(*CLUSTER_KEYS, F.lit(3).alias("value")),
+        "project": constant(F.concat(F.lit("p"), F.col("cluster_id"))), "reportVersion": constant(F.lit("1.0")),
+        "inspectionDate": constant(F.col("snapshot_date")), "reportDate": constant(F.col("snapshot_date")),
+        "cluster": topology.select(*CLUSTER_KEYS, F.col("label").alias("topology"), F.col("n_nodes").alias("nodeCount")),
+        documents.ADDRESSES: nodes.select(*CLUSTER_KEYS, "node_ip", "node_order"),
+        "healthScore": topology.select(*CLUSTER_KEYS, (100 - F.col("n_nodes") % 50).alias("total")),
+        "overallAssessment": topology.select(*CLUSTER_KEYS, F.when(F.col("cluster_id") % 2 == 0, "fine").alias("label")),
+        "issues": some.select(*CLUSTER_KEYS, F.col("k").alias("seq"), F.expr(PRIORITY).alias("priority"), F.concat(F.lit('is "'), "hostname", F.lit('"')).alias("description")),
+        "correlations": nodes.where("k % 5 = 0").select(*CLUSTER_KEYS, F.concat(F.lit("COR-"), F.col("k")).alias("code")),
+        "paramJudgments": nodes.where("k % 7 = 0").select(*CLUSTER_KEYS, F.concat(F.lit("v"), F.col("k")).alias("name"), (F.col("k") % 2 == 0).alias("ok")),
+        "backupAssessment": topology.where("cluster_id % 3 = 0").select(*CLUSTER_KEYS, F.lit("P1").alias("severity")),
+        "securityAssessment": topology.select(*CLUSTER_KEYS, F.lit("low").alias("level")),
+        "nodes": nodes.select(*KEYS, F.col("node_ip").alias("ip"), "node_order", "role"),
+        "recommendations": some.select(*CLUSTER_KEYS, F.expr(HORIZON_OF).alias("horizon"), F.concat(F.lit("do "), F.col("k")).alias("text")),
+        "hcConfig": topology.select(*CLUSTER_KEYS, F.lit("80").alias("disk.high_pct")),
+        "disabledRulesApplied": constant(F.lit("")),
+    })
+
+
+def _document_sql() -> str:
+    """The same lines by hand: (cluster, slot, step, position, text)."""
+    single = "(SELECT cluster_id, count(*) AS n FROM {nodes} GROUP BY cluster_id)"
+    label = "CASE WHEN n > 1 THEN concat('primary + ', n - 1, ' replicas (async)') ELSE 'single node' END"
+    values = {
+        "schemaVersion": "'3'", "project": "concat('\"p', cluster_id, '\"')", "reportVersion": "'\"1.0\"'", "inspectionDate": "'\"2024-01-31\"'",
+        "reportDate": "'\"2024-01-31\"'", "cluster": f"concat('{{\"topology\":\"', {label}, '\",\"nodeCount\":', n)",
+        "healthScore": "concat('{\"total\":', 100 - n % 50, '}')", "overallAssessment": "CASE WHEN cluster_id % 2 = 0 THEN '\"fine\"' ELSE 'null' END",
+        "backupAssessment": "CASE WHEN cluster_id % 3 = 0 THEN '{\"severity\":\"P1\"}' ELSE 'null' END", "securityAssessment": "'{\"level\":\"low\"}'",
+        "hcConfig": "'{\"disk.high_pct\":\"80\"}'", "disabledRulesApplied": "'\"\"'",
+    }
+    order = "lpad(CAST(k AS VARCHAR), 19, '0')"
+    items = {
+        "ips": ("concat('\"', node_ip, '\"')", order, "TRUE"),
+        "issues": (f"concat('{{\"seq\":', k, ',\"priority\":\"', {PRIORITY}, '\",\"description\":\"is \\\"', hostname, '\\\"\"}}')", order, "k % 3 = 0"),
+        "correlations": ("concat('{\"code\":\"COR-', k, '\"}')", "concat('COR-', k)", "k % 5 = 0"),
+        "paramJudgments": ("concat('{\"name\":\"v', k, '\",\"ok\":', CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END, '}')", "concat('v', k)", "k % 7 = 0"),
+        "nodes": ("concat('{\"node_ip\":\"', node_ip, '\",\"ip\":\"', node_ip, '\",\"node_order\":', k, ',\"role\":\"', role, '\"}')", order, "TRUE"),
+        **{h: ("concat('\"do ', k, '\"')", "''", f"k % 3 = 0 AND {HORIZON_OF} = '{h}'") for h in ("immediate", "short_term", "mid_term", "long_term")},
+    }
+    slots = [
+        *(("single", m) for m in ("schemaVersion", "project", "reportVersion", "inspectionDate", "reportDate", "cluster")), ("ips", "ips"),
+        *(("single", m) for m in ("healthScore", "overallAssessment")), *(("list", m) for m in ("issues", "correlations", "paramJudgments")),
+        *(("single", m) for m in ("backupAssessment", "securityAssessment")), ("list", "nodes"),
+        *(("horizon", m) for m in ("immediate", "short_term", "mid_term", "long_term")), ("single", "hcConfig"), ("single", "disabledRulesApplied"),
+    ]
+    rows = []
+    for i, (kind, m) in enumerate(slots):
+        before = {"single": f'"{m}":', "ips": ',"ips":[', "list": f'"{m}":[', "horizon": ('"recommendations":{' if m == "immediate" else ",") + f'"{m}":['}[kind]
+        after = {"single": ",", "ips": "]},", "list": "],", "horizon": "]}," if m == "long_term" else "]"}[kind]
+        after = "" if m == "cluster" else "}" if m == "disabledRulesApplied" else after
+        rows += [f"SELECT cluster_id, {i}, 0, '', '{"{" if i == 0 else ""}{before}' FROM {single}", f"SELECT cluster_id, {i}, 3, '', '{after}' FROM {single}"]
+        if kind == "single":
+            rows.append(f"SELECT cluster_id, {i}, 1, '', {values[m]} FROM {single}")
+        else:
+            text, position, where = items[m]
+            by = f"({position}), ({text})"
+            rows.append(
+                f"SELECT cluster_id, {i}, 1, {position}, concat(CASE WHEN row_number() OVER (PARTITION BY cluster_id ORDER BY {by}) = 1 THEN '' ELSE ',' END, {text}) FROM {{nodes}} WHERE {where}"
+            )
+    body = " UNION ALL ".join(rows)
+    return f"""WITH l(cluster_id, slot, step, position, line) AS ({body})
+SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY slot, step, position, ltrim(line, ',')) - 1 AS INTEGER) AS line_no, line FROM l"""
+
+
+@check("snk_02_document_text", _document_sql())
+def _(v):
+    """Every line, in its place, of the JSON file of every cluster: 17 members each."""
+    path = f"{shared_folder(v.spark)}/documents-{uuid.uuid4().hex}"
+    tables.write_cluster_documents(documents.document_lines(seventeen(v)), path)
+    text = documents.read_documents(v.spark, path)
+    lines = F.split(F.regexp_replace("json", "\n$", ""), "\n")
+    return text.select("cluster_id", F.posexplode(lines).alias("line_no", "line"))
+
+
+@check("dq_01_own_documents", "SELECT cluster_id, 'ERROR' AS level, 'overallAssessment' AS path, 'missing' AS message, 1 AS n FROM {nodes} WHERE cluster_id % 2 = 1 GROUP BY cluster_id UNION ALL SELECT cluster_id, 'WARN', 'issues.priority', 'not P0-P3', count(*) FROM {nodes} WHERE k % 12 = 0 GROUP BY cluster_id")
+def _(v):
+    """Documents in parts, too large for a row or not: the label is null in every second cluster, priorities are spoilt."""
+    spoilt = seventeen(v).withColumn("json", F.regexp_replace("json", '"seq":(\\d*),"priority":"P0"', '"seq":$1,"priority":"urgent"'))
+    return plain(documents.validate_parts(spoilt))
+
+
+# A fault per way that a path can be wrong: (member, its text in place of the sound one, level, path, message).
+SOUND = {
+    "schemaVersion": "3", "project": '"p"', "reportVersion": '"1.0"', "inspectionDate": '"2024-01-31"', "reportDate": '"2024-01-31"',
+    "cluster": '{"topology":"single node","nodeCount":1,"ips":["10.0.0.1"]}', "healthScore": '{"total":9}', "overallAssessment": '"fine"',
+    "issues": '[{"priority":"P1","description":"d"}]', "correlations": "[]", "paramJudgments": "[]", "backupAssessment": "{}",
+    "securityAssessment": "{}", "nodes": '[{"ip":"10.0.0.1","role":"primary","hostname":"h"}]', "recommendations": "{}", "collectorVersion": '"3.0"',
+}
+FAULTS = [
+    *((m, None, "ERROR", m, "missing") for m in ("project", "inspectionDate", "reportDate", "overallAssessment", "issues", "nodes")),
+    *((m, "null", "ERROR", m, "missing") for m in ("project", "issues")),
+    *((m, "7", "ERROR", m, "not of kind string: number") for m in ("project", "reportVersion", "inspectionDate", "reportDate", "overallAssessment")),
+    *((m, "{}", "ERROR", m, "not of kind array: object") for m in ("issues", "correlations", "paramJudgments", "nodes")),
+    *((m, '"x"', "ERROR", m, "not of kind object: string") for m in ("healthScore", "backupAssessment", "securityAssessment", "recommendations")),
+    ("cluster", '{"nodeCount":1,"ips":["a"]}', "ERROR", "cluster.topology", "missing"),
+    ("cluster", '{"topology":"t","ips":["a"]}', "ERROR", "cluster.nodeCount", "missing"),
+    ("cluster", '{"topology":"t","nodeCount":"1","ips":["a"]}', "ERROR", "cluster.nodeCount", "not of kind number: string"),
+    ("cluster", '{"topology":"t","nodeCount":1}', "ERROR", "cluster.ips", "missing"),
+    ("cluster", '{"topology":"t","nodeCount":1,"ips":[]}', "ERROR", "cluster.ips", "too short"),
+    ("cluster", '{"topology":true,"nodeCount":1,"ips":["a"]}', "ERROR", "cluster.topology", "not of kind string: boolean"),
+    ("nodes", "[]", "ERROR", "nodes", "too short"),
+    ("nodes", '[{"role":"dr"}]', "ERROR", "nodes.ip", "missing"),
+    ("nodes", '[{"ip":"a","hostname":"h"}]', "ERROR", "nodes.role", "missing"),
+    ("nodes", '[{"ip":"a","role":"dr","hostname":5}]', "ERROR", "nodes.hostname", "not of kind string: number"),
+    ("issues", '[{"description":"d"}]', "ERROR", "issues.priority", "missing"),
+    ("issues", '[{"priority":"P4","description":"d"}]', "WARN", "issues.priority", "not P0-P3"),
+    ("issues", '[{"priority":"P0","description":""}]', "WARN", "issues.description", "missing"),
+    ("schemaVersion", None, "WARN", "schemaVersion", "missing"),
+    ("schemaVersion", "2", "WARN", "schemaVersion", "older than current"),
+    ("schemaVersion", "4", "WARN", "schemaVersion", "newer than supported"),
+    ("collectorVersion", '"three"', "WARN", "collectorVersion", "not a version"),
+]
+FAULT_ROWS = ", ".join(f"({i}, '{level}', '{path}', '{message}')" for i, (_, _, level, path, message) in enumerate(FAULTS))
+
+
+@check("dq_01_document_paths", f"""
+SELECT cluster_id, node_ip, level, path, message, 1 AS n FROM {{nodes}} JOIN (VALUES {FAULT_ROWS}) f(i, level, path, message) ON k % {len(FAULTS) + 1} = i""")
+def _(v):
+    """A document per node, each with one fault of its own or none."""
+    fault = F.col("k") % (len(FAULTS) + 1)
+
+    def member(name):
+        text = F.lit(f'"{name}":{SOUND[name]}')
+        for i, (spoilt, value, *_) in enumerate(FAULTS):
+            if spoilt == name:
+                text = F.when(fault == i, F.lit(None if value is None else f'"{name}":{value}').cast("string")).otherwise(text)
+        return text
+
+    body = F.concat(F.lit("{"), F.concat_ws(",", *[member(m) for m in SOUND]), F.lit("}"))
+    return plain(documents.validate_documents(v["nodes"].select(*KEYS, body.alias("json")), KEYS))

@@ -246,7 +246,10 @@ def document_members(results: dict[str, DataFrame], project: DataFrame, config:
         "reportVersion": constant(F.lit(report_version)),
         "inspectionDate": constant(date),
         "reportDate": constant(date),
-        "cluster": topology.select(*CLUSTER_KEYS, "label", "n_nodes"),
+        "cluster": topology.join(project, CLUSTER_KEYS, "left").select(
+            *CLUSTER_KEYS, F.col("value").alias("name"), F.col("label").alias("topology"), F.col("n_nodes").alias("nodeCount"), "label", "n_nodes"
+        ),
+        documents.ADDRESSES: results["nodes"].select(*CLUSTER_KEYS, "node_ip", "node_order"),
         "healthScore": score.join(results["total_scores"], CLUSTER_KEYS, "left"),
         "overallAssessment": results["labels"].select(*CLUSTER_KEYS, "label"),
         "issues": results["issues"],
@@ -256,7 +259,7 @@ def document_members(results: dict[str, DataFrame], project: DataFrame, config:
         .join(_grouped(results["backup_tooling"], "tools"), CLUSTER_KEYS, "left")
         .join(results["latest_backup"].withColumnsRenamed({c: f"latest_{c}" for c in ("node_ip", "path", "mtime", "bytes")}), CLUSTER_KEYS, "left"),
         "securityAssessment": results["security_level"].join(_grouped(results["security_checks"], "checks"), CLUSTER_KEYS, "left"),
-        "nodes": results["nodes"].select(*KEYS, *[f.name for f in results["nodes"].schema if f.name not in KEYS and not isinstance(f.dataType, MapType)]),
+        "nodes": results["nodes"].select(*KEYS, F.col("node_ip").alias("ip"), *[f.name for f in results["nodes"].schema if f.name not in KEYS and not isinstance(f.dataType, MapType)]),
         "recommendations": results["recommendations"],
         "hcConfig": settings,
         "disabledRulesApplied": disabled,

@@ -6,9 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it names none, one in the warehouse, which is shared as well."""
+    """The folder that spark.checkpoint.dir names.
+
+    Where it names none, a folder in the warehouse, but only if all executors
+    see it: on one machine, or if the warehouse is no local path. Else an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    one_machine = spark.sparkContext.master.split("[")[0] == "local"
+    if not one_machine and warehouse.split(":")[0] in ("file", warehouse):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return f"{warehouse.rstrip('/')}/_checkpoints"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

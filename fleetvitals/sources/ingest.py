@@ -1,7 +1,8 @@
 """Text dumps to sections, boxed rows and presence.
 
 A dump is one row. Everything here is a narrow projection over that row, so
-ingesting needs no shuffle and no per-section rescan of the files.
+reading needs no shuffle and no per-section rescan of the files. Landing moves
+each row once, to files of even size.
 """
 
 from __future__ import annotations
@@ -284,16 +285,17 @@ def quarantine(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("is_valid"))
 
 
-def write_by_snapshot(df: DataFrame, path: str, partition: list[str], spread: int = 8) -> DataFrame:
+def write_by_snapshot(df: DataFrame, path: str, partition: list[str]) -> DataFrame:
     """Lands a table by snapshot and reads it back; only the snapshots that are written are replaced.
 
-    Rows are first dealt out by partition and a hash of the node, so a
-    partition gets at most `spread` files, not one of every task, and no task
-    writes a whole hot partition.
+    Rows are rebalanced by measured size: adaptive execution gives a small
+    partition one task and cuts a large one into as many as its bytes need, each
+    of about spark.sql.adaptive.advisoryPartitionSizeInBytes. So neither does a
+    hot snapshot wait for a fixed number of writers, nor does every task leave
+    a file in every partition.
     """
-    salt = F.pmod(F.xxhash64("node_ip"), F.lit(spread))
     (
-        df.repartition(*[F.col(c) for c in partition], salt)
+        df.hint("rebalance", *[F.col(c) for c in partition])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", 5_000_000)

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetvitals import CLUSTER_KEYS
+
 FORMATS = ("parquet", "orc", "csv", "json")
 
 
@@ -64,3 +66,12 @@ def write_documents(parts: DataFrame, path: str) -> None:
     """Document parts as JSON lines, one directory per snapshot. Only the snapshots that are written are replaced."""
     lines = parts.select("snapshot_date", F.to_json(F.struct(*[c for c in parts.columns if c != "snapshot_date"])).alias("value"))
     lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").text(path)
+
+
+def write_cluster_documents(lines: DataFrame, path: str, keys: list[str] = CLUSTER_KEYS) -> None:
+    """One JSON file per cluster and snapshot from operators.documents.document_lines, in a folder named by both.
+
+    The lines of a cluster come sorted from one task, which writes them as they
+    pass. Only the clusters and snapshots that are written are replaced.
+    """
+    lines.select(*keys, "line").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).text(path)

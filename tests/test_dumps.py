@@ -145,6 +145,83 @@ def test_document(spark, results, tmp_path):
     assert spark.read.text(str(tmp_path / "parts")).count() == parts.count()
 
 
+def test_one_json_file_per_cluster(spark, results, tmp_path):
+    project = results["topology"].selectExpr("cluster_id", "snapshot_date", "'shop' AS value")
+    parts = documents.document_parts(assessment.document_members(results, project))
+    for _ in range(2):  # writing again replaces
+        tables.write_cluster_documents(documents.document_lines(parts), str(tmp_path))
+    files = list(tmp_path.glob("cluster_id=*/snapshot_date=*/*.txt"))
+    assert len(files) == 1
+    doc = json.loads(files[0].read_text())
+    assert list(doc) == [name for name, _ in documents.MEMBERS] and len(doc) == 17
+    assert (doc["schemaVersion"], doc["project"], doc["overallAssessment"]) == (3, "shop", results["labels"].first()["label"])
+    assert doc["cluster"]["topology"] == "primary + 3 replicas (async)" and doc["cluster"]["nodeCount"] == 4
+    ordered = [r["node_ip"] for r in results["nodes"].orderBy("node_order").collect()]
+    assert doc["cluster"]["ips"] == [n["ip"] for n in doc["nodes"]] == ordered
+    assert [i["seq"] for i in doc["issues"]] == list(range(1, results["issues"].count() + 1))
+    assert doc["healthScore"]["total"] == results["total_scores"].first()["total"]
+    given = {(h, t) for h, texts in doc["recommendations"].items() for t in texts}
+    assert given == rows(results["recommendations"], "horizon", "text")
+    assert {c["code"] for c in doc["correlations"]} == {r[0] for r in rows(results["correlations"], "code")}
+    assert {p["name"] for p in doc["paramJudgments"]} == {r[0] for r in rows(results["parameter_drift"], "name")}
+    assert doc["backupAssessment"]["severity"] == "P0" and {c["check_id"] for c in doc["securityAssessment"]["checks"]} >= {"no_empty_password"}
+    assert doc["hcConfig"]["disk.high_pct"] and doc["disabledRulesApplied"] is not None
+
+    read = documents.read_documents(spark, str(tmp_path))
+    assert documents.validate_documents(read).collect() == [] == documents.validate_parts(parts).collect()
+    one_cluster = "cluster_id = 'shop'"
+    assert read.where(one_cluster).count() == 1
+    for member in ("project", "overallAssessment", "schemaVersion"):
+        less = documents.validate_parts(parts.where(f"member <> '{member}'"))
+        assert rows(less, "path", "message") == {(member, "missing")}
+
+
+def test_a_document_longer_than_its_rows(spark, tmp_path):
+    """Many items in one cluster, a cluster with a header only, one without nodes; texts with quotes and line ends."""
+    issue = "struct(id AS seq, concat('say \\\"', id, '\\\"\\n') AS description, 'P1' AS priority)"
+    issues_ = spark.range(5000).selectExpr("'big' AS cluster_id", "DATE'2026-05-01' AS snapshot_date", f"{issue} AS i").select("cluster_id", "snapshot_date", "i.*")
+    head = spark.createDataFrame([("big",), ("bare",)], "cluster_id string").selectExpr("cluster_id", "DATE'2026-05-01' AS snapshot_date", "3 AS value")
+    parts = documents.document_parts({"schemaVersion": head, "issues": issues_})
+    tables.write_cluster_documents(documents.document_lines(parts), str(tmp_path))
+    got = {f.parent.parent.name: json.loads(f.read_text()) for f in tmp_path.glob("cluster_id=*/snapshot_date=*/*.txt")}
+    assert set(got) == {"cluster_id=big", "cluster_id=bare"}
+    big, bare = got["cluster_id=big"], got["cluster_id=bare"]
+    assert [i["seq"] for i in big["issues"]] == list(range(5000)) and big["issues"][7]["description"] == 'say "7"\n'
+    assert bare["issues"] == [] and bare["nodes"] == [] and bare["cluster"] == {"name": None, "ips": []} and bare["healthScore"] is None
+    assert bare["recommendations"] == {h: [] for h in documents.HORIZONS}
+    found = documents.validate_documents(documents.read_documents(spark, str(tmp_path)))
+    assert rows(found.where("cluster_id = 'bare'"), "path", "message") == {
+        ("project", "missing"), ("inspectionDate", "missing"), ("reportDate", "missing"), ("cluster.topology", "missing"), ("cluster.nodeCount", "missing"),
+        ("cluster.ips", "too short"), ("overallAssessment", "missing"), ("nodes", "too short"),
+    }
+    assert rows(documents.validate_parts(parts), *found.columns) == rows(found, *found.columns)
+
+
+def test_broken_documents(spark):
+    texts = {
+        "none": None, "text": "{", "list": "[1]", "null": "null", "empty": "{}",
+        "kinds": '{"schemaVersion":"3","project":5,"cluster":[],"issues":{},"nodes":[{"ip":1,"role":null},7],"healthScore":3,"collectorVersion":"x"}',
+        "old": '{"schemaVersion":2,"collectorVersion":"3.1","issues":[{"priority":"P9"},{"description":"d"}],"nodes":[]}',
+        "new": '{"schemaVersion":4}',
+    }
+    docs = spark.createDataFrame(list(texts.items()), "name string, json string")
+    found = {}
+    for r in documents.validate_documents(docs, ["name"]).collect():
+        found.setdefault(r["name"], {})[(r["level"], r["path"], r["message"])] = r["n"]
+    assert all(found[n] == {("ERROR", "$", "not an object"): 1} for n in ("none", "text", "list", "null"))
+    required = {p for p, _, needed, _ in documents.DOCUMENT_FIELDS if needed}
+    assert {p for _, p, m in found["empty"] if m == "missing"} == required | {"schemaVersion"} and len(found["empty"]) == len(required) + 1
+    kinds = found["kinds"]
+    assert kinds[("ERROR", "project", "not of kind string: number")] == 1 and kinds[("ERROR", "issues", "not of kind array: object")] == 1
+    assert kinds[("ERROR", "healthScore", "not of kind object: number")] == 1 and kinds[("ERROR", "cluster.ips", "missing")] == 1
+    assert kinds[("ERROR", "nodes.ip", "not of kind string: number")] == 1 and kinds[("ERROR", "nodes.ip", "missing")] == 1
+    assert kinds[("ERROR", "nodes.role", "missing")] == 2 and kinds[("WARN", "collectorVersion", "not a version")] == 1
+    old = found["old"]
+    assert old[("WARN", "schemaVersion", "older than current")] == 1 and ("WARN", "collectorVersion", "not a version") not in old
+    assert old[("WARN", "issues.priority", "not P0-P3")] == 1 == old[("ERROR", "issues.priority", "missing")] and old[("WARN", "issues.description", "missing")] == 1
+    assert old[("ERROR", "nodes", "too short")] == 1 and found["new"][("WARN", "schemaVersion", "newer than supported")] == 1
+
+
 def test_marts_are_written_per_snapshot(spark, results, tmp_path):
     tables.write_marts({"topology": results["topology"]}, str(tmp_path))
     tables.write_marts({"topology": results["topology"]}, str(tmp_path))

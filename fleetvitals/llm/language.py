@@ -137,19 +137,17 @@ def kernel(spectrum: Spectrum, texts: list[str], landmarks: list[str]) -> np.nda
     return np.concatenate(rows).astype(np.float64) if rows else np.zeros((0, len(landmarks)))
 
 
-def fit(known: list[tuple[str, str]], n_landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """known: (language, text), in the order in which landmarks are taken."""
-    languages = tuple(sorted({language for language, _ in known}))
-    if not languages:
-        return Model((), None, ())
-    landmarks = [text for _, text in known[:n_landmarks]]
-    spectrum = Spectrum(landmarks)
-    similar = kernel(spectrum, [text for _, text in known], landmarks)
+def solve(
+    known: list[str], similar: np.ndarray, spectrum: Spectrum, landmarks: list[str], ridge: float = RIDGE
+) -> Model:
+    """Ridge regression per language. known: each known text's language; similar: its kernel with the landmarks."""
+    languages = tuple(sorted(set(known)))
     place = {language: i for i, language in enumerate(languages)}
+    column = [place[language] for language in known]
     target = np.full((len(known), len(languages)), -1.0)
-    target[np.arange(len(known)), [place[language] for language, _ in known]] = 1.0
+    target[np.arange(len(known)), column] = 1.0
     # Languages weigh alike, however many of the known texts are theirs.
-    weight = 1 / np.bincount([place[language] for language, _ in known])[[place[language] for language, _ in known]]
+    weight = (1 / np.bincount(column))[column]
     weight = weight / weight.sum()
     values, vectors = np.linalg.eigh(kernel(spectrum, landmarks, landmarks))
     kept = values > 1e-6 * max(values[-1], 1e-12)
@@ -161,6 +159,13 @@ def fit(known: list[tuple[str, str]], n_landmarks: int = LANDMARKS, ridge: float
     return Model(languages, spectrum, weights)
 
 
+def fit(known: list[tuple[str, str]], n_landmarks: int = LANDMARKS) -> Model:
+    """On (language, text) at hand, in the order in which landmarks are taken."""
+    landmarks = [text for _, text in known[:n_landmarks]]
+    spectrum = Spectrum(landmarks)
+    return solve([language for language, _ in known], kernel(spectrum, [text for _, text in known], landmarks), spectrum, landmarks)
+
+
 def labelled(dumps: DataFrame, language: str, dump_id: str = "dump_id", content: str = "content", most: int = MAX_LABELLED) -> DataFrame:
     """(turn, language, content): the dumps to learn from, `most` of them at the most.
 
@@ -174,9 +179,11 @@ def labelled(dumps: DataFrame, language: str, dump_id: str = "dump_id", content:
         F.xxhash64(F.col(dump_id).cast("string"), F.col(content).cast("string")).alias("hash"),
     ).where(F.col("language").isNotNull() & F.col("content").rlike("\\p{L}"))
     keys = rows.select("language", "hash")
+    # Written first, so that the join knows how small the counts are and leaves the keys where they lie.
+    counts = stored(keys.groupBy("language").agg(F.approx_count_distinct("hash").alias("n")), "languages")
     share = F.col("hash").bitwiseAND((1 << 52) - 1) / float(1 << 52)
     early = (
-        keys.join(keys.groupBy("language").agg(F.approx_count_distinct("hash").alias("n")), "language")
+        keys.join(counts, "language")
         .withColumn("turn", share * F.col("n"))
         .where(F.col("turn") < 2.0 * most)  # about 2 * most of each language
         .select("turn", "language", "hash")
@@ -193,8 +200,22 @@ def train(
 ) -> Model:
     """Fits on labelled dumps; those without a language, or without a letter, are left out. None left: no languages."""
     rows = stored(labelled(dumps, language, dump_id, content, max_labelled), "labelled")
-    got = rows.orderBy("turn", "language", "content").collect()
-    return fit([(r.language, r.content) for r in got], n_landmarks)
+    order = ["turn", "language", "content"]
+    landmarks = [r.content for r in rows.orderBy(*order).limit(n_landmarks).collect()]
+    if not landmarks:
+        return Model((), None, ())
+    spectrum = Spectrum(landmarks)
+    shared = dumps.sparkSession.sparkContext.broadcast((spectrum, landmarks))
+
+    @F.arrow_udf("array<float>")
+    def similar(contents: pa.Array) -> pa.Array:
+        found = kernel(shared.value[0], contents.to_pylist(), shared.value[1]).astype(np.float32)
+        offsets = np.arange(len(found) + 1, dtype=np.int32) * len(shared.value[1])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
+
+    # n_landmarks numbers of each labelled dump; their texts stay where they are.
+    got = sorted(rows.select("turn", "language", similar("content").alias("similar")).collect())
+    return solve([r.language for r in got], np.array([r.similar for r in got]), spectrum, landmarks)
 
 
 def identify(dumps: DataFrame, model: Model, content: str = "content") -> DataFrame:

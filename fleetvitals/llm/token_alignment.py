@@ -51,6 +51,21 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Spelling:
+    """Byte strings by number, to be written out for many numbers at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.lengths = np.array([len(s) for s in strings], dtype=np.int64)
+        self._starts = np.cumsum(self.lengths) - self.lengths
+        self._data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def write(self, numbers: np.ndarray) -> np.ndarray:
+        """The bytes of all numbers' strings, one after the other."""
+        lengths = self.lengths[numbers]
+        at = np.repeat(self._starts[numbers] - (np.cumsum(lengths) - lengths), lengths)
+        return self._data[at + np.arange(len(at))]
+
+
 class Vocabularies:
     """Both tokenizers, and the bytes of every token."""
 
@@ -73,28 +88,21 @@ class Vocabularies:
             bytes([int(self._b.id_to_piece(i)[3:5], 16)]) if self._b.is_byte(i) else self._b.id_to_piece(i).replace("▁", " ").encode()
             for i in range(self._b.get_piece_size())
         ]
-        self.a_lengths = np.array([len(t) for t in self.a_bytes], dtype=np.int64)
-        self.b_lengths = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
+        self.a, self.b = Spelling(self.a_bytes), Spelling(self.b_bytes)
         # How groups are written: ids with what may follow them.
         a, b = len(self.a_bytes), len(self.b_bytes)
-        self.written = [*(f"{i}," for i in range(a)), *(f"{i}|" for i in range(a)), *(f"{i}," for i in range(b)), *(f"{i};" for i in range(b))]
+        written = [*(f"{i}," for i in range(a)), *(f"{i}|" for i in range(a)), *(f"{i}," for i in range(b)), *(f"{i};" for i in range(b))]
+        self.written = Spelling([w.encode() for w in written])
 
     @property
     def max_pairs(self) -> int:
         """A bound on the distinct links: each is a token and one of its suffixes, in either vocabulary."""
         most = [max(Counter(t for t in tokens if t).values()) for tokens in (self.a_bytes, self.b_bytes)]
-        return int(most[1] * self.a_lengths.sum() + most[0] * self.b_lengths.sum())
+        return int(most[1] * self.a.lengths.sum() + most[0] * self.b.lengths.sum())
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and B per text; none for a null or empty text, or where either one's bytes are not those of the text."""
-        for text in texts:
-            if text:
-                spaced = " " + text
-                a, b, data = self._a.encode_ordinary(spaced), self._b.encode(text), spaced.encode()
-                if b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b]):
-                    yield a, b
-                    continue
-            yield [], []
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A over a space and the text, and of B over the text."""
+        return self._a.encode_to_numpy(" " + text), np.array(self._b.encode(text), dtype=np.int64)
 
 
 _loaded: dict[tuple[str, str], Vocabularies] = {}
@@ -127,7 +135,7 @@ class Alignment:
     def link_bounds(self) -> np.ndarray:
         return np.concatenate(([0], np.cumsum(self.a_ends)))[np.concatenate(([0], np.cumsum(self.a_counts)))]
 
-    def groups(self, known: Vocabularies) -> list[str]:
+    def groups(self, known: Vocabularies) -> pa.Array:
         """Per text `a1,a2|b1;a3|b2,b3`."""
         n_a, n_b = len(known.a_bytes), len(known.b_bytes)
         before_a = np.cumsum(self.a_ends) - self.a_ends  # groups before each token
@@ -137,22 +145,39 @@ class Alignment:
         order = np.empty(len(self.a) + len(self.b), dtype=np.int64)
         order[np.arange(len(self.a)) + b_until[before_a]] = self.a + n_a * self.a_ends
         order[np.arange(len(self.b)) + a_until[before_b + 1]] = 2 * n_a + self.b + n_b * self.b_ends
-        bounds = np.concatenate(([0], np.cumsum(self.a_counts + self.b_counts)))
-        parts = list(map(known.written.__getitem__, order.tolist()))
-        return ["".join(parts[s:e])[:-1] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        data, ends = known.written.write(order), np.cumsum(known.written.lengths[order])
+        # The last byte of a text is the mark after its last group, which is left out.
+        last = np.cumsum(self.a_counts + self.b_counts)
+        offsets = np.concatenate(([0], np.concatenate(([0], ends))[last]))
+        some = np.diff(offsets) > 0
+        kept = np.ones(len(data), dtype=bool)
+        kept[offsets[1:][some] - 1] = False
+        offsets = offsets - np.concatenate(([0], np.cumsum(some)))
+        return pa.LargeStringArray.from_buffers(len(last), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[kept]))
 
 
 def align(texts: list[str | None], known: Vocabularies) -> Alignment:
-    a_ids: list[int] = []
-    b_ids: list[int] = []
-    a_counts, b_counts = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    for i, (a, b) in enumerate(known.encode(texts)):
-        a_ids += a
-        b_ids += b
-        a_counts[i], b_counts[i] = len(a), len(b)
-    a, b = np.array(a_ids, dtype=np.int64), np.array(b_ids, dtype=np.int64)
+    """Null and empty texts, and those that A or B does not give back byte by byte, have no tokens."""
+    encoded = [known.encode(t) if t else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for t in texts]
+    data = [(" " + t).encode() if t else b"" for t in texts]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(e[side] for e in encoded)]) for side in (0, 1))
+    a_counts, b_counts = (np.array([len(e[side]) for e in encoded], dtype=np.int64) for side in (0, 1))
+    sizes = np.array([len(d) for d in data], dtype=np.int64)
+
+    def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate(([0], np.cumsum(values)))[np.concatenate(([0], np.cumsum(counts)))])
+
+    def only(whole: np.ndarray) -> None:
+        nonlocal a, b, a_counts, b_counts, sizes
+        if not whole.all():
+            a, b = a[np.repeat(whole, a_counts)], b[np.repeat(whole, b_counts)]
+            a_counts, b_counts, sizes = (np.where(whole, x, 0) for x in (a_counts, b_counts, sizes))
+
+    only((per_text(known.a.lengths[a], a_counts) == sizes) & (per_text(known.b.lengths[b], b_counts) == sizes))
+    text_bytes = np.frombuffer(b"".join(d for d, n in zip(data, sizes.tolist(), strict=True) if n), dtype=np.uint8)
+    only(per_text((known.a.write(a) != text_bytes) | (known.b.write(b) != text_bytes), sizes) == 0)
     # Texts lie end to end; as both have the bytes of the text, each starts at the same place for both.
-    a_at, b_at = np.cumsum(known.a_lengths[a]), np.cumsum(known.b_lengths[b])
+    a_at, b_at = np.cumsum(known.a.lengths[a]), np.cumsum(known.b.lengths[b])
     size = int(a_at[-1]) + 1 if len(a) else 1
     in_a, in_b = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
     in_a[a_at], in_b[b_at] = True, True
@@ -288,7 +313,7 @@ def align_tokens(
                 n_links = np.diff(bounds)
                 columns = (found.a_counts, found.b_counts, n_links, n_links, per_text(is_best), per_text(counts))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), *(pa.array(c, pa.int64()) for c in columns), pa.array(found.groups(known), pa.string())],
+                    [piece.column("id"), *(pa.array(c, pa.int64()) for c in columns), found.groups(known).cast(pa.string())],
                     names=["id", *figures, "groups"],
                 )
 

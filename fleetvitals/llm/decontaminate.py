@@ -24,6 +24,8 @@ _NORMAL = bytes(
 
 # Windows in one automaton; more items are scanned in several passes, each with its own.
 MAX_WINDOWS = 250_000
+# A character of a window is a node of the automaton at most, of about 40 bytes.
+MAX_CHARACTERS = 3_000_000
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -103,7 +105,7 @@ def _pass(dumps: DataFrame, items: list[tuple[str, str | None]], size: int, last
                 for low, high in before[0][i]:
                     hit[low:high] = True
                 spans = original_spans(text, hit) if hit.any() else []
-                rows.append((len(words), int(hit.sum()), spans, _runs(hit), sorted({*before[1][i], *(names[n] for n in found)})))
+                rows.append((len(words), int(hit.sum()), spans, _runs(hit), sorted({*before[1][i], *(names[n] for n in found)} - {None})))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             pairs = pa.list_(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
@@ -128,6 +130,7 @@ def find_contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     max_windows: int = MAX_WINDOWS,
+    max_characters: int = MAX_CHARACTERS,
 ) -> DataFrame:
     """Per dump: dump_id, n_words, n_hit, n_items, items, spans, items_sha256, contaminated.
 
@@ -136,26 +139,30 @@ def find_contamination(
     code-point ranges of hit words in the original content; items the ids found,
     sorted as text. contaminated: n_hit > 0 and share * n_hit >= n_words.
 
-    Items are read in groups of `max_windows` windows at most (one item at
-    least); each group makes one broadcast automaton and one pass, so the
-    broadcast stays bounded however many items there are. Null and empty
+    Items are read in groups of `max_windows` windows and `max_characters`
+    characters of them at most (one item at least); each group makes one
+    broadcast automaton and one pass, so the broadcast stays bounded in bytes
+    however many items there are. Null and empty
     content has no words and is clean; items without words match nothing;
     repeated dumps give repeated rows; rows without an id keep their null id.
+    Words of an item without an id are hit like any, but it is not among the
+    items found.
     """
     source = dumps.select(F.col(dump_id).cast("long").alias("row_no"), F.col(content).cast("string").alias("text"))
     wanted = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("item_text"))
-    wanted = wanted.where(F.col("item").isNotNull() & F.col("item_text").isNotNull())
+    wanted = wanted.where(F.col("item_text").isNotNull())
     found = source.withColumns(
         {"hits": F.array().cast("array<array<int>>"), "items": F.array().cast("array<string>")}
     )
-    group, n = [], 0
+    group, n, size = [], 0, 0
     for row in wanted.orderBy("item", "item_text").toLocalIterator():
-        more = len(item_windows(row.item_text, window))
-        if group and n + more > max_windows:
+        windows = item_windows(row.item_text, window)
+        more, longer = len(windows), sum(map(len, windows))
+        if group and (n + more > max_windows or size + longer > max_characters):
             found = stored(_pass(found, group, window, last=False), "contamination")
-            group, n = [], 0
+            group, n, size = [], 0, 0
         group.append((row.item, row.item_text))
-        n += more
+        n, size = n + more, size + longer
     found = _pass(found, group, window, last=True)
     return found.select(
         F.col("row_no").alias(dump_id),

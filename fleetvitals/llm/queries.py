@@ -20,6 +20,10 @@ SITE_RULES = (
 )
 
 
+# Lines of dumps are near copies from this similarity on.
+NEAR_LINE_PERCENT = 80
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     show_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,7 +46,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = log_lines.remove_duplicate_lines(_dumps(spark, sf_dir), percent=80)
+    found = log_lines.remove_duplicate_lines(_dumps(spark, sf_dir), percent=NEAR_LINE_PERCENT)
     return found.select(
         F.col("dump_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
     )

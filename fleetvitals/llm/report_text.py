@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as html_entities
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -41,22 +42,30 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",),
 }
-# Elements and names that never hold main text, wherever they stand.
+# Elements that never hold main text, wherever they stand.
 NOISE_TAGS = frozenset("nav footer aside form button dialog menu head".split()) | CLOSED_NOISE
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+# Names say something only about elements that hold blocks; a heading or a paragraph of such a name is text.
+CONTAINERS = frozenset("div section ul ol dl table tbody tr td header center fieldset details figure ins".split())
+# Names of what is no article text even where it is written as prose: adverts, consent, readers' comments, the site's frame.
 NOISE_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|gdpr|menu\w*|nav|navbar|navigation|"
-    r"topbar|sidebar|widgets?|footer|header|masthead|breadcrumbs?|comments?|commentlist|reply|replies|respond|disqus|"
-    r"share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search\w*|popup|modal|"
-    r"overlay|pagination|pager|toolbar|skip)(?:$|[-_ ])"
+    r"(?:^|[-_ ])(?:ads?|advert\w*|adbox|sponsor\w*|cookies?|consent|gdpr|nav|navbar|navigation|sidebar|widgets?|footer|masthead|"
+    r"breadcrumbs?|comments?|commentlist|respond|disqus|newsletter|subscribe|subscription|popup|modal)(?:$|[-_ ])"
 )
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+# Names that an article's own parts may carry too: such an element goes if its links, or the site's other pages, agree.
+DOUBTFUL_NAMES = re.compile(
+    r"(?:^|[-_ ])(?:banner|promo\w*|notices?|menu\w*|topbar|header|reply|replies|share|sharing|social|related|recommend\w*|"
+    r"signup|login|search\w*|overlay|pagination|pager|toolbar|skip)(?:$|[-_ ])"
+)
+LINKED = 0.5  # from this share of its letters within links, an element of a doubtful name is no text
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]++|<",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>=]++|=\s*(?:\"[^\"]*+\"|'[^']*+'|))*+>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]++|<",
     re.S,
 )
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+# Name and value of each attribute; a quote opens a value only after an equals sign.
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 
 GAMMA = 0.9  # weight of a node's own importance against its branches', as depth grows
 MIN_PAGES = 5  # below this a site says nothing about what repeats
@@ -68,6 +77,7 @@ class Node:
     tag: str
     name: str
     noise: bool
+    doubtful: bool = False
     path: int = 0
     children: list = field(default_factory=list)  # nodes and texts, in page order
 
@@ -76,6 +86,7 @@ def parse(text: str) -> Node:
     """A tree from any markup: unknown end tags are dropped, open elements are closed where they must be."""
     root = Node("", "", False)
     stack = [root]
+    is_open: Counter[str] = Counter()  # names on the stack, so that an end tag without a start costs no search
     at, end = 0, len(text)
 
     def close(i: int, closed: bool = False) -> None:
@@ -83,6 +94,8 @@ def parse(text: str) -> Node:
         for node in stack[i + closed :]:
             if node.tag in CLOSED_NOISE:
                 node.noise = False
+        for node in stack[i:]:
+            is_open[node.tag] -= 1
         del stack[i:]
 
     while at < end:
@@ -94,7 +107,7 @@ def parse(text: str) -> Node:
             continue
         elif token[1] == "/":
             name = _NAME.match(token).group(1).lower()
-            if name == "p" or name not in ("body", "html"):
+            if is_open[name] and name not in ("body", "html"):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == name:
                         close(i, closed=True)
@@ -108,7 +121,7 @@ def parse(text: str) -> Node:
                     at = last.end() if last else end
                 continue
             for over in CLOSES.get(name, ()):
-                for i in range(len(stack) - 1, 0, -1):
+                for i in () if not is_open[over] else range(len(stack) - 1, 0, -1):
                     if stack[i].tag == over:
                         close(i)
                         break
@@ -118,26 +131,31 @@ def parse(text: str) -> Node:
             stack[-1].children.append(node)
             if name not in VOID and not token.endswith("/>"):
                 stack.append(node)
+                is_open[name] += 1
     close(1)
     return root
 
 
 def _node(tag: str, token: str) -> Node:
     labels, role, hidden = "", "", False
-    for key, value in _ATTRIBUTE.findall(token) if " " in token else ():
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "role":
-            role = value
-        elif key == "hidden":
+    inside = token[len(tag) + 1 :]
+    for key, value in _ATTRIBUTE.findall(inside) if len(inside) > 1 else ():
+        key = key.lower()
+        if key == "hidden":
             hidden = True
-        else:
-            labels = f"{labels} {value}"
+        elif key == "role":
+            role = value.strip("\"'").lower()
+        elif key in ("class", "id"):
+            labels = f"{labels} {value.strip(chr(34) + chr(39)).lower()}"
     labels = " ".join(sorted(labels.split()))
-    noise = tag in NOISE_TAGS or role in NOISE_ROLES or hidden or bool(labels and NOISE_NAMES.search(labels))
-    if noise and tag in ("html", "body", "article", "main") and not re.search(r"comment|related|promo|\bads?\b", labels):
-        noise = False
+    named = labels if tag in CONTAINERS else ""
+    noise = tag in NOISE_TAGS or role in NOISE_ROLES or hidden or bool(named and NOISE_NAMES.search(named))
+    if tag in ("html", "body", "article", "main"):
+        # A page's frame may carry any name; a single article may be an advert or a comment.
+        noise = tag == "article" and bool(re.search(r"(?:^|[-_ ])(?:comments?|promo\w*|ads?)(?:$|[-_ ])", labels))
     # Numbers in names (post-17) are of the page, not of the layout.
-    return Node(tag, f"{tag}.{re.sub(r'[0-9]+', '0', labels)}" if labels else tag, noise)
+    name = f"{tag}.{re.sub(r'[0-9]+', '0', labels)}" if labels else tag
+    return Node(tag, name, noise, bool(named and DOUBTFUL_NAMES.search(named)))
 
 
 def _clean(text: str) -> str:
@@ -151,7 +169,7 @@ def _hash(text: str, seed: int = 0) -> int:
 def features(text: str) -> set[tuple[int, int, int]]:
     """(path, kind, value) of a page: kind 0 the node itself, 1 its child sequence, 2 a text that stands in it.
 
-    Without what is marked as no main text: that goes in any case, and copies may differ in it.
+    Without what is surely no main text: that goes in any case, and copies may differ in it.
     """
     out: set[tuple[int, int, int]] = set()
     todo = [(parse(text), 0)]
@@ -173,8 +191,9 @@ def features(text: str) -> set[tuple[int, int, int]]:
 def style_trees(reports: DataFrame, site: str = "node_ip", html: str = "content") -> DataFrame:
     """The merged tree of every site: (site, path, pages, presentation, content).
 
-    Pages of equal features are one page, however many rows hold it. presentation is the entropy of the node's child sequences to the base of
-    its pages; content is one minus the mean entropy of its texts, where a text
+    Pages of equal features are one page, however many rows hold it. presentation
+    is the entropy of the node's child sequences to the base of its pages, 1 at
+    most (a page may show several); content is one minus the mean entropy of its texts, where a text
     on all pages has entropy 1 and one on a single page 0; null without texts.
     """
     schema = "site string, digest long, path array<long>, kind array<tinyint>, value array<long>"
@@ -203,6 +222,7 @@ def style_trees(reports: DataFrame, site: str = "node_ip", html: str = "content"
     per_node = counted.groupBy("site", "path").agg(
         F.max(F.when(F.col("kind") == 0, F.col("c"))).alias("pages"),
         F.sum(F.when(F.col("kind") == 1, entropy)).alias("style"),
+        F.sum(F.when(F.col("kind") == 1, F.col("c"))).alias("layouts"),
         F.sum(F.when(F.col("kind") == 2, entropy)).alias("same"),
         F.sum(F.when(F.col("kind") == 2, F.col("c"))).alias("texts"),
     )
@@ -212,7 +232,7 @@ def style_trees(reports: DataFrame, site: str = "node_ip", html: str = "content"
         "site",
         "path",
         "pages",
-        F.when(several, (base - F.col("style") / F.col("pages")) / base).otherwise(1.0).alias("presentation"),
+        F.when(several, F.least(F.lit(1.0), (F.ln("layouts") - F.col("style") / F.col("layouts")) / base)).otherwise(1.0).alias("presentation"),
         F.when(F.col("texts") > 0, F.when(several, F.greatest(F.lit(0.0), 1 - F.col("same") / F.col("texts") / base)).otherwise(1.0)).alias("content"),
     )
 
@@ -243,20 +263,46 @@ def _importance(root: Node, tree: dict[int, tuple]) -> dict[int, tuple[float, in
     return out
 
 
-def _roots(root: Node) -> list[Node]:
-    """Articles of a page, else its main elements, else all of it; outer ones only."""
+def _decide(root: Node, importance: dict[int, tuple[float, int]]) -> dict[int, int]:
+    """Marks doubtful elements as noise where their links or the site's other pages agree; returns the letters left under each node."""
+    order, todo = [], [(root, False)]
+    while todo:
+        node, linked = todo.pop()
+        linked = linked or node.tag == "a"
+        order.append((node, linked))
+        todo += [(c, linked) for c in node.children if isinstance(c, Node)]
+    letters: dict[int, int] = {}
+    links: dict[int, int] = {}
+    for node, linked in reversed(order):
+        own = sum(len(c) - c.count(" ") - c.count("\n") for c in node.children if isinstance(c, str))
+        below = [c for c in node.children if isinstance(c, Node) and not c.noise]
+        n = own + sum(letters[id(c)] for c in below)
+        in_links = (own if linked else 0) + sum(links[id(c)] for c in below)
+        if node.doubtful and not node.noise:
+            value, pages = importance[id(node)]
+            node.noise = n == 0 or in_links >= LINKED * n or (pages >= MIN_PAGES and value < LOW)
+        letters[id(node)], links[id(node)] = n, in_links
+    return letters
+
+
+def _roots(root: Node, letters: dict[int, int]) -> list[Node]:
+    """Articles of a page, or its main elements, where these hold most of its letters; else all of it. Outer ones only."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
-    todo = [(root, frozenset())]
+    total, todo = 0, [(root, frozenset())]
     while todo:
         node, inside = todo.pop()
-        if node.noise:
+        if node.noise or node.tag == "header" and not inside:
             continue
+        total += sum(len(c) - c.count(" ") - c.count("\n") for c in node.children if isinstance(c, str))
         kind = node.tag if node.tag in found else ""
         if kind and kind not in inside:
             found[kind].append(node)
             inside = inside | {kind}
         todo += [(c, inside) for c in reversed(node.children) if isinstance(c, Node)]
-    return found["article"] or found["main"] or [root]
+    for nodes in (found["article"], found["main"]):
+        if nodes and 2 * sum(letters[id(n)] for n in nodes) >= total:
+            return nodes
+    return [root]
 
 
 def main_text(page: str | None, tree: dict[int, tuple]) -> str:
@@ -265,7 +311,7 @@ def main_text(page: str | None, tree: dict[int, tuple]) -> str:
         return ""
     root = parse(page)
     importance = _importance(root, tree)
-    roots = _roots(root)
+    roots = _roots(root, _decide(root, importance))
     whole = roots == [root]
     blocks: list[str] = []
     run: list[str] = []
@@ -318,8 +364,10 @@ def extract_text(
     own. Repeated rows give a row each, but pages of a site that are equal, save
     for what is marked as no main text, count as one for what repeats. An empty
     table gives an empty table. Sites with fewer than MIN_PAGES such pages on a
-    node lose only what its element or name marks as no main text.
+    node lose only what its element or name, with its links, marks as no main
+    text. Columns to keep that are called as one of the results are replaced.
     """
+    keep = [c for c in keep if c not in (report_id, "text", "n_chars")]
     trees = style_trees(reports, site, html).where(F.col("pages") >= MIN_PAGES)
     # One row per site: as large as its layout, not as its pages.
     trees = trees.groupBy("site").agg(F.collect_list(F.struct("path", "pages", "presentation", "content")).alias("tree"))

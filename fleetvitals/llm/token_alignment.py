@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetvitals.llm.perfect_hash import PerfectHash
-from fleetvitals.llm.storage import stored
+from fleetvitals.llm.storage import discard, stored
 from fleetvitals.llm.words import pieces
 
 TOKENIZERS = "/opt/tokenizers"
@@ -226,8 +226,10 @@ def _tree_sum(vectors: DataFrame, size: int) -> np.ndarray:
 
     while highest():
         grouped = vectors.select(F.expr(f"part div {FAN_IN}").alias("part"), "counts").groupBy("part")
-        vectors = stored(grouped.applyInArrow(add, "part long, counts binary"), "pair-counts")
+        last, vectors = vectors, stored(grouped.applyInArrow(add, "part long, counts binary"), "pair-counts")
+        discard(last)
     found = vectors.first()
+    discard(vectors)
     return np.zeros(size, dtype=np.int64) if found is None else np.frombuffer(found.counts, dtype=np.int64)
 
 
@@ -271,6 +273,7 @@ def count_pairs(dumps: DataFrame, content: str = "content", byte_bpe: str = BYTE
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([vector.tobytes()], pa.binary())], names=["part", "counts"])
 
     vectors = stored(met.mapInArrow(to_vector, "part long, counts binary"), "pair-counts")
+    discard(met)
     return PairIndex(hashed, kept, _tree_sum(vectors, len(keys)))
 
 

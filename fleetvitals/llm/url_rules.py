@@ -117,12 +117,15 @@ def filter_urls(
     site = F.when(F.col("kind") == "site", F.struct(F.length("name").alias("n"), (-F.col("rule_no")).alias("o"), "name", "rule_verdict"))
     judged = found.groupBy("u").agg(F.max(site).alias("best"), F.max(F.col("kind") == "pattern").alias("matched"))
     verdict = F.coalesce("best.rule_verdict", F.when(F.col("matched"), F.lit("block")), F.lit(default))
-    judged = judged.select("u", F.col("best.name").alias("__rule"), verdict.alias("__verdict"))
-    return urls.join(judged, urls[url] == F.col("u"), "left").drop("u").withColumns(
-        {
-            "host": host_of(urls[url]),
-            "path": path_of(urls[url]),
-            "rule": F.col("__rule"),
-            "verdict": F.coalesce("__verdict", F.lit(default)),
-        }
-    ).drop("__rule", "__verdict")
+    judged = judged.select("u", F.col("best.name").alias("rule"), verdict.alias("verdict"))
+    # Given columns go under names of their own, so that any may be called as one of those here.
+    given = {c: f"c{i}" for i, c in enumerate(urls.columns)}
+    rows = urls.select(*[F.col(f"`{c}`").alias(a) for c, a in given.items()])
+    joined = rows.join(judged, F.col(given[url]) == F.col("u"), "left")
+    return joined.select(
+        *[F.col(a).alias(c) for c, a in given.items() if c not in ("host", "path", "rule", "verdict")],
+        host_of(F.col(given[url])).alias("host"),
+        path_of(F.col(given[url])).alias("path"),
+        "rule",
+        F.coalesce("verdict", F.lit(default)).alias("verdict"),
+    )

@@ -44,6 +44,23 @@ def test_odd_rows(spark, odd, nothing):
     items = spark.createDataFrame([(1, "one two three"), (None, "solo"), (2, None), (3, "")], "item_id long, text string")
     found = decontaminate.find_contamination(odd, items).collect()
     assert len(found) == odd.count()
-    assert sorted(str(r.dump_id) for r in found if r.contaminated) == ["1", "2", "2", "None"]
+    # An item without an id makes its words hits, but has no name to report.
+    assert sorted(str(r.dump_id) for r in found if r.contaminated) == ["1", "2", "2", "7", "None"]
+    solo = next(r for r in found if r.dump_id == 7)
+    assert (solo.n_hit, solo.n_items, solo.items_sha256) == (1, 0, brute.sha(""))
     assert decontaminate.find_contamination(nothing, items).count() == 0
     assert not any(r.contaminated for r in decontaminate.find_contamination(odd, items.limit(0)).collect())
+
+
+def test_automata_are_bounded_by_their_characters(spark, monkeypatch):
+    """300,000 windows: no automaton has more nodes than characters are allowed, and every item is still found."""
+    sizes, build = [], decontaminate.build_automaton
+    monkeypatch.setattr(decontaminate, "build_automaton", lambda *a: sizes.append((got := build(*a))[0].get_stats()["nodes_count"]) or got)
+    words = [f"{i:x}" for i in range(3012)]
+    items = [(f"i{k}", " ".join(f"{w}k{k}" for w in words)) for k in range(100)]
+    dumps = spark.createDataFrame([(k, " ".join(f"{w}k{k}" for w in words[k : k + 13])) for k in range(0, 100, 9)], "dump_id long, content string")
+    table = spark.createDataFrame(items, "item_id string, text string")
+    most = 8_000_000
+    found = {r.dump_id: (r.n_hit, r["items"]) for r in decontaminate.find_contamination(dumps, table, max_characters=most).collect()}
+    assert found == {k: (13, [f"i{k}"]) for k in range(0, 100, 9)}
+    assert len(sizes) > 2 and max(sizes) <= most and sum(map(len, (w for _, t in items[:1] for w in decontaminate.item_windows(t, 13)))) * 100 > 2 * most

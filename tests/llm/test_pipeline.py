@@ -75,6 +75,37 @@ def test_odd_documents(spark, tmp_path):
         assert sorted(str(r.doc_id) for r in found.collect()) == (["2", "3", "4"] if given else [])
 
 
+def test_extra_columns_keep_their_values(spark):
+    rows = [(1, "a b c", "own"), (2, "a b c", "kept"), (3, "d", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_sha256_ string").withColumns({c: F.lit(c) for c in ("digest", "digest_", "kept_sha256")})
+    found = corpus_pipeline.drop_exact_copies(spark, docs, SF)
+    assert found.columns == docs.columns
+    assert sorted(map(tuple, found.collect())) == [(2, "a b c", "kept", "digest", "digest_", "kept_sha256"), (3, "d", None, "digest", "digest_", "kept_sha256")]
+
+
+def test_intermediate_folders_are_gone(spark):
+    """What a run no longer needs is deleted: earlier stages, earlier links of components, earlier count vectors."""
+    from pathlib import Path
+
+    from fleetvitals.llm import components, storage, token_alignment
+    from fleetvitals.plans.lineage import shared_folder
+
+    def there(*names):
+        return {p.name for p in Path(shared_folder(spark)).iterdir() if p.name.startswith(names)}
+
+    names = ("links-", "pairs-", "pair-counts-")
+    before = there(*names)
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in components.components(links).collect()} == {0}
+    token_alignment.count_pairs(spark.createDataFrame([("a b",), ("c d",)], "content string").repartition(2))
+    assert len(there(*names) - before) == 1  # the last links, from which the result is read
+    one = storage.stored(links, "once")
+    storage.discard(one)
+    storage.discard(one)
+    storage.discard(links)
+    assert not there("once-") and links.count() == 40
+
+
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
@@ -100,7 +131,7 @@ def test_op1_whole_table(spark):
 
 def test_op2_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    gone = brute.later_lines(docs, 90)
+    gone = brute.later_lines(docs, queries.NEAR_LINE_PERCENT)
     for r in queries.op2_line_dedup(spark, SF).collect():
         lines = (docs[r.doc_id] or "").split("\n")
         kept = [line for k, line in enumerate(lines) if (r.doc_id, k) not in gone]

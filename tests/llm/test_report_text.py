@@ -95,3 +95,124 @@ def test_odd_rows(odd, nothing):
     assert len(found) == odd.count()
     assert {r.dump_id: r.text for r in found if r.dump_id in (3, 4, 5, 7)} == {3: "", 4: "", 5: "", 7: "solo"}
     assert R.extract_text(nothing, report_id="dump_id").count() == 0
+
+
+def test_quotes_open_values_only_after_an_equals_sign():
+    assert R.main_text("<p title=Don't>First words. It's kept.</p><p>second</p>", {}) == "First words. It's kept.\n\nsecond"
+    assert R.main_text("<p data-a = \"x > y\" b='>' c=d>in</p><p it's>two</p>", {}) == "in\n\ntwo"
+    assert R.main_text('<p title="open>text</p>', {}) == "text"
+
+
+def test_hidden_is_an_attribute_of_its_own():
+    for markup in ('style="overflow: hidden"', 'title="no hidden fees"', 'aria-hidden="false"', "data-x='hidden'", 'class="hidden-not"', "data-hidden"):
+        assert R.main_text(f"<div {markup}><p>text</p></div><p>B</p>", {}) == "text\n\nB", markup
+    for markup in ("hidden", "HIDDEN", 'hidden=""', "class=x hidden", "hidden='until-found'"):
+        assert R.main_text(f"<div {markup}><p>text</p></div><p>B</p>", {}) == "B", markup
+
+
+def test_articles_are_roots_where_they_hold_most_of_the_page():
+    inset = "<main><h1>Head line</h1><p>Lead and more of it</p><article>Inset</article><p>Rest of the long text</p></main>"
+    assert R.main_text(inset, {}) == "Head line\n\nLead and more of it\n\nInset\n\nRest of the long text"
+    teaser = '<body><h1>Title</h1><p>A long body text stands here.</p><article class="card">Teaser</article></body>'
+    assert R.main_text(teaser, {}) == "Title\n\nA long body text stands here.\n\nTeaser"
+    assert R.main_text("<p>Frame</p><article><p>All the words of the article</p></article>", {}) == "All the words of the article"
+    assert R.main_text("<div>x</div><main><p>All the words</p><article>few</article></main>", {}) == "All the words\n\nfew"
+
+
+def test_names_alone_prune_no_text_of_an_article():
+    for markup in ("section class='related work'", "p class=share", "h2 id=reply", "p id=search", "div class='post-header'", "div id=notice"):
+        tag = markup.split()[0]
+        page = f"<article><p>Before it</p><{markup}>Words of its own</{tag}><p>After it</p></article>"
+        assert R.main_text(page, {}) == "Before it\n\nWords of its own\n\nAfter it", markup
+    linked = "<article><p>Before it</p><div class='related'>See <ul><li><a href=/a>Another story</a></ul></div><div class=share></div><p>After it</p></article>"
+    assert R.main_text(linked, {}) == "Before it\n\nAfter it"
+    for markup in ("div class=ad", "section id=comments", "div class='cookie-consent'", "ul class=breadcrumbs"):
+        tag = markup.split()[0]
+        assert R.main_text(f"<article><p>Text</p><{markup}><p>Not this</p></{tag}></article>", {}) == "Text", markup
+
+
+def test_doubtful_names_go_where_the_site_repeats_them(spark):
+    page = "<html><body><div class='notice'><p>Read our terms of use</p></div><div class=c><h1>Title {i}</h1><p>Story {i} of many</p></div></body></html>"
+    rows = [(i, "n", page.format(i=i)) for i in range(12)]
+    found = {r.report_id: r.text for r in R.extract_text(spark.createDataFrame(rows, "report_id long, node_ip string, content string")).collect()}
+    assert found == {i: f"Title {i}\n\nStory {i} of many" for i in range(12)}
+
+
+def test_unmatched_end_tags_cost_nothing():
+    import time
+
+    started = time.perf_counter()
+    assert R.main_text("<div>" * 20_000 + "</b></p>" * 20_000 + "<p>deep</p>" + "<b>" * 20_000 + "<div>x</div>" * 2000, {}).startswith("deep")
+    assert time.perf_counter() - started < 3
+
+
+def plain_tree(pages):
+    """The style tree of one site by its definition: (path -> pages, presentation, content)."""
+    import math
+    from collections import Counter, defaultdict
+
+    distinct = {tuple(sorted(R.features(p or ""))) for p in pages}
+    shown = defaultdict(lambda: ({}, Counter(), Counter()))
+    for number, page in enumerate(distinct):
+        for path, kind, value in page:
+            if kind == 0:
+                shown[path][0][number] = True
+            else:
+                shown[path][kind][value] += 1
+    out = {}
+    for path, (on, layouts, texts) in shown.items():
+        n = len(on)
+        several = sum(layouts.values())
+        layout = min(1.0, -sum(c / several * math.log(c / several, n) for c in layouts.values())) if n > 1 else 1.0
+        # A text's entropy: how evenly the pages share it, 1 on all and 0 on one.
+        total = sum(texts.values())
+        content = None if not total else 1.0 if n == 1 else max(0.0, 1 - sum(c * math.log(c, n) for c in texts.values()) / total)
+        out[path] = (n, layout, content)
+    return out
+
+
+def test_given_pages_by_a_plain_style_tree(spark):
+    """Every page of the table: the distributed tree is the plain one, and so is the text."""
+    from pyspark.sql import functions as F
+
+    from fleetvitals.llm import queries, url_rules
+
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html", url_rules.host_of(F.col("url")).alias("host")).collect()
+    sites = {}
+    for r in pages:
+        sites.setdefault(r.host or "", []).append(r.html)
+    # The table has many small hosts; all its pages as one site merge more.
+    for by_host in (True, False):
+        trees = {h: plain_tree(p) for h, p in sites.items()} if by_host else {"all": plain_tree([r.html for r in pages])}
+        given = spark.createDataFrame([(r.page_id, (r.host or "") if by_host else "all", r.html) for r in pages], "report_id long, node_ip string, content string")
+        for r in R.style_trees(given).collect():
+            n, layout, content = trees[r.site][r.path]
+            assert r.pages == n and abs(r.presentation - layout) < 1e-9 and (content is None) == (r.content is None)
+            assert content is None or abs(r.content - content) < 1e-9
+        used = {h: {path: v for path, v in t.items() if v[0] >= R.MIN_PAGES} for h, t in trees.items()}
+        wanted = {r.page_id: R.main_text(r.html, used[(r.host or "") if by_host else "all"]) for r in pages}
+        assert {r.report_id: r.text for r in R.extract_text(given).collect()} == wanted
+        if by_host:
+            assert {r.page_id: r.text for r in queries.op3_html_extraction(spark, sf).collect()} == wanted
+
+
+LEGACY = """<html><head><title>MySQL report</title><style>td{{color:red}}</style></head><body>
+<h1>MySQL Health Report</h1><div class="toc"><ul><li><a href="#a">Overview</a></li><li><a href="#b">Temporary tablespace</a></li></ul></div>
+<h2 id="a">Node 10.0.0.{i}</h2><p>Uptime {i} days, {i}00 connections.</p>
+<h2 id="b">Temporary tablespace</h2><table class="data"><tr><th>FILE_NAME</th><th>SIZE_MB</th></tr><tr><td>./ibtmp1</td><td>{i}12</td></tr></table>
+<p class="notice">Restart node {i} to shrink it.</p></body></html>"""
+
+
+def test_legacy_html_reports_keep_their_figures(spark):
+    rows = [(i, "shop", LEGACY.format(i=i)) for i in range(1, 13)]
+    for r in R.extract_text(spark.createDataFrame(rows, "report_id long, node_ip string, content string")).collect():
+        blocks = r.text.split("\n\n")
+        assert f"Node 10.0.0.{r.report_id}" in blocks and f"{r.report_id}12" in blocks and f"Restart node {r.report_id} to shrink it." in blocks
+        assert f"Uptime {r.report_id} days, {r.report_id}00 connections." in blocks and "Overview" not in blocks
+
+
+def test_kept_columns_that_are_called_as_results(spark):
+    given = spark.createDataFrame([(1, "n", "<p>x</p>", "mine", "u")], "report_id long, node_ip string, content string, text string, url string")
+    found = R.extract_text(given, keep=["text", "url", "report_id", "n_chars"])
+    assert found.columns == ["report_id", "url", "text", "n_chars"] and tuple(found.first()) == (1, "u", "x", 1)

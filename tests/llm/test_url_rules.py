@@ -46,3 +46,15 @@ def test_empty_table_and_no_python(spark):
     assert found.count() == 0
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_columns_that_are_called_as_those_inside(spark):
+    rows = [(u, 1, "mine", "x", "y", "z", 3.5) for u in URLS]
+    given = spark.createDataFrame(rows, "url string, u int, __rule string, __verdict string, verdict string, token string, c0 double")
+    found = url_rules.filter_urls(given, RULES)
+    assert sorted(found.columns) == sorted([*given.columns, "host", "path", "rule"])
+    for r in found.collect():
+        assert (r["u"], r["__rule"], r["__verdict"], r["token"], r["c0"]) == (1, "mine", "x", "z", 3.5)
+        assert (r.host, r.path, r.rule, r.verdict) == judge(r.url), r.url
+    named = url_rules.filter_urls(given.drop("u").withColumnRenamed("url", "u"), RULES, url="u").collect()
+    assert all((r.host, r.path, r.rule, r.verdict) == judge(r.u) for r in named) and len(named) == len(URLS)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fleetvitals.llm import decontaminate, exact_dedup, mixing, ngram_join, quality
 from fleetvitals.llm.queries import good_labels, table
-from fleetvitals.llm.storage import show_package, stored
+from fleetvitals.llm.storage import discard, show_package, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         exact_dedup.deduplicate(docs, dump_id="doc_id", content="text")
         .where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256")).distinct()
     )
-    marked = docs.withColumn("kept_sha256_", exact_dedup.sha256(F.col("text")))
-    same = marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked["kept_sha256_"] == kept["kept_sha256"])
-    once = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "kept_sha256_"])
+    digest = "digest"
+    while digest in docs.columns:
+        digest += "_"
+    marked = docs.withColumn(digest, exact_dedup.sha256(F.col("text")))
+    same = marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked[digest] == kept["kept_sha256"])
+    once = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", digest])
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -81,5 +84,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return docs

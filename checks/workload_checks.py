@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.catalog_checks import K, plain, topk
 from checks.registry import check
 from fleetvitals.functions import fixed_values as fv
 from fleetvitals.operators import workload as W
+from fleetvitals.plans.lineage import shared_folder
+from fleetvitals.streaming import digests
 
 SESSION = f"{K}, session_id, user_name, host, db, command, time_s, state"
 LONG = """time_s >= 60 AND command NOT IN ('Sleep', 'Binlog Dump') AND user_name NOT IN ('system user', 'event_scheduler')
@@ -108,6 +112,63 @@ def _(v):
     return plain(W.digest_statements(v["statements"]))
 
 
+# The same statement in many spellings: lists of 2 to 6 values, other literals, comments, letters and white space.
+VARIANT_FORMS = ["SELECT a, b FROM t{m} WHERE id IN (...) AND c = ?", "INSERT INTO t{m} (`key {m}`, v) VALUES (...) /* , ... */", "UPDATE t{m} SET a = ?, b = ?, c = ? WHERE d = ?"]
+FORM = "CASE o_orderkey % 4 " + " ".join(
+    "WHEN {} THEN concat('{}')".format(i, VARIANT_FORMS[max(i - 1, 0)].replace("{m}", "', o_custkey % 3, '")) for i in range(4)
+) + " END"
+
+
+def spelt(v):
+    """Four spellings of three statements, by the order's number."""
+    k, m = F.col("o_orderkey").cast("string"), (F.col("o_custkey") % 3).cast("string")
+    numbers = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 5 + 1).cast("int")), lambda x: F.concat(k, x.cast("string")))
+    pairs = F.transform(numbers, lambda x: F.concat(F.lit("("), x, F.lit(", 'it''s "), k, F.lit("')")))
+
+    def text(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    select = text("SELECT a, b\n FROM t", m, " WHERE id IN (", F.array_join(numbers, ", "), ") AND c = 'it''s \\' ", k, "'")
+    small = text("select a, b from t", m, " -- request ", k, "\n where id in(", F.array_join(numbers, ","), ") and c = \"-- ", k, "\"")
+    insert = text("INSERT INTO t", m, " (`key ", m, "`, v) VALUES ", F.array_join(pairs, " , "), ";")
+    update = text("UPDATE /* node ", k, " */ t", m, " SET a = -", k, ".5e-3, b = 0xF", m, ", c = NULL WHERE d = x'", k, "' # end")
+    kind = F.col("o_orderkey") % 4
+    return v["orders"].select(
+        (F.col("o_custkey") % 25).alias("cluster_id"), F.lit("2024-01-31").cast("date").alias("snapshot_date"), F.lit("10.0.0.1").alias("node_ip"),
+        F.lit("shop").alias("db"), F.when(kind == 0, select).when(kind == 1, small).when(kind == 2, insert).otherwise(update).alias("sql"),
+        F.col("o_orderkey").alias("latency_us"), F.col("o_orderdate").cast("date").alias("seen_at"))
+
+
+@check("sql_00_digest_variants", f"""
+SELECT CAST(o_custkey % 25 AS BIGINT) AS cluster_id, {FORM} AS query, count(*) AS exec_count, CAST(sum(o_orderkey) AS BIGINT) AS total_us FROM orders GROUP BY 1, 2""")
+def _(v):
+    return W.digest_statements(spelt(v)).select("cluster_id", "query", "exec_count", "total_us")
+
+
+def logs(v, half: int):
+    """Half of the statements as slow logs, in a folder per node: (cluster, ip, value)."""
+    entry = F.concat(
+        F.lit("# Time: "), F.date_format("seen_at", "yyyy-MM-dd"), F.lit("\n# User@Host: a[a] @ [x]\n# Query_time: "), F.format_string("%.6f", F.col("latency_us") / 1e6),
+        F.lit("  Lock_time: 0.1 Rows_sent: "), F.col("rows_sent").cast("string"), F.lit("  Rows_examined: "), F.col("rows_examined").cast("string"),
+        F.lit("\nuse "), F.col("db"), F.lit(";\n"), F.col("sql"), F.lit(";"))
+    some = v["statements"].where(F.col("latency_us") % 2 == half)
+    return some.select(F.concat(F.lit("c"), F.col("cluster_id").cast("string")).alias("cluster"), F.col("node_ip").alias("ip"), entry.alias("value"))
+
+
+@check("sql_00_roll_up_over_time", """
+WITH d AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(sql, '''[^'']*''', '?', 'g'), '\\b\\d+(\\.\\d+)?\\b', '?', 'g'), '\\s+', ' ', 'g')) AS query FROM {statements})
+SELECT concat('cluster=c', cluster_id) AS cluster_id, node_ip, db, query, count(*) AS exec_count, CAST(sum(latency_us) AS BIGINT) AS total_us, max(latency_us) AS max_us,
+  CAST(sum(rows_examined) AS BIGINT) AS rows_examined, CAST(sum(rows_sent) AS BIGINT) AS rows_sent, CAST(min(seen_at) AS VARCHAR) AS first_seen, CAST(max(seen_at) AS VARCHAR) AS last_seen
+FROM d GROUP BY ALL""")
+def _(v):
+    """Slow logs that arrive in two halves, one after the other, equal one batch over all of them."""
+    path = f"{shared_folder(v.spark)}/slow-logs-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        logs(v, half).write.partitionBy("cluster", "ip").text(f"{path}/logs/half={half}")
+        totals = digests.roll_up_new_logs(v.spark, f"{path}/logs", f"{path}/totals", f"{path}/state")
+    return totals.drop("digest", "avg_us")
+
+
 DIGEST = f"{K}, digest, db, query, exec_count, total_us, max_us, rows_examined, rows_sent, no_index, no_good_index, tmp_tables, tmp_disk, sort_rows, sort_merges, errors, warnings"
 OWN = "(db IS NULL OR db <> 'mysql')"
 AVG = "CAST(total_us AS DOUBLE) / exec_count"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetvitals import KEYS
 from fleetvitals.functions import fixed_values as fv
 from fleetvitals.functions import scalars as S
+from fleetvitals.functions.statements import digest_text
 from fleetvitals.operators.ranking import first_k, top_k
 
 
@@ -111,30 +112,47 @@ def status_subset(status: DataFrame, names: list[str] | None = None, keys: list[
     )
 
 
-def digest_text(sql: Column | str) -> Column:
-    """A statement with its literals replaced and its white space folded."""
-    literal = r"""'[^']*'|"[^"]*"|\b\d+(\.\d+)?\b"""
-    text = F.regexp_replace(S.column(sql), literal, "?")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
-
-
 def digest_statements(statements: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Statement events rolled up by digest. Sums combine map-side, so a hot digest is cheap."""
     digested = statements.withColumn("query", digest_text("sql"))
-    sums = ["rows_examined", "rows_sent", "no_index", "tmp_tables", "tmp_disk", "sort_rows", "errors", "warnings"]
     rolled = digested.groupBy(*keys, "db", "query").agg(
         F.count(F.lit(1)).alias("exec_count"),
         F.sum("latency_us").cast("bigint").alias("total_us"),
         F.max("latency_us").cast("bigint").alias("max_us"),
-        *[F.sum(c).cast("bigint").alias(c) for c in sums if c in statements.columns],
+        *[F.sum(c).cast("bigint").alias(c) for c in DIGEST_SUMS if c in statements.columns],
         F.min("seen_at").alias("first_seen"),
         F.max("seen_at").alias("last_seen"),
     )
+    return _identified(rolled)
+
+
+DIGEST_SUMS = ["rows_examined", "rows_sent", "no_index", "tmp_tables", "tmp_disk", "sort_rows", "errors", "warnings"]
+
+
+def _identified(rolled: DataFrame) -> DataFrame:
     return rolled.withColumn("digest", F.md5(F.concat_ws("|", F.coalesce("db", F.lit("")), "query"))).withColumn(
         "avg_us", F.col("total_us") / F.col("exec_count")
     )
 
 
+def merge_digests(roll_ups: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Roll-ups of parts of the statements as one roll-up of all of them: every figure adds up, or is an extreme."""
+    rolled = roll_ups.groupBy(*keys, "db", "query").agg(
+        F.sum("exec_count").cast("bigint").alias("exec_count"),
+        F.sum("total_us").cast("bigint").alias("total_us"),
+        F.max("max_us").alias("max_us"),
+        *[F.sum(c).cast("bigint").alias(c) for c in DIGEST_SUMS if c in roll_ups.columns],
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+    )
+    return _identified(rolled)
+
+
+def logged_statements(entries: DataFrame) -> DataFrame:
+    """Slow-log entries as statement events."""
+    return entries.withColumns({"latency_us": F.round(F.col("query_s") * 1_000_000).cast("bigint"), "seen_at": F.col("time")})
+
+
 def _user_digests(digests: DataFrame) -> DataFrame:
     return digests.filter(F.col("db").isNull() | S.outside_system_schemas("db"))
 

@@ -421,11 +421,17 @@ def read_slow_logs(spark: SparkSession, path: str, snapshot_date: str) -> DataFr
     The node is the last IPv4 address in the file's path, the cluster the
     folder above the part of the path that names it.
     """
-    records = (
-        spark.read.option("lineSep", "\n# Time:")
-        .option("recursiveFileLookup", True)
-        .text(path)
-        .select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("piece"))
+    return slow_log_records(spark.read.format("text").options(**SLOW_LOG_OPTIONS).load(path), snapshot_date)
+
+
+# How slow logs are read, in one go or as a stream of files.
+SLOW_LOG_OPTIONS = {"lineSep": "\n# Time:", "recursiveFileLookup": "true"}
+
+
+def slow_log_records(texts: DataFrame, snapshot_date: str) -> DataFrame:
+    """Entries of slow logs that were read by SLOW_LOG_OPTIONS, streaming or not."""
+    records = texts.select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("piece")
     )
     ip = ingest.IP_PATTERN
     node = F.nullif(F.regexp_extract("file_path", rf"^.*(?<![\d.]){ip}(?![\d.]*\d)", 1), F.lit(""))

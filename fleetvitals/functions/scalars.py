@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fleetvitals.functions import fixed_values as fv
+from fleetvitals.functions.once import made_once
 
 GIB = 1073741824
 MIB = 1048576
@@ -177,6 +178,7 @@ def recommend_buffer_pool_mb(mem_gb: Column | str) -> Column:
     return F.when(m > 0, F.floor(share * 1024 + 0.5).cast("bigint"))
 
 
+@made_once
 def sql_mode_set(value: Column | str) -> Column:
     parts = F.split(F.upper(F.coalesce(column(value), F.lit(""))), ",")
     return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""))
@@ -206,6 +208,7 @@ def canonical_role(value: Column | str) -> Column:
     )
 
 
+@made_once
 def is_dr(role: Column | str, hostname: Column | str, file_name: Column | str) -> Column:
     hint = F.concat_ws(
         " ", F.coalesce(column(hostname), F.lit("")), F.coalesce(column(file_name), F.lit(""))
@@ -213,6 +216,7 @@ def is_dr(role: Column | str, hostname: Column | str, file_name: Column | str) -
     return F.coalesce(column(role) == "dr", F.lit(False)) | hint.rlike(fv.DR_ANYWHERE_HINT)
 
 
+@made_once
 def is_metadata_query(sql: Column | str, db: Column | str) -> Column:
     q = F.trim(column(sql))
     no_db = F.coalesce(column(db), F.lit("NULL")).isin("NULL", "")
@@ -223,10 +227,12 @@ def is_metadata_query(sql: Column | str, db: Column | str) -> Column:
     )
 
 
+@made_once
 def is_temp_or_history_table(name: Column | str) -> Column:
     return F.coalesce(any_match(column(name), fv.TEMP_OR_HISTORY_PATTERNS), F.lit(False))
 
 
+@made_once
 def is_ghost_table(name: Column | str) -> Column:
     t = column(name)
     return F.coalesce(
@@ -235,6 +241,7 @@ def is_ghost_table(name: Column | str) -> Column:
     )
 
 
+@made_once
 def table_category(name: Column | str) -> Column:
     t = F.coalesce(column(name), F.lit(""))
     return first_case(
@@ -266,6 +273,7 @@ def _wildcard(user: Column | str, outcomes: list[str]) -> Column:
     )
 
 
+@made_once
 def wildcard_level(user: Column | str) -> Column:
     return _wildcard(user, ["critical", "high", "high", "low", "low", "medium"])
 
@@ -330,6 +338,7 @@ def _lifecycle(key: Column, rows: list[tuple], names: list[str]) -> Column:
     return first_case([(key.rlike(row[0]), value(row)) for row in rows])
 
 
+@made_once
 def os_lifecycle(release: Column | str) -> Column:
     """Struct of major, status, eol_date, priority; null without a release text."""
     text = F.nullif(column(release), F.lit(""))
@@ -341,12 +350,14 @@ def os_lifecycle(release: Column | str) -> Column:
     return F.when(text.isNotNull(), F.coalesce(_lifecycle(text, rows, names), unknown))
 
 
+@made_once
 def server_lifecycle(version: Column | str) -> Column:
     """Struct of major, status, eol_date, priority; null for unlisted versions."""
     number = F.nullif(F.regexp_extract(column(version), r"(\d+\.\d+\.\d+)", 1), F.lit(""))
     return _lifecycle(number, fv.SERVER_LIFECYCLE, ["major", "status", "eol_date", "priority"])
 
 
+@made_once
 def tls_weak(versions: Column | str) -> Column:
     return F.coalesce(column(versions).rlike(fv.TLS_WEAK), F.lit(False))
 

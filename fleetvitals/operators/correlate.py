@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetvitals import CLUSTER_KEYS
 from fleetvitals.functions import scalars as S
+from fleetvitals.functions.once import made_once
 from fleetvitals.operators import fleet
 
 DAY = 86400
@@ -55,6 +56,7 @@ def _first(value: Column, condition: Column) -> Column:
     return F.min_by(F.when(condition, value), F.when(condition, F.col("node_order")))
 
 
+@made_once
 def _swap_verdicts() -> Column:
     ratio = _pool_ratio()
     return _verdicts(
@@ -64,12 +66,14 @@ def _swap_verdicts() -> Column:
     )
 
 
+@made_once
 def _pool_ratio() -> Column:
     name = "innodb_buffer_pool_size_in_mb"
     pool = F.nullif(S.size_to_mb(fleet.variable(name), name), F.lit(0.0))
     return (pool / 1024) / fleet.mem_gb()
 
 
+@made_once
 def _slow_log_verdicts() -> Column:
     threshold = fleet.number("long_query_time")
     return _verdicts(
@@ -81,6 +85,11 @@ def _slow_log_verdicts() -> Column:
 
 def cluster_facts(nodes: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:
     """Every cluster-level signal, from one partial aggregation."""
+    return nodes.groupBy(*cluster_keys).agg(*_signals())
+
+
+@made_once
+def _signals() -> list[Column]:
     primary = F.col("role") == "primary"
     other = ~primary
     has_temp = other & F.col("temp_bytes").isNotNull()
@@ -122,7 +131,7 @@ def cluster_facts(nodes: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> D
     error_log = F.struct("node_ip", "error_log_bytes", "error_count", "warning_count")
     # Among equals the first node in node order counts, as with 'first node' everywhere.
     reverse = F.translate("node_order", "0123456789", "9876543210")
-    return nodes.groupBy(*cluster_keys).agg(
+    return [
         F.count(F.lit(1)).alias("n_nodes"),
         F.bool_and(_off("innodb_flush_log_at_trx_commit")).alias("all_weak_flush"),
         F.bool_and(_off("sync_binlog")).alias("all_weak_sync"),
@@ -150,9 +159,10 @@ def cluster_facts(nodes: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> D
         F.min(F.when(rated, per_day)).alias("rate_min"),
         F.max(F.when(rated, per_day)).alias("rate_max"),
         F.max_by(F.when(rated, F.col("node_ip")), F.when(rated, F.struct(per_day, reverse))).alias("rate_max_node"),
-    )
+    ]
 
 
+@made_once
 def _cluster_findings() -> list[tuple[Column, Column]]:
     p, none = F.col("primary"), F.lit(None).cast("string")
     many = F.col("n_nodes") > 1
@@ -280,6 +290,7 @@ def _cluster_findings() -> list[tuple[Column, Column]]:
     ]
 
 
+@made_once
 def _disk_cause() -> tuple[Column, Column]:
     parts = fleet.disk_parts()
     top = F.get(parts, F.lit(0))
@@ -311,6 +322,7 @@ def _cold_node(primary_mem: Column) -> tuple[Column, Column]:
     return fires, _finding("COR-06", F.col("node_ip"), _metrics(mem_pct=mem, primary_mem_pct=primary_mem), verdicts)
 
 
+@made_once
 def _writable_replica() -> tuple[Column, Column]:
     lagging = F.coalesce("is_replica", F.lit(False)) & (F.coalesce("lag_seconds", F.lit(0)) > 60)
     fires = lagging & fleet.variable("read_only").isin("0", "OFF")
@@ -319,19 +331,26 @@ def _writable_replica() -> tuple[Column, Column]:
     )
 
 
-def _explode(df: DataFrame, findings: list[tuple[Column, Column]], keys: list[str]) -> DataFrame:
+def _fired(findings: list[tuple[Column, Column]]) -> Column:
     fired = F.array(*[F.when(F.coalesce(c, F.lit(False)), f) for c, f in findings])
-    rows = df.select(*keys, F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("f"))
-    return rows.select(*keys, "f.*")
+    return F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("f")
+
+
+@made_once
+def _of_clusters() -> Column:
+    return _fired(_cluster_findings())
+
+
+@made_once
+def _of_nodes() -> Column:
+    return _fired([_disk_cause(), _cold_node(F.col("primary_mem")), _writable_replica()])
 
 
 def correlations(nodes: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:
     """(cluster, code, subject_node, metrics, verdicts) of every correlation that holds."""
     facts = cluster_facts(nodes, cluster_keys)
-    per_cluster = _explode(facts, _cluster_findings(), cluster_keys)
+    per_cluster = facts.select(*cluster_keys, _of_clusters()).select(*cluster_keys, "f.*")
     primary_mem = facts.select(*cluster_keys, F.nullif(F.col("primary.mem_pct"), F.lit(0.0)).alias("primary_mem"))
     with_primary = nodes.join(primary_mem, cluster_keys, "left")
-    per_node = _explode(
-        with_primary, [_disk_cause(), _cold_node(F.col("primary_mem")), _writable_replica()], cluster_keys
-    )
+    per_node = with_primary.select(*cluster_keys, _of_nodes()).select(*cluster_keys, "f.*")
     return per_cluster.unionByName(per_node)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetvitals import CLUSTER_KEYS, KEYS
 from fleetvitals.functions import scalars as S
+from fleetvitals.functions.once import made_once
 from fleetvitals.operators import workload
 from fleetvitals.operators.ranking import range_row_number
 
@@ -49,7 +50,12 @@ NODE_COLUMNS: dict[str, str] = {
 
 def conform(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """node_facts with every expected column; missing ones become typed nulls."""
-    have = set(df.columns)
+    extra = [c for c in df.columns if c not in NODE_COLUMNS and c not in keys]
+    return df.select(*keys, *_conformed(frozenset(df.columns)), *extra)
+
+
+@made_once
+def _conformed(have: frozenset) -> list[Column]:
     fixed = []
     for name, kind in NODE_COLUMNS.items():
         if name == "disks" and name in have:
@@ -61,19 +67,21 @@ def conform(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
             fixed.append(F.col(name).cast(kind).alias(name))
         else:
             fixed.append(F.lit(None).cast(kind).alias(name))
-    extra = [c for c in df.columns if c not in NODE_COLUMNS and c not in keys]
-    return df.select(*keys, *fixed, *extra)
+    return fixed
 
 
+@made_once
 def variable(name: str) -> Column:
     return F.col("variables")[name]
 
 
+@made_once
 def number(name: str) -> Column:
     """A variable as a number; absent or textual values are null."""
     return variable(name).try_cast("double")
 
 
+@made_once
 def mem_gb() -> Column:
     return F.nullif(F.col("mem_total_kb"), F.lit(0)) / 1048576.0
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetvitals import CLUSTER_KEYS
 from fleetvitals.functions import fixed_values as fv
 from fleetvitals.functions import scalars as S
+from fleetvitals.functions.once import made_once
 from fleetvitals.operators.ranking import range_row_number
 from fleetvitals.sources.config import Config, apply_config
 
@@ -156,18 +157,21 @@ def priority_distribution(issues: DataFrame, cluster_keys: list[str] = CLUSTER_K
 
 def issue_dimension(issues: DataFrame, documented: bool = False) -> DataFrame:
     """Dimension and penalty factor: explicit, else by type, else half to availability."""
+    return issues.withColumns(_dimension_columns(documented))
+
+
+@made_once
+def _dimension_columns(documented: bool) -> dict[str, Column]:
     by_type = S.first_case([(F.col("type").rlike(p), F.lit(d)) for d, p in fv.DIMENSION_PATTERNS])
     options = [F.col("dimension")]
     if documented:
         docs = F.create_map(*[F.lit(x) for pair in fv.DOCUMENTED_DIMENSIONS.items() for x in pair])
         options.append(docs[F.col("type")])
     found = F.coalesce(*options, by_type)
-    return issues.withColumns(
-        {
-            "dimension": F.coalesce(found, F.lit("availability")),
-            "factor": F.when(found.isNotNull(), 1.0).otherwise(0.5),
-        }
-    )
+    return {
+        "dimension": F.coalesce(found, F.lit("availability")),
+        "factor": F.when(found.isNotNull(), 1.0).otherwise(0.5),
+    }
 
 
 def round_half_up(value: Column) -> Column:
@@ -189,18 +193,26 @@ def dimension_scores(
     become one wide row per cluster, so a cluster with many issues is summed
     map-side.
     """
-    charged = issue_dimension(issues, documented)
-    penalties = F.create_map(*[F.lit(x) for pair in fv.PENALTY.items() for x in pair])
-    points = F.coalesce(penalties[F.col("priority")], F.lit(0.0)) * F.col("factor")
-    sums = charged.groupBy(*cluster_keys).agg(
-        *[F.sum(F.when(F.col("dimension") == d, points)).alias(d) for d in DIMENSIONS]
-    )
+    sums = issue_dimension(issues, documented).groupBy(*cluster_keys).agg(*_penalty_sums())
     wide = (
         clusters.select(*cluster_keys)
         .join(sums, cluster_keys, "left")
         .join(backup, cluster_keys, "left")
         .join(security, cluster_keys, "left")
     )
+    return wide.select(*cluster_keys, _score_rows()).select(*cluster_keys, "r.*")
+
+
+@made_once
+def _penalty_sums() -> list[Column]:
+    penalties = F.create_map(*[F.lit(x) for pair in fv.PENALTY.items() for x in pair])
+    points = F.coalesce(penalties[F.col("priority")], F.lit(0.0)) * F.col("factor")
+    return [F.sum(F.when(F.col("dimension") == d, points)).alias(d) for d in DIMENSIONS]
+
+
+@made_once
+def _score_rows() -> Column:
+    """A row per dimension, from penalties and evidence side by side."""
 
     def missing(name: str, cost: float) -> Column:
         return F.when(F.coalesce(F.col(name), F.lit(False)), 0.0).otherwise(cost)
@@ -230,7 +242,7 @@ def dimension_scores(
             for d in DIMENSIONS
         ]
     )
-    return wide.select(*cluster_keys, F.explode(rows).alias("r")).select(*cluster_keys, "r.*")
+    return F.explode(rows).alias("r")
 
 
 def total_score(scores: DataFrame, cluster_keys: list[str] = CLUSTER_KEYS) -> DataFrame:

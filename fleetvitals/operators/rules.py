@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fleetvitals import CLUSTER_KEYS, KEYS
 from fleetvitals.functions import fixed_values as fv
 from fleetvitals.functions import scalars as S
+from fleetvitals.functions.once import made_once
 from fleetvitals.operators import fleet
 from fleetvitals.sources.config import Config, apply_config
 
@@ -551,11 +552,18 @@ FAMILIES = [
 DISK_TYPES = ("disk_critical", "disk_high")
 
 
-def node_rules(config: Config, only: list[str] | None = None) -> list[Rule]:
+def _by_config(config: Config, *rest) -> tuple:
+    return config.columns_key, *(tuple(x) if isinstance(x, list) else x for x in rest)
+
+
+def _node_rules(config: Config, only: list[str] | None = None) -> list[Rule]:
     rules = [rule for family in FAMILIES for rule in family(config.threshold)]
     return [r for r in rules if only is None or r.type in only]
 
 
+node_rules = made_once(_node_rules, _by_config)
+
+
 FIELDS = [
     "type", "priority", "scope", "subject", "dimension", "n_objects",
     "description", "current_value", "recommended_value", "needs_confirmation",
@@ -639,24 +647,31 @@ def _prepare(nodes: DataFrame, config: Config, only: list[str] | None) -> DataFr
     return config.attach(facts)
 
 
-def _fire(
-    facts: DataFrame, config: Config, rules: list[Rule], disks: bool, only: list[str] | None, keys: list[str]
-) -> DataFrame:
-    """Explodes the rules that fired on each node."""
+def _issues(config: Config, scope: str | None, disks: bool, only: list[str] | None) -> Column:
+    """The rules that fired on a node, as rows."""
+    rules = [r for r in node_rules(config, only) if scope is None or r.scope == scope]
     struct, structs = _Structs(), []
     if rules:
         structs.append(F.array(*[F.when(r.when, struct(r)) for r in rules]))
     if disks:
         structs.append(_disk_structs(config, struct))
-    issues = F.filter(
+    found = F.filter(
         F.concat(*structs), lambda i: i.isNotNull() & config.is_enabled(i["type"]) & _wanted(i["type"], only)
     )
+    return F.explode(found).alias("i")
+
+
+_issues_once = made_once(_issues, _by_config)
+
+
+def _fire(facts: DataFrame, config: Config, scope: str | None, disks: bool, only: list[str] | None, keys: list[str]) -> DataFrame:
+    """Explodes the rules that fired on each node."""
     exploded = facts.select(
         *keys,
         "role",
         "node_order",
         *(["cluster_cfg"] if config.cluster_layer is not None else []),
-        F.explode(issues).alias("i"),
+        _issues_once(config, scope, disks, only),
     )
     flat = exploded.select(*[c for c in exploded.columns if c != "i"], "i.*")
     return config.detach(flat.withColumn("priority", config.priority(F.col("type"), F.col("priority"))))
@@ -671,7 +686,7 @@ def evaluate_rules(
     """
     config = config or Config()
     disks = only is None or any(t in only for t in DISK_TYPES)
-    return _fire(_prepare(nodes, config, only), config, node_rules(config, only), disks, only, keys)
+    return _fire(_prepare(nodes, config, only), config, None, disks, only, keys)
 
 
 def evaluate_by_scope(
@@ -683,13 +698,28 @@ def evaluate_by_scope(
     has to be merged.
     """
     config = config or Config()
-    rules = node_rules(config)
-    single = [r for r in rules if r.scope == NODE]
-    shared = [r for r in rules if r.scope == CLUSTER]
     return (
-        _fire(config.attach(nodes), config, single, True, None, keys),
-        _fire(_prepare(nodes, config, None), config, shared, False, None, keys),
+        _fire(config.attach(nodes), config, NODE, True, None, keys),
+        _fire(_prepare(nodes, config, None), config, CLUSTER, False, None, keys),
+    )
+
+
+@made_once
+def _disagreements(names: tuple[str, ...]) -> tuple[list[Column], Column]:
+    """Bounds of every parameter, and those whose bounds differ, as rows."""
+    aggregates = [F.count(F.lit(1)).alias("n")]
+    for name in names:
+        aggregates += [F.min(fleet.variable(name)).alias(f"lo_{name}"), F.max(fleet.variable(name)).alias(f"hi_{name}")]
+    found = F.array(
+        *[
+            F.when(
+                F.col(f"lo_{n}") != F.col(f"hi_{n}"),
+                F.struct(F.lit(n).alias("name"), F.col(f"lo_{n}").alias("lo"), F.col(f"hi_{n}").alias("hi")),
+            )
+            for n in names
+        ]
     )
+    return aggregates, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")
 
 
 def parameter_issues(
@@ -705,22 +735,8 @@ def parameter_issues(
     """
     config = config or Config()
     names = names or fv.CONSISTENT_PARAMETERS
-    aggregates = [F.count(F.lit(1)).alias("n")]
-    for name in names:
-        aggregates += [F.min(fleet.variable(name)).alias(f"lo_{name}"), F.max(fleet.variable(name)).alias(f"hi_{name}")]
-    bounds = nodes.groupBy(*cluster_keys).agg(*aggregates)
-    found = F.array(
-        *[
-            F.when(
-                F.col(f"lo_{n}") != F.col(f"hi_{n}"),
-                F.struct(F.lit(n).alias("name"), F.col(f"lo_{n}").alias("lo"), F.col(f"hi_{n}").alias("hi")),
-            )
-            for n in names
-        ]
-    )
-    rows = bounds.filter("n > 1").select(
-        *cluster_keys, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")
-    )
+    aggregates, found = _disagreements(tuple(names))
+    rows = nodes.groupBy(*cluster_keys).agg(*aggregates).filter("n > 1").select(*cluster_keys, found)
     none = F.lit(None).cast("string")
     issues = rows.select(
         *cluster_keys,
@@ -741,8 +757,14 @@ def parameter_issues(
     return apply_config(issues, config)
 
 
-def with_advice(issues: DataFrame) -> DataFrame:
-    """Static action and statement per type, from a literal map; no join."""
+@made_once
+def _advice() -> tuple[Column, Column]:
     actions = F.create_map(*[F.lit(x) for t, (a, _) in ADVICE.items() for x in (t, a)])
     statements = F.create_map(*[F.lit(x) for t, (_, s) in ADVICE.items() if s for x in (t, s)])
-    return issues.withColumns({"action": actions[F.col("type")], "sql": statements[F.col("type")]})
+    return actions[F.col("type")], statements[F.col("type")]
+
+
+def with_advice(issues: DataFrame) -> DataFrame:
+    """Static action and statement per type, from a literal map; no join."""
+    action, statement = _advice()
+    return issues.withColumns({"action": action, "sql": statement})

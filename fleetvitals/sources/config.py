@@ -155,6 +155,11 @@ class Config:
         self.run_layer = run_layer or {}
         self.default_layer = defaults()
 
+    @property
+    def columns_key(self) -> tuple:
+        """Two configurations of equal key have the same Columns: cluster settings are looked up in the row."""
+        return tuple(sorted(self.run_layer.items())), self.cluster_layer is not None
+
     def attach(self, df: DataFrame) -> DataFrame:
         """Adds the cluster's map. The map side has one row per configured cluster; Spark
         broadcasts it only while its measured size is under the broadcast threshold."""

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetvitals.functions.once import made_once
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 DATE = "DATE '2024-01-31'"
 GIB = 1073741824
@@ -427,20 +428,25 @@ class Views:
     def node_facts(self) -> DataFrame:
         """The nodes view in the shape of parsed dumps: maps and arrays instead of flat columns."""
         nodes = self["nodes"]
-        pairs = F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"v_{n}").alias("v")) for n in VARIABLES])
-        variables = F.map_from_entries(F.filter(pairs, lambda e: e["v"].isNotNull()))
-        mounts = F.array(
-            *[F.struct(F.lit(m).alias("mount"), F.col(c).alias("use_pct")) for m, c in (("/", "root_pct"), ("/data", "data_pct"))]
-        )
-        tls = F.when(
-            F.col("have_ssl").isNotNull(),
-            F.create_map(
-                F.lit("have_ssl"), F.col("have_ssl"), F.lit("tls_version"), F.col("tls_version"),
-                F.lit("require_secure_transport"), F.col("require_secure"),
-            ),
-        )
         flat = [c for c in nodes.columns if not c.startswith("v_") and c not in ("root_pct", "data_pct", "have_ssl", "tls_version", "require_secure")]
-        return nodes.select(*flat, variables.alias("variables"), mounts.alias("disks"), tls.alias("tls_config"))
+        return nodes.select(*flat, *_nested_facts())
+
+
+@made_once
+def _nested_facts() -> list:
+    pairs = F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"v_{n}").alias("v")) for n in VARIABLES])
+    variables = F.map_from_entries(F.filter(pairs, lambda e: e["v"].isNotNull()))
+    mounts = F.array(
+        *[F.struct(F.lit(m).alias("mount"), F.col(c).alias("use_pct")) for m, c in (("/", "root_pct"), ("/data", "data_pct"))]
+    )
+    tls = F.when(
+        F.col("have_ssl").isNotNull(),
+        F.create_map(
+            F.lit("have_ssl"), F.col("have_ssl"), F.lit("tls_version"), F.col("tls_version"),
+            F.lit("require_secure_transport"), F.col("require_secure"),
+        ),
+    )
+    return [variables.alias("variables"), mounts.alias("disks"), tls.alias("tls_config")]
 
 
 def with_views(sql: str) -> str:

@@ -31,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetvitals.llm.components import components
@@ -395,13 +395,16 @@ def near_duplicates(
     source = dumps.select(F.col(dump_id).cast("long").alias("id"), F.coalesce(F.col(content), F.lit("")).alias("content"))
     sizes = stored(_sizes(source, n), "ngram-sizes")
     named = source.where(F.col("id").isNotNull() & (F.col("content") != ""))
-    # The hub of a signature is its smallest id. Most signatures have one set only and go by map-side bounds; the
-    # others' rows, two numbers each, are joined back, so that a very common signature is split over tasks.
-    signed = _signed(named, n, percent)
-    hubs = signed.groupBy("sign").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("sign", "hub")
-    # Written, so that both sides of the join are plain exchanges, which adaptive execution can split.
-    hubs = stored(hubs, "ngram-hubs")
-    near = signed.join(hubs.hint("merge"), "sign").where("id <> hub").select("hub", "id").distinct()
+    # The hub of a signature is its smallest id; rows are two numbers, whatever the texts. (Aggregated and joined back
+    # instead, the many signatures of one set each took executors over 3000 MB.)
+    by_sign = Window.partitionBy("sign")
+    near = (
+        _signed(named, n, percent)
+        .withColumn("hub", F.min("id").over(by_sign))
+        .where("id <> hub")
+        .select("hub", "id")
+        .distinct()
+    )
     near = stored(near, "ngram-near")
     members = near.unionByName(near.select("hub", F.col("hub").alias("id")).distinct())
     counted = sizes.where("id is not null").groupBy("id").agg(F.max("n_shingles").alias("size"))

@@ -438,6 +438,72 @@ def _(v):
     return found.withColumn("dominant_non_unique", F.col("dominant_non_unique").cast("int"))
 
 
+@check("src_25_db_sizes", f"SELECT {CK}, table_schema AS name, CAST(data_length / 1048576 AS DOUBLE) AS size_gb, false AS is_total FROM {{cat_tables}}")
+def _(v):
+    return typed(v, "db_sizes", "k", v["cat_tables"], ["DATABASE_NAME", "SIZE(GB)"], "table_schema", (F.col("data_length") / 1048576).cast("bigint"))
+
+
+@check("src_25_partition_tables", f"SELECT {CK}, table_schema, table_name, CAST(k % 12 + 1 AS BIGINT) AS n_partitions FROM {{cat_tables}}")
+def _(v):
+    return typed(v, "partition_tables", "k", v["cat_tables"], ["TABLE_SCHEMA", "TABLE_NAME", "PARTITION_COUNT"], "table_schema", "table_name", F.col("k") % 12 + 1)
+
+
+@check("src_25_routines", f"SELECT {CK}, table_schema AS routine_schema, concat('p', k) AS routine_name, CASE WHEN k % 2 = 0 THEN 'PROCEDURE' ELSE 'FUNCTION' END AS routine_type, 'root@%' AS definer FROM {{cat_tables}}")
+def _(v):
+    kind = F.when(F.col("k") % 2 == 0, "PROCEDURE").otherwise("FUNCTION")
+    headers = ["ROUTINE_SCHEMA", "ROUTINE_NAME", "ROUTINE_TYPE", "DEFINER"]
+    return typed(v, "routines", "k", v["cat_tables"], headers, "table_schema", F.concat(F.lit("p"), F.col("k").cast("string")), kind, F.lit("root@%"))
+
+
+@check("src_25_object_counts", f"SELECT {CK}, table_schema AS db, CASE WHEN k % 3 = 0 THEN 'VIEW' ELSE 'TABLE' END AS object_type, CAST(k AS BIGINT) AS cnt FROM {{cat_tables}}")
+def _(v):
+    kind = F.when(F.col("k") % 3 == 0, "VIEW").otherwise("TABLE")
+    return typed(v, "object_counts", "k", v["cat_tables"], ["DB_NAME", "OB_TYPE", "SUMS"], "table_schema", kind, F.col("k"))
+
+
+@check("src_25_top_indexes", f"SELECT {CK}, table_schema, table_name, concat('ix_', k) AS index_name, CAST(k * 3 AS DOUBLE) AS size_mb, 'secondary' AS index_type, 'a,b' AS columns FROM {{cat_tables}}")
+def _(v):
+    headers = ["database_name", "table_name", "index_name", "SizeMB", "non_unique", "index_type", "column_name"]
+    name = F.concat(F.lit("ix_"), F.col("k").cast("string"))
+    return typed(v, "top_indexes", "k", v["cat_tables"], headers, "table_schema", "table_name", name, F.col("k") * 3, F.lit(1), F.lit("secondary"), F.lit("a,b"))
+
+
+def workload_lines(v) -> DataFrame:
+    return v["lineitem"].withColumns({"n": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "query": F.concat(F.lit("SELECT "), F.col("l_partkey").cast("string"))})
+
+
+LINE_KEYS = chunk_keys("l_orderkey * 8 + l_linenumber")
+LINE = f"{LINE_KEYS}, concat('SELECT ', l_partkey) AS query, 'shop' AS db, CAST(l_suppkey AS BIGINT) AS exec_count"
+
+
+@check("src_26_sql_by_latency", f"""SELECT {LINE}, '9 s' AS total_latency, '1 ms' AS avg_latency, '2 s' AS max_latency, CAST(l_partkey AS BIGINT) AS rows_examined, CAST(l_linenumber AS BIGINT) AS rows_sent,
+  concat('d', l_orderkey) AS digest FROM lineitem""")
+def _(v):
+    headers = ["query", "db", "exec_count", "total_latency", "avg_latency", "max_latency", "rows_examined", "rows_sent", "tmp_tables", "sort_rows", "first_seen", "digest"]
+    digest = F.concat(F.lit("d"), F.col("l_orderkey").cast("string"))
+    return typed(
+        v, "sql_by_latency", "n", workload_lines(v), headers, "query", F.lit("shop"), "l_suppkey", F.lit("9 s"), F.lit("1 ms"), F.lit("2 s"), "l_partkey", "l_linenumber",
+        F.lit(0), F.lit(0), F.lit("x"), digest)
+
+
+@check("src_26_sql_by_average", f"SELECT {LINE}, '3 ms' AS avg_latency, '4 s' AS total_latency FROM lineitem")
+def _(v):
+    headers = ["query", "db", "exec_count", "avg_latency", "total_latency"]
+    return typed(v, "sql_by_average", "n", workload_lines(v), headers, "query", F.lit("shop"), "l_suppkey", F.lit("3 ms"), F.lit("4 s"))
+
+
+@check("src_26_sql_no_good_index", f"SELECT {LINE}, '4 s' AS total_latency, CAST(l_linenumber AS BIGINT) AS no_index_count, CAST(0 AS BIGINT) AS no_good_index_count, CAST(l_partkey % 100 AS BIGINT) AS no_index_pct FROM lineitem")
+def _(v):
+    headers = ["query", "db", "exec_count", "total_latency", "no_index_count", "no_good_index_count", "no_index_pct"]
+    return typed(v, "sql_no_good_index", "n", workload_lines(v), headers, "query", F.lit("shop"), "l_suppkey", F.lit("4 s"), "l_linenumber", F.lit(0), F.col("l_partkey") % 100)
+
+
+@check("src_26_sql_with_temp", f"SELECT {LINE}, '4 s' AS total_latency, CAST(l_linenumber AS BIGINT) AS memory_tmp, CAST(1 AS BIGINT) AS disk_tmp, CAST(l_partkey % 100 AS BIGINT) AS disk_pct FROM lineitem")
+def _(v):
+    headers = ["query", "db", "exec_count", "total_latency", "memory_tmp", "disk_tmp", "tmp_disk_pct"]
+    return typed(v, "sql_with_temp", "n", workload_lines(v), headers, "query", F.lit("shop"), "l_suppkey", F.lit("4 s"), "l_linenumber", F.lit(1), F.col("l_partkey") % 100)
+
+
 @check("src_27_lock_counters", f"SELECT {K}, 'Innodb_row_lock_waits' AS name, CAST(k AS VARCHAR) AS value FROM {{nodes}} UNION ALL SELECT {K}, 'Table_locks_waited', '5' FROM {{nodes}}")
 def _(v):
     body = D.section(7, "Lock status counters", "| VARIABLE_NAME | VARIABLE_VALUE |\n| Innodb_row_lock_waits | ", F.col("k"), " |\n| Table_locks_waited | 5 |")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.catalog_checks import K, plain, topk
 from checks.registry import check
+from fleetvitals import KEYS
 from fleetvitals.functions import fixed_values as fv
 from fleetvitals.operators import workload as W
 from fleetvitals.plans.lineage import shared_folder
@@ -48,6 +49,14 @@ def _(v):
     return plain(W.tables_in_use(v["open_tables"]))
 
 
+@check("ses_06_lock_rows", f"SELECT {K}, waiting_trx_id AS lock_trx_id, concat('t', CAST(substr(waiting_trx_id, 2) AS BIGINT) % 7) AS lock_table FROM {{lock_wait_rows}}")
+def _(v):
+    """The locks that transactions hold or wait for, of any number per node."""
+    number = F.substring("waiting_trx_id", 2, 30).cast("bigint")
+    locks = v["lock_wait_rows"].select(*KEYS, F.col("waiting_trx_id").alias("lock_trx_id"), F.concat(F.lit("t"), (number % 7).cast("string")).alias("lock_table"))
+    return plain(W.lock_tables(locks, ["lock_trx_id", "lock_table"]))
+
+
 @check("ses_06_transactions", f"SELECT {K}, trx_id, thread_id, query FROM {{trx}}")
 def _(v):
     return plain(W.lock_tables(v["trx"], ["trx_id"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from fleetvitals import CLUSTER_KEYS, KEYS
+from fleetvitals.functions import scalars as S
 from fleetvitals.functions.fixed_values import DEFAULT_THRESHOLDS
 from fleetvitals.operators import assess, catalog, correlate, documents, drift, fleet, issues, marts, rules, workload
 from fleetvitals.plans.lineage import cut_lineage
@@ -22,6 +23,18 @@ OPTIONAL = {
     "cron_lines": "source string, line string",
     "slow_log_entries": "time string, user_host string, query_s double, lock_s double, rows_sent bigint, rows_examined bigint, db string, sql string",
     "error_log_lines": "line_no int, line string, severity string",
+    "top_tables": "table_schema string, table_name string, size_gb double, table_rows bigint, engine string",
+    "db_sizes": "name string, size_gb double, is_total boolean",
+    "large_columns": "table_schema string, table_name string, column_name string, data_type string",
+    "partition_tables": "table_schema string, table_name string, n_partitions bigint",
+    "routines": "routine_schema string, routine_name string, routine_type string, definer string",
+    "object_counts": "db string, object_type string, cnt bigint",
+    "unused_indexes": "table_schema string, table_name string, index_name string",
+    "redundant_indexes": "table_schema string, table_name string, redundant_index string, dominant_index string",
+    "lock_details": "waiting_trx_id string, blocking_trx_id string",
+    "metadata_locks": "row_no int",
+    "lock_counters": "name string, value string",
+    "active_trx": "trx_id string, state string, detail string",
 }
 
 
@@ -33,6 +46,61 @@ def _optional(base: dict[str, DataFrame], name: str) -> DataFrame:
     return keys.select(*KEYS, *[F.lit(None).cast(kind).alias(n) for n, kind in fields])
 
 
+def _sized(top_tables: DataFrame) -> DataFrame:
+    """Top tables with their bytes, which dumps give in GB only."""
+    have = top_tables.columns
+    return top_tables if "bytes" in have else top_tables.withColumn("bytes", F.round(F.col("size_gb") * S.GIB).cast("bigint"))
+
+
+def report_tables(base: dict[str, DataFrame], nodes: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a report that need no rules: one per chapter, of every node or cluster."""
+    top = _sized(_optional(base, "top_tables"))
+    sizes = _optional(base, "db_sizes")
+    sizes = sizes.withColumnRenamed("name", "table_schema") if "table_schema" not in sizes.columns else sizes
+    no_pk = base["no_pk_tables"]
+    no_pk = no_pk if "table_rows" in no_pk.columns else no_pk.withColumn("table_rows", F.lit(None).cast("bigint"))
+    fragments = marts.significant_fragments(base["frag_tables"])
+    reclaimable = marts.reclaimable(fragments, top)
+    totals = nodes.select(*KEYS, F.round(F.col("db_total_gb") * S.GIB).cast("bigint").alias("bytes"))
+    return {
+        "node_inventory": marts.node_inventory(nodes),
+        "disk_usage": marts.disk_usage(nodes),
+        "connection_usage": marts.connection_usage(nodes),
+        "performance_kpis": marts.performance_kpis(nodes),
+        "buffer_pool": marts.buffer_pool(nodes),
+        "slow_log_config": marts.slow_log_config(nodes),
+        "capacity": marts.capacity(sizes),
+        "top_tables": marts.tagged_top_tables(top),
+        "significant_fragments": fragments,
+        "reclaimable": reclaimable,
+        "releasable_space": marts.releasable_space(reclaimable, totals),
+        "no_pk_summary": marts.category_counts(no_pk),
+        "no_pk_top": marts.no_pk_top(no_pk),
+        "temp_tablespace_status": marts.temp_tablespace_status(nodes),
+        "engine_overview": marts.engine_overview(nodes),
+        "active_transactions": marts.active_transaction_list(_optional(base, "active_trx")),
+        "lock_summary": marts.lock_summary(
+            _optional(base, "lock_details"), _optional(base, "metadata_locks"), _optional(base, "lock_counters")
+        ),
+        "replication_status": marts.replication_status(nodes),
+        "replication_health": marts.replication_health(nodes),
+        "object_matrix": marts.object_matrix(_optional(base, "object_counts")),
+        "unused_index_summary": marts.category_counts(_optional(base, "unused_indexes")),
+        "redundant_index_summary": marts.category_counts(_optional(base, "redundant_indexes")),
+        "unused_index_top": marts.index_top(_optional(base, "unused_indexes"), ["table_schema", "table_name", "index_name"]),
+        "redundant_index_top": marts.index_top(
+            _optional(base, "redundant_indexes"), ["table_schema", "table_name", "redundant_index", "dominant_index"], k=15
+        ),
+        "large_column_tables": marts.large_column_tables(_optional(base, "large_columns")),
+        "auto_increment_bands": marts.auto_increment_bands(base["auto_increment"]),
+        "partitions": _optional(base, "partition_tables"),
+        "routines": _optional(base, "routines"),
+        "long_sessions": marts.long_session_detail(base["sessions"]),
+        "session_mix": marts.session_mix(base["sessions"]),
+        "lineage": marts.lineage(nodes),
+    }
+
+
 def land_dumps(
     spark: SparkSession,
     path: str,
@@ -83,6 +151,8 @@ def land_dumps(
         "slow_log_entries": slow,
         "error_log_lines": parse.error_log_lines(parse.section_texts(landed, "Error log tail")),
         "presence": ingest.section_presence(landed, names),
+        "active_trx": parse.active_trx(landed),
+        "metadata_locks": parse.raw_section_rows(rows, "Metadata locks"),
         **parse.typed_tables(rows),
     }
 
@@ -204,18 +274,11 @@ def assess_fleet(base: dict[str, DataFrame], config: Config | None = None) -> di
         "wildcard_groups": assess.wildcard_groups(base["users"]),
         "slow_log_summary": workload.slow_log_summary(_optional(base, "slow_log_entries")),
         "error_log_summary": workload.error_log_summary(_optional(base, "error_log_lines")),
-        "no_pk_summary": marts.category_counts(base["no_pk_tables"]),
-        "engine_overview": marts.engine_overview(nodes),
-        "temp_tablespace_status": marts.temp_tablespace_status(nodes),
-        "replication_status": marts.replication_status(nodes),
-        "replication_health": marts.replication_health(nodes),
-        "long_sessions": marts.long_session_detail(base["sessions"]),
-        "session_mix": marts.session_mix(base["sessions"]),
-        "significant_fragments": marts.significant_fragments(base["frag_tables"]),
-        "auto_increment_bands": marts.auto_increment_bands(base["auto_increment"]),
+        **report_tables(base, nodes),
         **({"section_presence": base["presence"]} if "presence" in base else {}),
         "key_facts": marts.key_facts(topology, totals, labels, priorities, backup),
         "action_plan": marts.action_plan(numbered),
+        "replication_issues": marts.replication_issues(merged),
     }
 
 

@@ -145,6 +145,20 @@ def test_document(spark, results, tmp_path):
     assert spark.read.text(str(tmp_path / "parts")).count() == parts.count()
 
 
+def test_every_report_table_is_filled_from_dumps(base, results):
+    tables_ = assessment.report_tables(base, results["nodes"])
+    assert set(tables_) <= set(results) and len(tables_) == 31
+    counts = {name: results[name].count() for name in tables_}
+    assert all(counts[n] == 4 for n in ("node_inventory", "connection_usage", "performance_kpis", "buffer_pool", "slow_log_config", "engine_overview", "lineage"))
+    inventory = {r["node_ip"]: r for r in results["node_inventory"].collect()}
+    assert inventory[PRIMARY]["os_status"] == "eol"
+
+    assert {r["band"] for r in results["disk_usage"].collect()} >= {"urgent", "ample"}
+    assert rows(results["lock_summary"].filter(f"node_ip = '{PRIMARY}'"), "innodb_row_lock_current_waits") == {(0,)}
+    assert rows(results["redundant_index_top"], "table_name", "redundant_index") == {("orders", "ix_a")}
+    assert {f for (f,) in rows(results["lineage"], "file_name")} == {f for (f,) in rows(base["node_facts"], "file_name")}
+
+
 def test_one_json_file_per_cluster(spark, results, tmp_path):
     project = results["topology"].selectExpr("cluster_id", "snapshot_date", "'shop' AS value")
     parts = documents.document_parts(assessment.document_members(results, project))

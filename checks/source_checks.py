@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from checks.views import VARIABLES
 from fleetvitals import KEYS
 from fleetvitals.functions import fixed_values as fv
 from fleetvitals.operators import workload
+from fleetvitals.plans.lineage import shared_folder
 from fleetvitals.sources import ingest, parse, tables
 
 GIB = 1073741824
@@ -279,6 +282,21 @@ def error_texts(v) -> DataFrame:
 ERRORS = f"""SELECT {chunk_keys('event_id')}, event_id % {D.CHUNK} AS line_no, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' WHEN 'view' THEN 'lifecycle' END AS severity FROM events"""
 
 
+LOGGED = "concat('2024 ', CASE event_type WHEN 'error' THEN '[ERROR] bad' WHEN 'signup' THEN '[Warning] odd' WHEN 'view' THEN '[Note] ready for connections' ELSE '[Note] ERROR as text' END, ' ', event_id)"
+
+
+@check("src_19_full_error_logs", f"""
+SELECT concat('cluster=c', user_id % 25) AS cluster_id, concat('10.0.0.', user_id % 25) AS node_ip, CAST(row_number() OVER (PARTITION BY user_id % 25 ORDER BY event_id) - 1 AS INTEGER) AS line_no,
+  {LOGGED} AS line, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' WHEN 'view' THEN 'lifecycle' END AS severity FROM events""")
+def _(v):
+    """A log file per cluster, written in order and read back in splits."""
+    path = f"{shared_folder(v.spark)}/error-logs-{uuid.uuid4().hex}"
+    cluster = (F.col("user_id") % 25).cast("string")
+    lines = v["events"].select(F.concat(F.lit("c"), cluster).alias("cluster"), F.concat(F.lit("10.0.0."), cluster).alias("ip"), "event_id", F.expr(LOGGED).alias("value"))
+    lines.repartition("cluster").sortWithinPartitions("cluster", "ip", "event_id").drop("event_id").write.partitionBy("cluster", "ip").text(path)
+    return parse.read_error_logs(v.spark, path, "2024-01-31").select("cluster_id", "node_ip", "line_no", "line", "severity")
+
+
 @check("src_19_error_log_lines", ERRORS)
 def _(v):
     return plain(parse.error_log_lines(error_texts(v)).drop("line")).withColumn("line_no", F.col("line_no").cast("bigint"))

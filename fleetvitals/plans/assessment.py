@@ -109,6 +109,7 @@ def land_dumps(
     project: str | None = None,
     reports_path: str | None = None,
     slow_logs_path: str | None = None,
+    error_logs_path: str | None = None,
     declared_roles: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Reads the dumps once and lands all of them as Parquet, by snapshot.
@@ -119,7 +120,8 @@ def land_dumps(
     again replaces that snapshot and leaves the others.
 
     reports_path: legacy HTML reports, whose temporary tablespace replaces the
-    dumps'. slow_logs_path: full slow logs. declared_roles: (cluster_id,
+    dumps'. slow_logs_path: full slow logs. error_logs_path: full error logs,
+    which replace the tails that the dumps of their nodes hold. declared_roles: (cluster_id,
     node_ip, declared_role) from outside.
     """
     dumps = ingest.drop_superseded(spark, ingest.read_dumps(spark, path), path, run_date)
@@ -140,6 +142,12 @@ def land_dumps(
     slow = parse.slow_log_entries(parse.section_texts(landed, "Slow query log tail"))
     if slow_logs_path is not None:
         slow = slow.unionByName(parse.read_slow_logs(spark, slow_logs_path, run_date).drop("file_name"))
+    errors = parse.error_log_lines(parse.section_texts(landed, "Error log tail"))
+    if error_logs_path is not None:
+        full = parse.read_error_logs(spark, error_logs_path, run_date)
+        # One row a node that has a full log.
+        covered = full.select("cluster_id", "node_ip").distinct()
+        errors = errors.join(covered, ["cluster_id", "node_ip"], "left_anti").unionByName(full.drop("file_name"))
     return {
         "sections": landed,
         "other_sections": others,
@@ -149,7 +157,7 @@ def land_dumps(
         "backup_files": parse.backup_files(landed),
         "cron_lines": parse.cron_lines(landed),
         "slow_log_entries": slow,
-        "error_log_lines": parse.error_log_lines(parse.section_texts(landed, "Error log tail")),
+        "error_log_lines": errors,
         "presence": ingest.section_presence(landed, names),
         "active_trx": parse.active_trx(landed),
         "metadata_locks": parse.raw_section_rows(rows, "Metadata locks"),

@@ -8,7 +8,7 @@ explode makes the optimizer add a size() test that computes the array twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetvitals import KEYS
@@ -424,6 +424,14 @@ def read_slow_logs(spark: SparkSession, path: str, snapshot_date: str) -> DataFr
     return slow_log_records(spark.read.format("text").options(**SLOW_LOG_OPTIONS).load(path), snapshot_date)
 
 
+def _keys_of_path(snapshot_date: str) -> list[Column]:
+    """Keys of a full log. The node is the last IPv4 address in the file's path, the cluster the folder above the part that names it."""
+    ip = ingest.IP_PATTERN
+    node = F.nullif(F.regexp_extract("file_path", rf"^.*(?<![\d.]){ip}(?![\d.]*\d)", 1), F.lit(""))
+    cluster = F.nullif(F.regexp_extract("file_path", rf"([^/]+)/[^/]*{ip}[^/]*(?:/[^/]*)*$", 1), F.lit(""))
+    return [F.coalesce(cluster, F.lit("unnamed")).alias("cluster_id"), F.lit(snapshot_date).cast("date").alias("snapshot_date"), node.alias("node_ip")]
+
+
 # How slow logs are read, in one go or as a stream of files.
 SLOW_LOG_OPTIONS = {"lineSep": "\n# Time:", "recursiveFileLookup": "true"}
 
@@ -433,14 +441,9 @@ def slow_log_records(texts: DataFrame, snapshot_date: str) -> DataFrame:
     records = texts.select(
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("piece")
     )
-    ip = ingest.IP_PATTERN
-    node = F.nullif(F.regexp_extract("file_path", rf"^.*(?<![\d.]){ip}(?![\d.]*\d)", 1), F.lit(""))
-    cluster = F.nullif(F.regexp_extract("file_path", rf"([^/]+)/[^/]*{ip}[^/]*(?:/[^/]*)*$", 1), F.lit(""))
     piece = F.regexp_replace(F.regexp_replace("piece", "\r\n", "\n"), r"^# Time:", "")
     each = records.select(
-        F.coalesce(cluster, F.lit("unnamed")).alias("cluster_id"),
-        F.lit(snapshot_date).cast("date").alias("snapshot_date"),
-        node.alias("node_ip"),
+        *_keys_of_path(snapshot_date),
         "file_name",
         F.explode(_statements(piece)).alias("piece"),
     )
@@ -465,6 +468,36 @@ def error_log_lines(texts: DataFrame, keys: list[str] = KEYS, text: str = "text"
     return exploded.withColumn("severity", error_severity(F.col("line")))
 
 
+def read_error_logs(spark: SparkSession, path: str, snapshot_date: str) -> DataFrame:
+    """Lines of full error logs: (keys, file_name, line_no, line, severity), numbered from 0 in each file.
+
+    A log of any size is read in as many splits as its bytes need. A line's
+    number is its place in its split, plus the lines of the file's splits
+    before: only those counts, one row a split, meet in a window, so the log
+    itself is not shuffled. Both readings of a log see the same splits, as the
+    splits follow from the files and the session's settings.
+    """
+    texts = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+        F.regexp_replace("value", "\r$", "").alias("line"),
+    )
+    splits = texts.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select("file_path", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("offset"))
+    # One row a split: adaptive execution broadcasts it as long as it is small.
+    numbered = texts.join(offsets, ["file_path", "block"])
+    return numbered.select(
+        *_keys_of_path(snapshot_date),
+        "file_name",
+        (F.col("place") + F.col("offset")).cast("int").alias("line_no"),
+        "line",
+        error_severity(F.col("line")).alias("severity"),
+    )
+
+
 def backup_dirs_array(text: Column) -> Column:
     """Scanned directories; a line that reports a missing one ends the directory above it."""
     t = F.coalesce(text, F.lit(""))

@@ -5,8 +5,9 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from fleetvitals.operators import workload
 from fleetvitals.plans.lineage import shared_folder
-from fleetvitals.sources import ingest
+from fleetvitals.sources import ingest, parse
 
 
 @pytest.fixture
@@ -56,3 +57,27 @@ def test_shared_folder_is_never_a_machine_s_own():
     for local in ("/tmp/warehouse", "file:/tmp/warehouse", "spark-warehouse"):
         with pytest.raises(ValueError, match="checkpoint"):
             shared_folder(_Session(spark_sql_warehouse_dir=local))
+
+
+@pytest.mark.parametrize("split", ["128m", "10k", "777"])
+def test_error_logs_have_the_same_numbers_in_any_splits(spark, tmp_path, split):
+    logs = {("shop", "10.0.0.1"): 900, ("shop", "10.0.0.2"): 1, ("pay", "10.0.0.3"): 350}
+    wanted = {}
+    for (cluster, ip), n in logs.items():
+        folder = tmp_path / cluster / ip
+        folder.mkdir(parents=True)
+        texts = [f"2026-05-01 {i} " + ("[ERROR] x" if i % 7 == 0 else "" if i % 11 == 0 else "[Note] " + "y" * (i % 50)) for i in range(n)]
+        (folder / "error.log").write_text(("\r\n" if cluster == "pay" else "\n").join(texts) + "\n")
+        wanted |= {(cluster, ip, i): t for i, t in enumerate(texts)}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        lines = parse.read_error_logs(spark, str(tmp_path), "2026-05-01")
+        assert lines.rdd.getNumPartitions() > 3 or split == "128m"
+        assert {(r.cluster_id, r.node_ip, r.line_no): r.line for r in lines.collect()} == wanted
+        last = workload.error_log_tail(lines).where("cluster_id = 'shop' and node_ip = '10.0.0.1' and severity = 'error'").collect()
+        assert sorted(r.line_no for r in last) == [i for i in range(900) if i % 7 == 0][-20:]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

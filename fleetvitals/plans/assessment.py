@@ -125,11 +125,7 @@ def land_dumps(
     node_ip, declared_role) from outside.
     """
     dumps = ingest.drop_superseded(spark, ingest.read_dumps(spark, path), path, run_date)
-    names = parse.ALL_SECTIONS
-    blocked = ingest.with_blocks(ingest.file_name_facts(dumps, run_date, project))
-    sections = ingest.section_fields(ingest.with_sections(blocked, names), names)
-    landed = ingest.write_by_snapshot(sections.drop("blocks"), f"{out}/sections", ["snapshot_date"])
-    others = ingest.write_by_snapshot(ingest.other_sections(blocked, names), f"{out}/other_sections", ["snapshot_date"])
+    landed, others, rows = _land_texts(ingest.file_name_facts(dumps, run_date, project), out, ["snapshot_date"])
     facts = parse.node_facts(landed)
     if reports_path is not None:
         reports = ingest.file_name_facts(ingest.read_html_reports(spark, reports_path), run_date, project)
@@ -138,7 +134,82 @@ def land_dumps(
         roles = declared_roles.select("cluster_id", "node_ip", "declared_role")
         facts = facts.join(roles, ["cluster_id", "node_ip"], "left")
     facts = ingest.write_by_snapshot(facts, f"{out}/node_facts", ["snapshot_date"])
-    rows = ingest.write_boxed_rows(ingest.boxed_rows(landed), f"{out}/boxed_rows")
+    return _base(spark, landed, others, facts, rows, run_date, slow_logs_path, error_logs_path)
+
+
+def _texts(dumps: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Sections and other sections of dumps."""
+    names = parse.ALL_SECTIONS
+    blocked = ingest.with_blocks(dumps)
+    sections = ingest.section_fields(ingest.with_sections(blocked, names), names)
+    return sections.drop("blocks"), ingest.other_sections(blocked, names, keys)
+
+
+def _land_texts(
+    dumps: DataFrame, out: str, partition: list[str], load: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lands sections, other sections and boxed rows; of one load, if it is named."""
+    keys = [*KEYS, *[c for c in partition if c not in KEYS]]
+    sections, others = _texts(dumps, keys)
+    landed = ingest.write_by_snapshot(sections, f"{out}/sections", partition)
+    landed = landed if load is None else landed.filter(F.col("load_id") == load)
+    others = ingest.write_by_snapshot(others, f"{out}/other_sections", partition)
+    rows = ingest.write_by_snapshot(ingest.boxed_rows(landed, keys), f"{out}/boxed_rows", [*partition, "section"])
+    return landed, others, rows
+
+
+def land_new_dumps(spark: SparkSession, path: str, out: str, run_date: str, project: str | None = None) -> dict[str, DataFrame]:
+    """Lands the dumps that have arrived under a path since the last run; returns the tables of all dumps landed so far.
+
+    A manifest next to the landed tables names every file that a run has seen.
+    Only files that it does not name are opened, and of several of one node and
+    snapshot only the last by name; a dump that is older than what was landed is
+    noted and left. Every run is a load of its own: landed tables are
+    partitioned by load, nothing landed is rewritten, and readers see each
+    node's last load. The manifest is written last, so a run that fails is
+    repeated whole by the next one.
+    """
+    where = f"{out}/manifest"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(where)
+    known = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+    def manifest() -> DataFrame:
+        return spark.read.schema(ingest.MANIFEST).parquet(where) if known else spark.createDataFrame([], ingest.MANIFEST)
+
+    # The letter keeps readers from taking the partition's name for a number.
+    load = f"L{(manifest().agg(F.count_distinct('load_id')).first()[0] if known else 0):08d}"
+    fresh = ingest.unseen_dumps(ingest.list_dumps(spark, path, run_date), manifest())
+    fresh = cut_lineage(fresh.withColumn("load_id", F.lit(load)).select(*[f.split(" ")[0] for f in ingest.MANIFEST.split(", ")]))
+    # File names of new dumps only, as a listing has them in the driver anyway.
+    paths = [r.file_path for r in fresh.filter("is_landed").select("file_path").toLocalIterator()]
+    partition = ["load_id", "snapshot_date"]
+    if paths:
+        dumps = ingest.file_name_facts(ingest.read_listed(spark, paths), run_date, project).withColumn("load_id", F.lit(load))
+        landed, _, _ = _land_texts(dumps, out, partition, load)
+        facts = parse.node_facts(landed, [*KEYS, "load_id"])
+        ingest.write_by_snapshot(facts, f"{out}/node_facts", partition)
+    elif not known:
+        raise FileNotFoundError(f"no dump file under {path}")
+    if not fresh.isEmpty():
+        fresh.coalesce(1).write.mode("append").parquet(where)
+        known = True
+    # The schemas follow from the code, not from files: a table may have no rows yet.
+    none = spark.createDataFrame([], "file_path string, file_name string, content string")
+    sections, others = _texts(ingest.file_name_facts(none, run_date).withColumn("load_id", F.lit(load)), [*KEYS, "load_id"])
+    facts, rows = parse.node_facts(sections, [*KEYS, "load_id"]), ingest.boxed_rows(sections, [*KEYS, "load_id"])
+    tables = [
+        ingest.current(spark.read.schema(df.schema).parquet(f"{out}/{name}"), manifest())
+        for name, df in (("sections", sections), ("other_sections", others), ("node_facts", facts), ("boxed_rows", rows))
+    ]
+    return _base(spark, *tables, run_date)
+
+
+def _base(
+    spark: SparkSession, landed: DataFrame, others: DataFrame, facts: DataFrame, rows: DataFrame, run_date: str,
+    slow_logs_path: str | None = None, error_logs_path: str | None = None,
+) -> dict[str, DataFrame]:
+    """The tables that the analyses read, from what was landed."""
+    names = parse.ALL_SECTIONS
     slow = parse.slow_log_entries(parse.section_texts(landed, "Slow query log tail"))
     if slow_logs_path is not None:
         slow = slow.unionByName(parse.read_slow_logs(spark, slow_logs_path, run_date).drop("file_name"))

@@ -72,13 +72,8 @@ def file_name_facts(df: DataFrame, run_date: str, project: str | None = None) ->
     ).filter(F.col("node_ip").isNotNull())
 
 
-def drop_superseded(spark: SparkSession, dumps: DataFrame, path: str, run_date: str) -> DataFrame:
-    """Keeps the last file per node and snapshot.
-
-    The superseded names come from a listing that never reads file contents.
-    They are normally few, and adaptive execution then broadcasts them, so the
-    contents themselves are not shuffled.
-    """
+def list_dumps(spark: SparkSession, path: str, run_date: str) -> DataFrame:
+    """Every node dump under a path, by name only: (file_path, file_name, modified, keys, project). No content is read."""
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -87,9 +82,59 @@ def drop_superseded(spark: SparkSession, dumps: DataFrame, path: str, run_date:
         .select(
             F.col("path").alias("file_path"),
             F.substring_index("path", "/", -1).alias("file_name"),
+            F.col("modificationTime").alias("modified"),
         )
     )
-    listing = file_name_facts(listing.filter(F.col("file_name").rlike(fv.DUMP_FILE_PATTERN)), run_date)
+    return file_name_facts(listing.filter(F.col("file_name").rlike(fv.DUMP_FILE_PATTERN)), run_date)
+
+
+MANIFEST = (
+    "file_path string, file_name string, modified timestamp, cluster_id string, snapshot_date date, node_ip string, "
+    "is_landed boolean, load_id string"
+)
+
+
+def unseen_dumps(listing: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files that no earlier load has seen as they are now: (listing columns, is_landed).
+
+    is_landed: the file is to be read, as the last one by name of its node and
+    snapshot; not if an earlier load has landed a later one.
+    """
+    seen = manifest.select("file_path", "modified")
+    fresh = listing.join(seen, ["file_path", "modified"], "left_anti")
+    before = manifest.filter("is_landed").groupBy(*KEYS).agg(F.max("file_name").alias("landed_name"))
+    last = fresh.groupBy(*KEYS).agg(F.max("file_name").alias("last_name"))
+    marked = fresh.join(last, KEYS).join(before, KEYS, "left")
+    newest = (F.col("file_name") == F.col("last_name")) & (
+        F.col("landed_name").isNull() | (F.col("file_name") >= F.col("landed_name"))
+    )
+    return marked.select(*listing.columns, newest.alias("is_landed"))
+
+
+def read_listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The contents of some listed dumps; other files under their folders are not opened."""
+    return spark.read.text(paths, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content")
+    )
+
+
+def current(landed: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The rows of each node's last load; landed carries load_id."""
+    loads = manifest.filter("is_landed").select(*KEYS, "load_id").distinct()
+    latest = loads.groupBy(*KEYS).agg(F.max("load_id").alias("latest"))
+    superseded = loads.join(latest, KEYS).filter(F.col("load_id") < F.col("latest")).select(*KEYS, "load_id")
+    # Nodes that were landed again: few, and broadcast by adaptive execution as long as they are.
+    return landed.join(superseded, [*KEYS, "load_id"], "left_anti").drop("load_id")
+
+
+def drop_superseded(spark: SparkSession, dumps: DataFrame, path: str, run_date: str) -> DataFrame:
+    """Keeps the last file per node and snapshot.
+
+    The superseded names come from a listing that never reads file contents.
+    They are normally few, and adaptive execution then broadcasts them, so the
+    contents themselves are not shuffled.
+    """
+    listing = list_dumps(spark, path, run_date)
     latest = listing.groupBy(*KEYS).agg(
         F.max("file_name").alias("latest_name"), F.count(F.lit(1)).alias("n_files")
     )

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetvitals.operators import workload
+from fleetvitals.plans import assessment
 from fleetvitals.plans.lineage import shared_folder
 from fleetvitals.sources import ingest, parse
+from tests import dumps
 
 
 @pytest.fixture
@@ -81,3 +83,44 @@ def test_error_logs_have_the_same_numbers_in_any_splits(spark, tmp_path, split):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_only_new_dumps_are_read(spark, tmp_path, monkeypatch):
+    """Three runs: four dumps, then a later one of a known node, then an older one and a new snapshot; the last by name wins throughout."""
+    opened, read = [], ingest.read_listed
+    monkeypatch.setattr(ingest, "read_listed", lambda spark, paths: opened.append(sorted(p.rsplit("/", 1)[1] for p in paths)) or read(spark, paths))
+    source, out = tmp_path / "dumps" / "shop", str(tmp_path / "landed")
+    dumps.write_cluster(source)
+
+    def run():
+        base = assessment.land_new_dumps(spark, str(tmp_path / "dumps"), out, "2026-05-01")
+        return base, {(r.node_ip, str(r.snapshot_date)): r.hostname for r in base["node_facts"].collect()}
+
+    def put(ip, stamp, host):
+        (source / f"MyHealthCheck_{ip}_{stamp}.txt").write_text(f"{dumps.marker(1, 'hostname')}\n{host}\n{dumps.marker(5, 'BLOB info')}\n| a | b | c | d |\n| x | {host} | c | text |\n")
+
+    first_base, first = run()
+    assert len(opened[0]) == 4 and len(first) == 4 and first_base["redundant_indexes"].count() == 4
+    day = next(iter(first))[1]
+    stamp = day.replace("-", "")
+    put("172.16.7.3", f"{stamp}2359", "later")
+    base, second = run()
+    assert opened[1] == [f"MyHealthCheck_172.16.7.3_{stamp}2359.txt"]
+    assert second == first | {("172.16.7.3", day): "later"}
+    assert base["large_columns"].where("node_ip = '172.16.7.3'").select("table_name").collect() == [("later",)]
+    assert base["redundant_indexes"].count() == 3 and base["sections"].count() == 4
+    put("172.16.7.3", f"{stamp}0001", "older")
+    put("172.16.7.3", "202701010101", "next year")
+    _, third = run()
+    assert opened[2] == ["MyHealthCheck_172.16.7.3_202701010101.txt"]
+    assert third == second | {("172.16.7.3", "2027-01-01"): "next year"}
+    # Nothing new: no dump is opened, and the tables stay.
+    _, again = run()
+    assert len(opened) == 3 and again == third
+    assert {k: v for k, v in assessment.assess_fleet(base).items() if k == "topology"}["topology"].count() == 1
+
+
+def test_no_dump_at_all(spark, tmp_path):
+    (tmp_path / "notes.txt").write_text("x")
+    with pytest.raises(FileNotFoundError):
+        assessment.land_new_dumps(spark, str(tmp_path), str(tmp_path / "out"), "2026-05-01")

@@ -573,3 +573,49 @@ def _(v):
     joined = base["orders"].join(base["customer"], F.col("o_custkey") == F.col("c_custkey")).join(base["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
     joined = joined.join(base["region"], F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"))
+
+
+ORDERS = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_comment string"
+
+
+def landed_orders(v, fmt: str) -> str:
+    """The orders in a format; the comment holds separators, quotes and a line of another width every 50 rows."""
+    path = f"{shared_folder(v.spark)}/orders-{fmt}-{uuid.uuid4().hex}"
+    comment = F.concat(F.lit('a "b", c\td '), F.col("o_orderkey").cast("string"))
+    rows = v["orders"].select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_custkey").cast("bigint").alias("o_custkey"), F.col("o_totalprice").cast("double").alias("o_totalprice"), comment.alias("o_comment"))
+    writer = rows.write.options(header=True, sep="\t" if fmt == "tsv" else ",", escape='"') if fmt in ("csv", "tsv") else rows.write
+    writer.format("csv" if fmt == "tsv" else fmt).save(path)
+    return path
+
+
+for _fmt in tables.FORMATS[1:]:
+
+    @check(f"src_28_read_{_fmt}", "SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")
+    def _(v, fmt=_fmt):
+        schema = ORDERS if fmt in tables.TEXT_FORMATS else None
+        return tables.read_base_table(v.spark, landed_orders(v, fmt), fmt, schema).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@check("src_28_quarantine", """SELECT 'rows' AS kind, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey % 10 > 1
+UNION ALL SELECT 'quarantine', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_orderkey % 10 <= 1""")
+def _(v):
+    """A tenth of the lines has a text for a number, another a value too many."""
+    path = f"{shared_folder(v.spark)}/orders-spoilt-{uuid.uuid4().hex}"
+    k = F.col("o_orderkey")
+    line = F.concat_ws("\t", k.cast("string"), F.when(k % 10 == 0, "many").otherwise("7"), F.lit("1.5"), F.lit("x"), F.when(k % 10 == 1, "more"))
+    v["orders"].select(line.alias("value")).write.text(path)
+    # Without a header line every line is a record.
+    rows, bad = tables.read_with_quarantine(v.spark, path, "tsv", ORDERS)
+    key = F.split("record", "\t")[0].cast("bigint")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("k").cast("bigint").alias("keys")]
+    return rows.select(F.lit("rows").alias("kind"), F.col("o_orderkey").alias("k")).unionByName(bad.select(F.lit("quarantine").alias("kind"), key.alias("k"))).groupBy("kind").agg(*sums)
+
+
+@check("src_28_server_versions", f"""SELECT 'old' AS version, {K}, waiting_trx_id, blocking_trx_id FROM {{lock_wait_rows}} UNION ALL SELECT 'new', {K}, waiting_trx_id, blocking_trx_id FROM {{lock_wait_rows}}""")
+def _(v):
+    """The same lock waits as two server versions name their columns."""
+    waits = v["lock_wait_rows"]
+    old = waits.select(*KEYS, F.col("waiting_trx_id").alias("requesting_trx_id"), F.lit("l").alias("requested_lock_id"), "blocking_trx_id")
+    new = waits.select(*KEYS, F.lit("INNODB").alias("ENGINE"), F.col("waiting_trx_id").alias("REQUESTING_ENGINE_TRANSACTION_ID"), F.col("blocking_trx_id").alias("BLOCKING_ENGINE_TRANSACTION_ID"))
+    both = [tables.conform_to_server(df, "lock_wait_rows", KEYS).select(F.lit(name).alias("version"), "*") for name, df in (("old", old), ("new", new))]
+    return plain(both[0].unionByName(both[1]))

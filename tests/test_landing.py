@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetvitals.operators import workload
 from fleetvitals.plans import assessment
 from fleetvitals.plans.lineage import shared_folder
-from fleetvitals.sources import ingest, parse
+from fleetvitals.sources import ingest, parse, tables
 from tests import dumps
 
 
@@ -124,3 +124,31 @@ def test_no_dump_at_all(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("x")
     with pytest.raises(FileNotFoundError):
         assessment.land_new_dumps(spark, str(tmp_path), str(tmp_path / "out"), "2026-05-01")
+
+
+@pytest.mark.parametrize("fmt", ["csv", "tsv", "json"])
+def test_malformed_records_go_to_the_quarantine(spark, tmp_path, fmt):
+    sep = {"csv": ",", "tsv": "\t"}.get(fmt)
+    good = [(1, 1.5, "a"), (2, None, "b c"), (3, 2.0, None)]
+    if sep:
+        lines = ["id" + sep + "size" + sep + "name", *(sep.join("" if x is None else str(x) for x in r) for r in good)]
+        bad = [sep.join(("x", "1", "y")), sep.join(("4", "much", "y")), sep.join(("5", "1", "y", "z")), "6"]
+    else:
+        lines = ['{"id":1,"size":1.5,"name":"a"}', '{"id":2,"name":"b c"}', '{"id":3,"size":2.0,"name":null,"more":1}']
+        bad = ['{"id":"x"}', '{"id":4,', "7"]
+    (tmp_path / "rows.txt").write_text("\n".join([*lines, "", *bad]) + "\n")
+    rows, quarantine = tables.read_with_quarantine(spark, str(tmp_path), fmt, "id bigint, size double, name string", header=bool(sep))
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted(good, key=str)
+    assert rows.select("id").count() == 3 and rows.count() == 3  # whichever columns are read
+    assert sorted(r.record for r in quarantine.collect()) == sorted(bad)
+    assert {r.file_path.rsplit("/", 1)[1] for r in quarantine.collect()} == {"rows.txt"}
+
+
+def test_column_names_of_server_versions(spark):
+    old = spark.createDataFrame([("c", "1", "2")], "cluster_id string, requesting_trx_id string, blocking_trx_id string")
+    new = spark.createDataFrame([("c", "1", "2", "x")], "cluster_id string, REQUESTING_ENGINE_TRANSACTION_ID string, BLOCKING_ENGINE_TRANSACTION_ID string, ENGINE string")
+    for df in (old, new):
+        found = tables.conform_to_server(df, "lock_wait_rows", ["cluster_id"])
+        assert found.columns == ["cluster_id", "waiting_trx_id", "blocking_trx_id"] and tuple(found.first()) == ("c", "1", "2")
+    bare = tables.conform_to_server(old, "lock_rows", ["cluster_id"]).first()
+    assert bare["trx_id"] is None and bare["lock_mode"] is None

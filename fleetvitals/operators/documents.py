@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetvitals import CLUSTER_KEYS
+from fleetvitals.plans.lineage import cut_lineage
 
 SCHEMA_VERSION = 3
 
@@ -321,7 +322,8 @@ def validate_documents(documents: DataFrame, keys: list[str] = CLUSTER_KEYS) ->
 
 
 def validate_parts(parts: DataFrame, keys: list[str] = CLUSTER_KEYS) -> DataFrame:
-    """Findings on documents in parts, of any size."""
+    """Findings on documents in parts, of any size. The parts are computed once, as every check reads them."""
+    parts = cut_lineage(parts)
     return validate_members(part_members(parts, keys), parts.select(*keys).distinct(), keys)
 
 

@@ -28,7 +28,6 @@ SERVER_COLUMNS = {
     },
     "trx": {"trx_id": ("trx_id",), "thread_id": ("trx_mysql_thread_id",), "query": ("trx_query",), "state": ("trx_state",)},
     "variables": {"name": ("variable_name",), "value": ("variable_value",)},
-    "temp_tablespace": {"name": ("name", "tablespace_name"), "file_size": ("file_size", "total_extents")},
 }
 
 
